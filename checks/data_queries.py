@@ -54,7 +54,7 @@ def embedding_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sequence_classify(spark: SparkSession, sf: str) -> DataFrame:
-    texts = table(spark, sf, "documents").select(
+    texts = views.documents(spark, sf).select(
         F.col("doc_id").alias("seq_id"), F.col("text").alias("raw")
     )
     both = texts.join(views.sequences(spark, sf), "seq_id")
@@ -321,10 +321,12 @@ QUERIES = {
 
 
 def _status_sql(column: str) -> str:
+    # Spark, like Python, upper-cases one German letter to two.
+    big = f"upper(replace({column}, 'ß', 'ss'))"
     return f"""CASE WHEN {column} IS NULL THEN 'null_sequence' WHEN {column} = '' THEN 'empty_sequence'
-        WHEN regexp_full_match(upper({column}), '[ACGU]+') THEN 'valid'
+        WHEN regexp_full_match({big}, '[ACGU]+') THEN 'valid'
         ELSE concat('invalid_chars: {{''', array_to_string(list_sort(list_distinct(
-             regexp_extract_all(upper({column}), '[^ACGU]'))), ''', '''), '''}}') END"""
+             regexp_extract_all({big}, '[^ACGU]'))), ''', '''), '''}}') END"""
 
 
 def _base_sql(base: str) -> str:

@@ -71,11 +71,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, spread over the cores when they come as fewer files than cores."""
+    df, cores = table(spark, sf, "documents"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
     letters = F.translate(F.upper("text"), "T", "U")
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         F.col("doc_id").alias("seq_id"),
-        F.regexp_replace(letters, "[^ACGU]", "").alias("sequence"),
+        F.regexp_replace(letters, "[^ACGU]+", "").alias("sequence"),
     )
 
 

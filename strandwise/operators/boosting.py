@@ -217,8 +217,10 @@ def tune(
     for name, values in grid.items():
         builder = builder.addGrid(estimator.getParam(spark_names[name]), list(values))
     maps = builder.build()
-    rows = features.where(cleaned(features, target).isNotNull()).withColumn(
-        "_fold", fold_of(key, folds, seed)
+    rows = (
+        features.where(cleaned(features, target).isNotNull())
+        .select(FEATURES, target, fold_of(key, folds, seed).alias("_fold"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
     search = CrossValidator(
         estimator=estimator,
@@ -230,7 +232,10 @@ def tune(
         foldCol="_fold",
         parallelism=parallel,
     )
-    fitted = search.fit(rows)
+    try:
+        fitted = search.fit(rows)
+    finally:
+        rows.unpersist()
     settings = []
     for point, mse in zip(maps, fitted.avgMetrics):
         by_name = {p.name: v for p, v in point.items()}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandwise.functions import labels
 from strandwise.functions.stats import cleaned, correlation_p, ratio_or_zero_rule
-from strandwise.operators.order_stats import attach_ranks, exact_quantiles
+from strandwise.operators.order_stats import ValueBlocks, attach_ranks, exact_quantiles
 from strandwise.operators.joins import join_on
 from strandwise.session import settle
 
@@ -112,8 +112,10 @@ def spearman(pairs: DataFrame) -> DataFrame:
     counted = settle(
         _complete(pairs).groupBy("target", "y_true", "y_pred").agg(F.count(F.lit(1)).alias("w"))
     )
-    ranked = attach_ranks(counted, "y_true", "rank_true", ["target"], "average", weight="w")
-    ranked = attach_ranks(ranked, "y_pred", "rank_pred", ["target"], "average", weight="w")
+    ranked = counted
+    for value, rank in (("y_true", "rank_true"), ("y_pred", "rank_pred")):
+        blocks = ValueBlocks(counted, value, ["target"], weight="w")
+        ranked = attach_ranks(ranked, blocks, rank, "average")
     a, b, w = F.col("rank_true"), F.col("rank_pred"), F.col("w")
     sums = ranked.groupBy("target").agg(
         F.sum("w").alias("n"),

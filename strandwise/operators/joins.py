@@ -70,7 +70,9 @@ def lookup_join(
     salt = spread(df.columns, salts)
     if hot_from is None:
         rows = df.withColumn("_salt", F.when(missing, salt).otherwise(0))
-        right = lookup.withColumn("_salt", F.lit(0))
+        # Not a literal: a constant would be taken out of the join keys again, and the
+        # rows without a value would all hash alike.
+        right = lookup.withColumn("_salt", F.when(F.col("ties") > 0, 0).otherwise(-1))
     else:
         is_hot = F.col("ties") > hot_from
         hot = lookup.where(is_hot).select(*on).withColumn("_hot", F.lit(True))

@@ -157,24 +157,16 @@ def exact_quantiles(
     return ValueBlocks(df, value, keys).quantiles(probabilities)
 
 
-def attach_ranks(
-    df: DataFrame,
-    value: str,
-    out: str,
-    keys: Sequence[str] = (),
-    method: str = "min",
-    descending: bool = False,
-    weight: str | None = None,
-) -> DataFrame:
-    """``df`` plus the rank of ``value`` within ``keys``; null where the value is missing.
+def attach_ranks(df: DataFrame, blocks: ValueBlocks, out: str, method: str = "min") -> DataFrame:
+    """``df`` plus the rank of its value within its keys; null where the value is missing.
 
-    ``method`` is ``min`` (competition rank, bigint) or ``average`` (double). With
-    ``weight`` a row stands for that many equal rows.
+    ``blocks`` holds the ranked column, of ``df`` or of a table with the same values.
+    ``method`` is ``min`` (competition rank, bigint) or ``average`` (double).
     """
-    blocks = ValueBlocks(df, value, keys, descending, weight)
     number = {
         "min": F.col("before") + 1,
         "average": F.col("before") + (F.col("ties") + 1) / 2,
     }[method]
-    lookup = blocks.ranks().select(*keys, value, "ties", number.alias(out))
-    return lookup_join(df, lookup, [*keys, value], blocks.hot_ties(), blocks.blocks)
+    on = [*blocks.keys, blocks.value]
+    lookup = blocks.ranks().select(*on, "ties", number.alias(out))
+    return lookup_join(df, lookup, on, blocks.hot_ties(), blocks.blocks)

@@ -20,17 +20,49 @@ KNOWN_TYPES = {
 }
 
 
+# Spellings of a missing value in a numeric column.
+MISSING_WORDS = ("", "NA", "N/A", "NaN", "nan", "NULL", "null", "None")
+_WHOLE = r"^\s*[+-]?\d{1,18}\s*$"
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def infer_types(texts: DataFrame, columns: Sequence[str]) -> dict[str, T.DataType]:
+    """``bigint``, ``double`` or ``string`` for columns of text, from one aggregate over
+    just these columns.
+    """
+    if not columns:
+        return {}
+    counts = []
+    for i, name in enumerate(columns):
+        c = F.col(f"`{name}`")
+        given = c.isNotNull() & ~F.trim(c).isin(*MISSING_WORDS)
+        counts += [
+            F.count_if(given).alias(f"given_{i}"),
+            F.count_if(given & ~c.rlike(_WHOLE)).alias(f"not_whole_{i}"),
+            F.count_if(given & ~c.rlike(_NUMBER)).alias(f"not_number_{i}"),
+        ]
+    row = texts.agg(*counts).first()
+    types = {}
+    for i, name in enumerate(columns):
+        if row[f"not_number_{i}"] or not row[f"given_{i}"]:
+            types[name] = T.StringType()
+        else:
+            types[name] = T.DoubleType() if row[f"not_whole_{i}"] else T.LongType()
+    return types
+
+
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None
 ) -> DataFrame:
-    """CSV with a header. Without a schema the covariate types are inferred from the file,
-    known columns keep their fixed types (``sequence`` is never guessed).
+    """CSV with a header. Known columns have fixed types; without a schema the types of
+    the other columns (covariates) are found by one pass over those columns alone.
     """
     reader = spark.read.option("header", True)
     if schema is not None:
         return reader.schema(schema).csv(path)
-    guessed = reader.option("inferSchema", True).csv(path).schema
-    fields = [T.StructField(f.name, KNOWN_TYPES.get(f.name, f.dataType), True) for f in guessed]
+    texts = reader.csv(path)
+    types = {**infer_types(texts, [c for c in texts.columns if c not in KNOWN_TYPES]), **KNOWN_TYPES}
+    fields = [T.StructField(c, types[c], True) for c in texts.columns]
     return reader.schema(T.StructType(fields)).option("enforceSchema", False).csv(path)
 
 
