@@ -19,6 +19,9 @@ from strandwise.operators.split import fold_of
 from strandwise.session import ensure_checkpoint_dir
 
 FEATURES = "features"
+# Stands for a missing number in a feature vector (Spark's trees refuse NaN): it lies
+# above every real value, so a split sends all missing rows to its right side.
+MISSING = 1e300
 PREFIX = "predicted_"
 IMPORTANCE_SCHEMA = "feature string, feature_pos int, target string, importance double"
 
@@ -77,11 +80,9 @@ class Boosting:
             seed=self.seed,
             checkpointInterval=10,
             cacheNodeIds=True,
+            validationTol=self.validation_tolerance,
         )
-        if self.validation:
-            model = model.setValidationIndicatorCol(self.validation)
-            model = model.setValidationTol(self.validation_tolerance)
-        return model
+        return model.setValidationIndicatorCol(self.validation) if self.validation else model
 
 
 class MultiTargetModel:

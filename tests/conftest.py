@@ -6,6 +6,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
+import __spark_entry__  # noqa: E402,F401  (makes workers independent of the search path)
 from strandwise.session import build_session  # noqa: E402
 
 DATA = "/root/testdata"
@@ -13,8 +14,6 @@ DATA = "/root/testdata"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    # Python workers import the package by name.
-    os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
     session = build_session(
         "tests",
         "local[8]",
