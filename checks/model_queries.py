@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +13,11 @@ from strandwise.functions import labels
 from strandwise.functions import sequence as sq
 from strandwise.operators import embedding, evaluation, features, ranking
 from strandwise.operators import importance as imp
+from strandwise.operators.covariates import CovariateEncoder
 from strandwise.operators.boosting import Boosting, cross_validate, tune
+from strandwise.operators.order_stats import ValueBlocks
 from strandwise.operators.reduce import EmbeddingReducer
+from strandwise.operators.split import split
 from strandwise.plans import report
 from strandwise.plans.estimator import PropertyModel, Sources
 
@@ -207,10 +211,14 @@ def report_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return facts.withColumn("targets", F.concat_ws(",", "targets")).drop("generation_time")
 
 
-def price_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    """The global rank over the largest table, one row per distinct value."""
-    from strandwise.operators.order_stats import ValueBlocks
+def price_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact quantiles per group by blocks, the way taken for large tables."""
+    blocks = ValueBlocks(table(spark, sf, "lineitem"), "l_extendedprice", ["l_returnflag"])
+    return rounded(blocks.quantiles({"q1": 0.25, "median": 0.5, "q3": 0.75, "p90": 0.9}), 4)
+
 
+def price_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """The global rank over the largest table by blocks, one row per distinct value."""
     lines = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
     ranks = ValueBlocks(lines, "l_extendedprice", descending=True).ranks()
     return ranks.select("l_extendedprice", "ties", (F.col("before") + 1).alias("rank"))
@@ -290,6 +298,12 @@ _REPORT_SQL = {
         FROM predictions""",
         "predictions",
     ),
+    "price_quantiles": """
+        SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) + 0.0 AS q1,
+               round(quantile_cont(l_extendedprice, 0.5), 4) + 0.0 AS median,
+               round(quantile_cont(l_extendedprice, 0.75), 4) + 0.0 AS q3,
+               round(quantile_cont(l_extendedprice, 0.9), 4) + 0.0 AS p90
+        FROM lineitem GROUP BY l_returnflag""",
     "price_ranks": """
         SELECT l_extendedprice, count(*) AS ties,
                cast(1 + sum(count(*)) OVER (ORDER BY l_extendedprice DESC) - count(*) AS bigint) AS rank
@@ -596,8 +610,6 @@ def embed_hook(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def train_predict(spark: SparkSession, sf: str) -> DataFrame:
-    from strandwise.operators.split import split
-
     rows, sources = _model_rows(spark, sf)
     train, test = split(rows)
     model = PropertyModel(8, SMALL).fit(train, sources, MODEL_TARGETS)
@@ -613,15 +625,11 @@ def _features(spark: SparkSession, sf: str) -> tuple[DataFrame, PropertyModel]:
     rows, sources = _model_rows(spark, sf)
     model = PropertyModel(8, SMALL)
     model.featurizer = model.featurizer.fit(rows, sources)
-    from strandwise.operators.covariates import CovariateEncoder
-
     model.encoder = CovariateEncoder().fit(rows, ["enzyme_type", "temperature"])
     return model.assemble(rows, sources, MODEL_TARGETS), model
 
 
 def assembled_features(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
     rows, _ = _features(spark, sf)
     return rows.select("seq_id", vector_to_array("features").alias("features"), "fold_status", "embed_status")
 
@@ -658,7 +666,7 @@ QUERIES = {
             eval_per_target, eval_basic, eval_overall, eval_correlations, eval_p_values, residuals,
             eval_joined, model_score, performance_card, prediction_attach, prediction_summary,
             ranked_report, top_sequences, insight_distribution, sequence_characteristics,
-            report_metadata, price_ranks,
+            report_metadata, price_quantiles, price_ranks,
         )
     },
     **_IMPORTANCE_QUERIES,

@@ -45,15 +45,16 @@ def spread(columns: Sequence[str], salts: int) -> Column:
 def join_small(df: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join to a table with one row per key, usually a handful of rows.
 
-    The table is settled and counted: up to BROADCAST_ROWS rows it is broadcast, so ``df``
-    is not shuffled. A larger one is repeated per salt, so that no key, however many rows
-    it has, ends up in one task.
+    Up to BROADCAST_ROWS rows are fetched and broadcast, so ``df`` is not shuffled. A
+    larger table is settled and repeated per salt, so that no key, however many rows it
+    has, ends up in one task.
     """
-    table = settle(table)
-    if not on or table.count() <= BROADCAST_ROWS:
-        return join_on(df, table, on, how, small=True)
+    fetched = table.limit(BROADCAST_ROWS + 1).toArrow()
+    if fetched.num_rows <= BROADCAST_ROWS:
+        local = df.sparkSession.createDataFrame(fetched, table.schema)
+        return join_on(df, local, on, how, small=True)
     rows = df.withColumn("_salt", spread(df.columns, SALTS))
-    right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    right = settle(table).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return join_on(rows, right, [*on, "_salt"], how).drop("_salt")
 
 

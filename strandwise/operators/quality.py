@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 from strandwise.functions import sequence as sq
 from strandwise.functions.stats import cleaned, present, unpivot
 from strandwise.operators.joins import join_on, join_small
-from strandwise.operators.order_stats import ValueBlocks
+from strandwise.operators.order_stats import exact_quantiles
 
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 TARGETS = ("yield", "dsRNA_percent", "expression")
 
 # Limits and texts of the recommendations and the gate.
@@ -165,9 +166,7 @@ def profile(long: DataFrame, keys: Sequence[str], value: str = "value") -> DataF
         F.kurtosis(v).alias("kurtosis"),
     )
     jb = F.col("n") / 6 * (F.pow("skewness", F.lit(2)) + F.pow("kurtosis", F.lit(2)) / 4)
-    quartiles = ValueBlocks(long, value, keys).quantiles(
-        {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    )
+    quartiles = exact_quantiles(long, value, QUARTILES, keys)
     found = outlier_summary(long, keys, value, quartiles)
     facts = join_on(moments, found, keys, "left")
     return facts.select(
@@ -201,9 +200,7 @@ def with_bounds(
     """Rows with the quartiles and IQR bounds of their key."""
     keys = list(keys)
     if quartiles is None:
-        quartiles = ValueBlocks(long, value, keys).quantiles(
-            {"q1": 0.25, "median": 0.5, "q3": 0.75}
-        )
+        quartiles = exact_quantiles(long, value, QUARTILES, keys)
     iqr = F.col("q3") - F.col("q1")
     bounds = quartiles.withColumns(
         {

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandwise.functions import sequence as sq
 from strandwise.functions.stats import present, unpivot
-from strandwise.operators.order_stats import ValueBlocks, attach_ranks, exact_quantiles
+from strandwise.operators.order_stats import exact_quantiles, with_rank
 from strandwise.operators.joins import join_on
 
 PREFIX = "predicted_"
@@ -55,8 +55,9 @@ def ranked_report(
         facts = facts.drop(sequence)
     if sort_by not in predictions.columns:
         return facts.withColumn("top_performer", F.lit(False))
-    blocks = ValueBlocks(predictions.select(sort_by), sort_by, descending=True)
-    ranked = attach_ranks(facts, blocks, "rank")
+    ranked = with_rank(
+        facts, sort_by, "rank", descending=True, source=predictions.select(sort_by)
+    )
     ranked = ranked.withColumn(
         "top_performer", F.coalesce(F.col("rank") <= top_n, F.lit(False))
     )

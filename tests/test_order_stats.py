@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandwise.operators import joins
-from strandwise.operators.order_stats import ValueBlocks, attach_ranks, exact_quantiles
+from strandwise.operators.order_stats import ValueBlocks, attach_ranks, exact_quantiles, with_rank
 
 
 @pytest.fixture(scope="module")
@@ -25,39 +25,56 @@ def as_spark(spark, table):
     return spark.createDataFrame(rows, "id long, k string, v double").repartition(8)
 
 
-@pytest.mark.parametrize("blocks", [1, 7])
-def test_quantiles(spark, table, blocks):
-    probabilities = {"lo": 0.0, "q1": 0.25, "m": 0.5, "p90": 0.9, "hi": 1.0}
-    got = ValueBlocks(as_spark(spark, table), "v", ["k"], blocks=blocks).quantiles(probabilities)
+PROBABILITIES = {"lo": 0.0, "q1": 0.25, "m": 0.5, "p90": 0.9, "hi": 1.0}
+
+
+def check_quantiles(got, table):
     got = {r["k"]: r for r in got.collect()}
     for key, part in table.groupby("k", dropna=False):
         key = None if pd.isna(key) else key
-        for name, q in probabilities.items():
+        for name, q in PROBABILITIES.items():
             assert got[key][name] == pytest.approx(part["v"].quantile(q)), (key, name)
 
 
-def test_quantiles_without_keys(spark, table):
+@pytest.mark.parametrize("blocks", [1, 7])
+def test_quantiles_by_blocks(spark, table, blocks):
+    check_quantiles(ValueBlocks(as_spark(spark, table), "v", ["k"], blocks=blocks).quantiles(PROBABILITIES), table)
+
+
+def test_quantiles(spark, table, size):
+    check_quantiles(exact_quantiles(as_spark(spark, table), "v", PROBABILITIES, ["k"]), table)
+
+
+def test_quantiles_without_keys(spark, table, size):
     got = exact_quantiles(as_spark(spark, table), "v", {"m": 0.5}).collect()
     assert len(got) == 1 and got[0]["m"] == table["v"].median()
 
 
-def test_quantiles_of_nothing(spark):
+def test_quantiles_of_nothing(spark, size):
     empty = spark.createDataFrame([("a", None)], "k string, v double")
     assert exact_quantiles(empty, "v", {"m": 0.5}, ["k"]).collect() == []
 
 
 @pytest.mark.parametrize("method", ["min", "average"])
 @pytest.mark.parametrize("descending", [False, True])
-def test_ranks_with_a_hot_value(spark, table, method, descending):
+def test_ranks_with_a_hot_value(spark, table, method, descending, size):
     df = as_spark(spark, table)
-    blocks = ValueBlocks(df, "v", ["k"], descending)
-    assert blocks.hot_ties() is not None
-    got = attach_ranks(df, blocks, "rank", method).toPandas().sort_values("id")
+    assert ValueBlocks(df, "v", ["k"], descending).hot_ties() is not None
+    got = with_rank(df, "v", "rank", ["k"], method, descending).toPandas().sort_values("id")
     expected = table.groupby("k", dropna=False)["v"].rank(ascending=not descending, method=method)
     assert len(got) == len(table)
     np.testing.assert_array_equal(got["rank"].astype(float).to_numpy(), expected.to_numpy())
 
 
+def test_weighted_ranks(spark, table, size):
+    counted = as_spark(spark, table).groupBy("k", "v").agg(F.count("*").alias("w"))
+    got = with_rank(counted, "v", "rank", ["k"], weight="w").where("rank is not null").toPandas()
+    ranks = table.groupby("k", dropna=False)["v"].rank(method="min")
+    expected = {(k if isinstance(k, str) else None, v): r for k, v, r in zip(table["k"], table["v"], ranks)}
+    for r in got.itertuples():
+        assert expected[r.k, r.v] == r.rank
+
+
 def test_ranks_without_a_hot_value(spark):
     df = spark.range(500).withColumn("v", (F.col("id") * 37 % 501).cast("double"))
     blocks = ValueBlocks(df, "v")

@@ -24,7 +24,7 @@ def random_pairs():
     return parts
 
 
-def test_metrics_against_numpy(spark, random_pairs):
+def test_metrics_against_numpy(spark, random_pairs, size):
     got = {r.target: r for r in evaluation.target_metrics(pairs(spark, *random_pairs)).collect()}
     r2s, ys, ps = [], [], []
     for name, y, p in random_pairs:
@@ -55,7 +55,7 @@ def test_metrics_against_numpy(spark, random_pairs):
     assert evaluation.score(evaluation.basic_metrics(pairs(spark, *random_pairs))) == pytest.approx(np.mean(r2s))
 
 
-def test_metric_edges(spark):
+def test_metric_edges(spark, size):
     table = pairs(
         spark, ("flat_hit", [2, 2], [2, 2]), ("flat_miss", [2, 2], [1, 3]), ("single", [1], [2]),
         ("zero", [0, 1, 2], [0, 1, 3]), ("gap", [1, float("nan"), 3], [1, 2, float("nan")]),
