@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwise.functions import labels
-from strandwise.functions.stats import cleaned, correlation_p, ratio_or_zero_rule
+from strandwise.functions.stats import cleaned, correlation_p, present, ratio_or_zero_rule
 from strandwise.operators.order_stats import exact_quantiles, is_small, with_rank
 from strandwise.operators.joins import join_on
 from strandwise.session import settle
@@ -49,12 +49,9 @@ def residuals(pairs: DataFrame) -> DataFrame:
 
 def _complete(pairs: DataFrame) -> DataFrame:
     """Pairs with both values; a null or NaN on either side takes the pair out."""
-    cols = pairs.select(
-        "target",
-        cleaned(pairs, "y_true").cast("double").alias("y_true"),
-        cleaned(pairs, "y_pred").cast("double").alias("y_pred"),
+    return pairs.where(present(pairs, "y_true") & present(pairs, "y_pred")).select(
+        "target", F.col("y_true").cast("double"), F.col("y_pred").cast("double")
     )
-    return cols.where(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull())
 
 
 def moment_metrics(pairs: DataFrame) -> DataFrame:

@@ -165,8 +165,11 @@ def exact_quantiles(
     """One row per key with the named quantiles; null and NaN are left out."""
     rows = df.where(present(df, value)).select(*keys, value)
     if is_small(rows):
-        picked = [F.percentile(value, F.lit(float(q))).alias(n) for n, q in probabilities.items()]
-        return rows.groupBy(*keys).agg(*picked)
+        # One call, as each call keeps a buffer of its own.
+        wanted = F.array(*[F.lit(float(q)) for q in probabilities.values()])
+        found = rows.groupBy(*keys).agg(F.percentile(value, wanted).alias("_q"))
+        picked = [F.col("_q")[i].alias(name) for i, name in enumerate(probabilities)]
+        return found.select(*keys, *picked)
     return ValueBlocks(rows, value, keys).quantiles(probabilities)
 
 

@@ -88,35 +88,55 @@ def check_strict(
     return {t: row[f"null {t}"] for t in found}
 
 
-def sequence_summary(df: DataFrame, sequence: str = "sequence") -> DataFrame:
-    """One row: counts, and length statistics over the valid rows (population std).
+def overview(df: DataFrame, sequence: str = "sequence") -> DataFrame:
+    """One row with every table-wide count and sequence statistic, from one scan.
 
-    The number of distinct lengths is bounded by the longest sequence, so the built-in
-    ``percentile`` keeps a small histogram here.
+    Spark drops what a caller does not select, so a single statistic does not pay for the
+    others; settle the row to build several sections from it. The number of distinct
+    lengths is bounded by the longest sequence, so ``percentile`` keeps a small histogram.
     """
-    return _length_stats(_per_sequence(df, sequence))
-
-
-def _per_sequence(df: DataFrame, sequence: str) -> DataFrame:
     s = sq.normalise(sequence)
     valid = sq.is_strict(s)
-    return df.select(
-        valid.alias("valid"),
-        F.when(valid, F.length(s)).alias("length"),
-        *[F.when(valid, sq.base_fraction(s, b)).alias(b) for b in sq.BASES],
+    there = {c: present(df, c) for c in df.columns}
+    rows = df.select(
+        valid.alias("_valid"),
+        F.when(valid, F.length(s)).alias("_length"),
+        *[F.when(valid, sq.base_fraction(s, b)).alias(f"_share_{b}") for b in sq.BASES],
+        reduce(lambda a, b: a & b, there.values()).alias("_complete"),
+        *[there[c].alias(f"_there_{i}") for i, c in enumerate(df.columns)],
     )
-
-
-def _length_stats(rows: DataFrame) -> DataFrame:
     return rows.agg(
         F.count(F.lit(1)).alias("total_sequences"),
-        F.count_if("valid").alias("valid_sequences"),
-        F.count_if(~F.col("valid")).alias("invalid_sequences"),
-        F.avg("length").alias("mean_length"),
-        F.stddev_pop("length").alias("std_length"),
-        F.min("length").cast("bigint").alias("min_length"),
-        F.max("length").cast("bigint").alias("max_length"),
-        F.percentile("length", F.lit(0.5)).alias("median_length"),
+        F.count_if("_valid").alias("valid_sequences"),
+        F.count_if(~F.col("_valid")).alias("invalid_sequences"),
+        F.avg("_length").alias("mean_length"),
+        F.stddev_pop("_length").alias("std_length"),
+        F.min("_length").cast("bigint").alias("min_length"),
+        F.max("_length").cast("bigint").alias("max_length"),
+        F.percentile("_length", F.lit(0.5)).alias("median_length"),
+        *[F.avg(f"_share_{b}").alias(f"mean_{b}") for b in sq.BASES],
+        *[F.stddev_pop(f"_share_{b}").alias(f"std_{b}") for b in sq.BASES],
+        F.count_if("_complete").alias("complete_rows"),
+        F.array(
+            *[
+                F.struct(
+                    F.lit(c).alias("column"), F.count_if(~F.col(f"_there_{i}")).alias("missing")
+                )
+                for i, c in enumerate(df.columns)
+            ]
+        ).alias("missing"),
+    )
+
+
+def sequence_summary(df: DataFrame, sequence: str = "sequence") -> DataFrame:
+    """One row: counts, and length statistics over the valid rows (population std)."""
+    return summary_of(overview(df, sequence))
+
+
+def summary_of(facts: DataFrame) -> DataFrame:
+    return facts.select(
+        "total_sequences", "valid_sequences", "invalid_sequences", "mean_length", "std_length",
+        "min_length", "max_length", "median_length",
     )
 
 
@@ -125,11 +145,10 @@ def base_composition(df: DataFrame, sequence: str = "sequence") -> DataFrame:
 
     Aggregated wide and turned into four rows afterwards, so the input is not multiplied.
     """
-    rows = _per_sequence(df, sequence)
-    wide = rows.agg(
-        *[F.avg(b).alias(f"mean_{b}") for b in sq.BASES],
-        *[F.stddev_pop(b).alias(f"std_{b}") for b in sq.BASES],
-    )
+    return composition_of(overview(df, sequence))
+
+
+def composition_of(facts: DataFrame) -> DataFrame:
     entries = [
         F.struct(
             F.lit(b).alias("base"),
@@ -138,7 +157,7 @@ def base_composition(df: DataFrame, sequence: str = "sequence") -> DataFrame:
         )
         for b in sq.BASES
     ]
-    return wide.select(F.inline(F.array(*entries)))
+    return facts.select(F.inline(F.array(*entries)))
 
 
 # --- targets --------------------------------------------------------------------------
@@ -256,24 +275,28 @@ def missing_profile(df: DataFrame) -> DataFrame:
     """One row: cells, missing cells and share, complete rows, null counts of the columns
     that have any (a map), all from one scan.
     """
-    there = {c: present(df, c) for c in df.columns}
-    every = reduce(lambda a, b: a & b, there.values())
-    counted = df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(every).alias("complete_rows"),
-        *[F.count_if(~ok).alias(f"null {c}") for c, ok in there.items()],
-    )
-    nulls = {c: F.col(f"`null {c}`") for c in df.columns}
-    total = reduce(lambda a, b: a + b, nulls.values())
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("key"), n.alias("value")) for c, n in nulls.items()]
-    )
-    return counted.select(
-        "n_rows",
-        total.alias("total_missing_cells"),
-        F.try_divide(total * 100.0, F.col("n_rows") * len(nulls)).alias("missing_percentage"),
+    # No statistic of a sequence is selected, so any column can stand in for it.
+    return missing_of(overview(df.withColumn("_none", F.lit("")), "_none"), skip="_none")
+
+
+def _missing(skip: str | None = None) -> tuple[Column, Column, Column]:
+    """(entries per column, missing cells, share of all cells in percent)"""
+    entries = F.col("missing")
+    if skip:
+        entries = F.filter(entries, lambda e: e["column"] != skip)
+    cells = F.aggregate(entries, F.lit(0).cast("bigint"), lambda n, e: n + e["missing"])
+    share = F.try_divide(cells * 100.0, F.col("total_sequences") * F.size(entries))
+    return entries, cells, share
+
+
+def missing_of(facts: DataFrame, skip: str | None = None) -> DataFrame:
+    entries, cells, share = _missing(skip)
+    return facts.select(
+        F.col("total_sequences").alias("n_rows"),
+        cells.alias("total_missing_cells"),
+        share.alias("missing_percentage"),
         "complete_rows",
-        F.map_from_entries(F.filter(pairs, lambda p: p["value"] > 0)).alias("columns_with_missing"),
+        F.map_from_entries(F.filter(entries, lambda e: e["missing"] > 0)).alias("columns_with_missing"),
     )
 
 
@@ -351,15 +374,13 @@ def column_cardinality(df: DataFrame, share: float = 0.5) -> DataFrame:
 
 
 def validation_facts(df: DataFrame, sequence: str = "sequence") -> DataFrame:
-    """One row with the numbers that advice and gate look at, from one scan."""
-    nulls = reduce(lambda a, b: a + b, [F.count_if(~present(df, c)) for c in df.columns])
-    return df.agg(
-        F.count(F.lit(1)).alias("total_sequences"),
-        F.count_if(~sq.is_strict(sq.normalise(sequence))).alias("invalid_sequences"),
-        F.try_divide(nulls * 100.0, F.count(F.lit(1)) * len(df.columns)).alias(
-            "missing_percentage"
-        ),
-    )
+    """One row with the numbers that advice and gate look at."""
+    return facts_of(overview(df, sequence))
+
+
+def facts_of(facts: DataFrame) -> DataFrame:
+    _, _, share = _missing()
+    return facts.select("total_sequences", "invalid_sequences", share.alias("missing_percentage"))
 
 
 def recommendations(facts: DataFrame, targets: DataFrame | None = None) -> DataFrame:

@@ -17,9 +17,16 @@ def prediction_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith(PREFIX)]
 
 
-def add_sequence_facts(df: DataFrame, sequence: str = "sequence") -> DataFrame:
-    """Adds ``sequence_length`` and ``gc_content`` when there is a sequence column."""
-    if sequence not in df.columns:
+FACTS = ("sequence_length", "gc_content")
+
+
+def add_sequence_facts(
+    df: DataFrame, sequence: str = "sequence", recompute: bool = False
+) -> DataFrame:
+    """Adds ``sequence_length`` and ``gc_content``. A table that has both (predictions do)
+    keeps them unless asked otherwise, so its sequences need not be read again.
+    """
+    if sequence not in df.columns or (not recompute and set(FACTS) <= set(df.columns)):
         return df
     return df.withColumns(
         {"sequence_length": sq.sequence_length(sequence), "gc_content": sq.gc_content(sequence)}

@@ -65,9 +65,12 @@ def split(
         share = F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / float(16**12)
         in_test = share < test_size
     else:
-        n = df.count()
+        row = df.agg(F.count(F.lit(1)).alias("n"), F.count(key).alias("keys")).first()
+        n = row["n"]
         if n < 2:
             raise ValueError("a split needs at least two rows")
+        if row["keys"] < n:
+            raise ValueError(f"'{key}' is null in {n - row['keys']} rows")
         last_hash, last_id = _cutoff(df, key, max(1, int(n * test_size)), seed)
         in_test = (h < last_hash) | ((h == last_hash) & (F.col(key) <= F.lit(last_id)))
     return df.where(~in_test), df.where(in_test)

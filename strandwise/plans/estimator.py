@@ -13,7 +13,7 @@ from strandwise.operators.boosting import FEATURES, MISSING, Boosting, MultiTarg
 from strandwise.operators.covariates import CovariateEncoder
 from strandwise.operators.features import STRUCTURE_FEATURES, structure_features
 from strandwise.operators.quality import covariate_columns, target_columns
-from strandwise.operators.ranking import PREFIX, add_sequence_facts
+from strandwise.operators.ranking import FACTS, PREFIX, add_sequence_facts
 from strandwise.operators.reduce import EmbeddingReducer
 
 META_SCHEMA = (
@@ -181,10 +181,10 @@ class PropertyModel:
         model = self._check_fitted("prediction")
         if self.sequence not in rows.columns:
             raise ValueError(f"Sequence column '{self.sequence}' not found")
-        facts = add_sequence_facts(rows, self.sequence)
+        facts = add_sequence_facts(rows, self.sequence, recompute=True)
         wanted = rows.columns if include_features else [self.key]
         carry = [c for c in wanted if c != self.key]
-        carry += [c for c in ("sequence_length", "gc_content") if c not in carry]
+        carry += [c for c in FACTS if c not in carry]
         predicted = model.predict(self._assemble(facts, sources, carry))
         back = {c: F.col(f"_carry_{i}").alias(c) for i, c in enumerate(carry)}
         return predicted.select(

@@ -7,7 +7,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandwise.operators import embedding as emb
 from strandwise.operators import evaluation, quality, ranking
@@ -27,15 +26,16 @@ class CriticalIssues(ValueError):
 
 def validate_table(df: DataFrame, targets: Sequence[str] = quality.TARGETS) -> dict[str, DataFrame]:
     """Every section of the data-quality report."""
-    facts = settle(quality.validation_facts(df))
+    overview = settle(quality.overview(df))
+    facts = quality.facts_of(overview)
     profile = settle(quality.target_profile(df, targets))
     _, bad = quality.split_valid(df)
     return {
-        "sequence_summary": quality.sequence_summary(df),
-        "base_composition": quality.base_composition(df),
+        "sequence_summary": quality.summary_of(overview),
+        "base_composition": quality.composition_of(overview),
         "invalid_sequences": bad,
         "target_profile": profile,
-        "missing_data": quality.missing_profile(df),
+        "missing_data": quality.missing_of(overview),
         "duplicate_rows": quality.duplicate_rows(df),
         "column_cardinality": quality.column_cardinality(df),
         "recommendations": quality.recommendations(facts, profile),
@@ -54,8 +54,9 @@ def validate_job(
     return sections
 
 
-def _gate(df: DataFrame) -> None:
-    issues = [r["issue"] for r in quality.critical_issues(quality.validation_facts(df)).collect()]
+def _gate(issues: DataFrame) -> None:
+    """``issues`` has at most one row per kind of issue."""
+    issues = [r["issue"] for r in issues.collect()]
     if issues:
         raise CriticalIssues("; ".join(issues))
 
@@ -73,7 +74,8 @@ def train_job(
 ) -> dict[str, DataFrame]:
     """Check, split, fit, evaluate on the test rows, save model and test results."""
     if validate:
-        _gate(tables.load_sequences(spark, path, strict=False))
+        lenient = tables.load_sequences(spark, path, strict=False)
+        _gate(quality.critical_issues(quality.validation_facts(lenient)))
     df = tables.keyed_input(tables.load_sequences(spark, path), f"{out}/input")
     train, test = split(df, test_size, seed)
     model = PropertyModel(n_components, params).fit(train, sources)
@@ -175,8 +177,9 @@ def full_job(
     params: Boosting = Boosting(),
 ) -> dict[str, DataFrame]:
     """Validate, gate, train, then the full report on the test rows."""
-    tables.write_sections(validate_table(tables.load_sequences(spark, path, strict=False)), f"{out}/validation")
-    _gate(tables.load_sequences(spark, path, strict=False))
+    checked = validate_table(tables.load_sequences(spark, path, strict=False))
+    tables.write_sections(checked, f"{out}/validation")
+    _gate(checked["critical_issues"])
     trained = train_job(spark, path, out, sources, test_size, n_components, params)
     results = trained["test_results"]
     targets = [c.removeprefix(ranking.PREFIX) for c in ranking.prediction_columns(results)]

@@ -207,6 +207,8 @@ def test_split_refuses(spark):
     one = spark.range(1).withColumnRenamed("id", "seq_id")
     with pytest.raises(ValueError, match="at least two"):
         split(one)
+    with pytest.raises(ValueError, match="is null in 1 rows"):
+        split(spark.createDataFrame([(1,), (None,)], "seq_id long"))
     copies = spark.range(100).select(F.lit(7).alias("seq_id"))
     with pytest.raises(ValueError, match="not unique"):
         split(copies)
