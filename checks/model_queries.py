@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import views
+from checks.data_queries import ORACLE as DATA_SQL
 from checks.views import rounded, sql_round, table, with_views
 from strandwise.functions import labels
 from strandwise.functions import sequence as sq
@@ -20,6 +23,9 @@ from strandwise.operators.reduce import EmbeddingReducer
 from strandwise.operators.split import split
 from strandwise.plans import report
 from strandwise.plans.estimator import PropertyModel, Sources
+from strandwise.session import ensure_checkpoint_dir
+
+STRUCTURE_SQL, ONE_HOT_SQL = DATA_SQL["structure_features"], DATA_SQL["one_hot"]
 
 # --- evaluation -----------------------------------------------------------------------
 
@@ -634,6 +640,51 @@ def assembled_features(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("seq_id", vector_to_array("features").alias("features"), "fold_status", "embed_status")
 
 
+COVARIATE_FEATURES = [
+    "enzyme_type_en", "enzyme_type_es", "enzyme_type_fr", "temperature_39.5", "temperature_42.0",
+]
+
+
+def feature_assembly(spark: SparkSession, sf: str) -> DataFrame:
+    """Structure features and encoded covariates of every sequence, joined by key."""
+    rows, sources = _model_rows(spark, sf)
+    sources = Sources(sources.structures)
+    model = PropertyModel()
+    model.featurizer = model.featurizer.fit(rows, sources)
+    model.encoder = CovariateEncoder().fit(rows, ["enzyme_type", "temperature"])
+    values = vector_to_array("features")
+    wide = model.assemble(rows, sources, ["expression"]).select(
+        "seq_id", "expression", *[values[i].alias(n) for i, n in enumerate(model.feature_names)]
+    )
+    return rounded(wide)
+
+
+def embedding_pca_norms(spark: SparkSession, sf: str) -> DataFrame:
+    """With all components kept PCA only rotates: lengths equal those of the scaled input."""
+    vectors = table(spark, sf, "embeddings")
+    reduced = EmbeddingReducer(64).fit(vectors).transform(vectors, "vec_id")
+    square = F.aggregate("reduced", F.lit(0.0), lambda total, x: total + x * x)
+    return rounded(reduced.select("vec_id", square.alias("square")), 4)
+
+
+def model_reload(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions of a fitted model against those of its saved and loaded copy."""
+    rows, sources = _model_rows(spark, sf)
+    model = PropertyModel(4, Boosting(trees=2, depth=2)).fit(rows, sources, ["expression"])
+    path = model.save(spark, f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}")
+    both = [
+        m.predict(rows, sources, include_features=False).select(
+            "seq_id", F.col("predicted_expression").alias(name)
+        )
+        for m, name in ((model, "before"), (PropertyModel.load(spark, path), "after"))
+    ]
+    pairs = both[0].join(both[1], "seq_id")
+    return pairs.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("n_different"),
+    )
+
+
 def cross_validation(spark: SparkSession, sf: str) -> DataFrame:
     rows, model = _features(spark, sf)
     return cross_validate(rows, MODEL_TARGETS[:2], model.feature_names, SMALL, folds=3)
@@ -659,6 +710,27 @@ _EMBED_SQL = {
     )
 }
 
+_STRUCTURE = [
+    "mfe", "mfe_normalized", "hairpin_count", "stem_count", "gc_content", "sequence_length",
+    "bulge_count", "loop_count",
+]
+_EMBED_SQL["feature_assembly"] = (
+    f"WITH f AS ({STRUCTURE_SQL}), c AS ({ONE_HOT_SQL}), a AS ({views.SQL['assay']}) "
+    f"SELECT f.seq_id, round(expression, 6) + 0.0 AS expression, "
+    + ", ".join(f'cast({n} AS double) + 0.0 AS "{n}"' for n in _STRUCTURE)
+    + ", "
+    + ", ".join(f'"{n}"' for n in COVARIATE_FEATURES)
+    + " FROM f JOIN c ON f.seq_id = c.seq_id JOIN a ON f.seq_id = a.seq_id"
+)
+_EMBED_SQL["embedding_pca_norms"] = """
+    WITH u AS (SELECT vec_id, unnest(generate_series(1, len(embedding))) AS p,
+                      cast(unnest(embedding) AS double) AS x FROM embeddings),
+    s AS (SELECT p, avg(x) AS m, stddev_samp(x) AS d FROM u GROUP BY p)
+    SELECT vec_id, round(sum(pow((x - m) / d, 2)), 4) + 0.0 AS square
+    FROM u JOIN s ON u.p = s.p GROUP BY vec_id"""
+_EMBED_SQL["model_reload"] = """
+    SELECT count(*) AS n_rows, cast(0 AS bigint) AS n_different FROM documents"""
+
 QUERIES = {
     **{
         f.__name__: f
@@ -674,7 +746,8 @@ QUERIES = {
         f.__name__: f
         for f in (
             embedding_pca, embedding_pca_statistics, embed_hook, train_predict, feature_importance,
-            assembled_features, cross_validation, grid_search,
+            assembled_features, feature_assembly, embedding_pca_norms, model_reload,
+            cross_validation, grid_search,
         )
     },
 }
