@@ -208,7 +208,7 @@ def iqr_outliers(spark: SparkSession, sf: str) -> DataFrame:
 
 def price_outliers(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice")
-    return rounded(quality.outlier_summary(lines, ["l_returnflag"], "l_extendedprice"), 4)
+    return rounded(quality.outlier_summary(lines, ["l_returnflag"], "l_extendedprice"))
 
 
 def _dirty_assay(spark: SparkSession, sf: str) -> DataFrame:
@@ -489,7 +489,7 @@ ORACLE = {
                      max(x) FILTER (WHERE x < lower_bound OR x > upper_bound) AS max_outlier
               FROM o GROUP BY l_returnflag)
         SELECT l_returnflag, outlier_count,
-               {sql_round('q1, median, q3, lower_bound, upper_bound, min_outlier, max_outlier', 4)}
+               {sql_round('q1, median, q3, lower_bound, upper_bound, min_outlier, max_outlier')}
         FROM g""",
     "validation_recommendations": with_views(
         f"""WITH {DIRTY}, {DIRTY_FACTS},

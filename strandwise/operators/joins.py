@@ -22,17 +22,20 @@ def join_on(
     how: str = "inner",
     also: Column | None = None,
     small: bool = False,
+    never_null: Sequence[str] = (),
 ) -> DataFrame:
     """Null-safe equi-join on ``on``: the left columns, then the other right columns.
 
     Columns are matched by name, so both sides may come from one table. ``also`` adds a
-    condition, ``small`` broadcasts the right side: the caller vouches for its size.
+    condition, ``small`` broadcasts the right side: the caller vouches for its size. Keys in
+    ``never_null`` are compared plainly, which sorts and hashes less.
     """
     extra = [c for c in right.columns if c not in on]
     renamed = right.select(*[F.col(k).alias(f"_right_{k}") for k in on], *extra)
     condition = F.lit(True) if also is None else also
     for k in on:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+        other = F.col(f"_right_{k}")
+        condition = condition & (F.col(k) == other if k in never_null else F.col(k).eqNullSafe(other))
     joined = left.join(F.broadcast(renamed) if small else renamed, condition, how)
     return joined.select(*left.columns, *extra)
 
@@ -59,30 +62,36 @@ def join_small(df: DataFrame, table: DataFrame, on: list[str], how: str = "left"
 
 
 def lookup_join(
-    df: DataFrame, lookup: DataFrame, on: list[str], hot_from: int | None, salts: int
+    df: DataFrame,
+    lookup: DataFrame,
+    on: list[str],
+    salts: int,
+    hot: DataFrame | None = None,
+    hot_from: int = 0,
 ) -> DataFrame:
     """Left join to a table with one row per ``on`` and the number of its ``ties``.
 
-    Keys with more than ``hot_from`` ties must be few: they get a salt, so their rows
-    spread over all partitions, and their lookup row is repeated per salt. Rows whose last
-    key is missing match nothing and are spread the same way.
+    ``hot`` lists the few keys with more than ``hot_from`` ties: they get a salt, so their
+    rows spread over all partitions, and their lookup row is repeated per salt. Rows whose
+    last key is missing match nothing and are spread the same way.
     """
     missing = ~present(df, on[-1])
     salt = spread(df.columns, salts)
-    if hot_from is None:
+    if hot is None:
         rows = df.withColumn("_salt", F.when(missing, salt).otherwise(0))
         # Not a literal: a constant would be taken out of the join keys again, and the
         # rows without a value would all hash alike.
         right = lookup.withColumn("_salt", F.when(F.col("ties") > 0, 0).otherwise(-1))
     else:
-        is_hot = F.col("ties") > hot_from
-        hot = lookup.where(is_hot).select(*on).withColumn("_hot", F.lit(True))
-        marked = join_small(df, hot, on)
+        marked = join_small(df, hot.select(*on).withColumn("_hot", F.lit(True)), on)
         rows = marked.withColumn(
             "_salt", F.when(F.col("_hot") | missing, salt).otherwise(0)
         ).drop("_hot")
         every = F.sequence(F.lit(0), F.lit(salts - 1))
+        one = F.array(F.lit(0))
         right = lookup.withColumn(
-            "_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0))))
+            "_salt", F.explode(F.when(F.col("ties") > hot_from, every).otherwise(one))
         )
-    return join_on(rows, right.drop("ties"), [*on, "_salt"], "left").drop("_salt")
+    plain = [on[-1], "_salt"]
+    order = [*plain, *on[:-1]]
+    return join_on(rows, right.drop("ties"), order, "left", never_null=plain).drop("_salt")

@@ -225,4 +225,8 @@ def attach_ranks(df: DataFrame, blocks: ValueBlocks, out: str, method: str = "mi
     }[method]
     on = [*blocks.keys, blocks.value]
     lookup = blocks.ranks().select(*on, "ties", number.alias(out))
-    return lookup_join(df, lookup, on, blocks.hot_ties(), blocks.blocks)
+    limit = blocks.hot_ties()
+    if limit is None:
+        return lookup_join(df, lookup, on, blocks.blocks)
+    hot = blocks.values.where(F.col("_ties") > limit)
+    return lookup_join(df, lookup, on, blocks.blocks, hot, limit)

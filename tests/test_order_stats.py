@@ -110,7 +110,7 @@ def test_hot_rows_and_missing_rows_are_spread(spark):
     lookup = df.where("v is not null").groupBy("v").agg(F.count("*").alias("ties")).withColumn("out", F.col("v") * 2)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = joins.lookup_join(df, lookup, ["v"], 100, 8)
+        joined = joins.lookup_join(df, lookup, ["v"], 8, lookup.where("ties > 100"), 100)
         sizes = joined.groupBy(F.spark_partition_id().alias("p")).count().toPandas()["count"]
         rows = joined.toPandas()
     finally:
