@@ -11,7 +11,7 @@ from checks import views
 from checks.views import rounded, sql_round, table, with_views
 from strandwise.functions import sequence as sq
 from strandwise.operators import covariates, embedding, features, quality
-from strandwise.operators.split import split
+from strandwise.operators.split import fold_of, split
 from strandwise.session import ensure_checkpoint_dir
 from strandwise.sources import tables
 
@@ -260,6 +260,11 @@ def seeded_split_orders(spark: SparkSession, sf: str) -> DataFrame:
     return _parts(table(spark, sf, "orders"), "o_orderkey")
 
 
+def fold_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders")
+    return orders.select("o_orderkey", fold_of("o_orderkey", 5).alias("fold"))
+
+
 def _split_sql(name: str, key: str) -> str:
     return f"""
         SELECT {key}, CASE WHEN row_number() OVER (
@@ -314,7 +319,7 @@ QUERIES = {
         embedding_attach, stack_batches, mean_pool, missing_profile, missing_columns,
         duplicate_rows, column_cardinality, target_profile, event_profile, iqr_outliers,
         price_outliers, validation_recommendations, critical_issues, seeded_split,
-        seeded_split_orders, column_types, assay_column_types, one_hot, scale_covariates,
+        seeded_split_orders, fold_assignment, column_types, assay_column_types, one_hot, scale_covariates,
         target_scale, target_scale_roundtrip,
     )
 }
@@ -520,6 +525,10 @@ ORACLE = {
     ),
     "seeded_split": _split_sql("documents", "doc_id"),
     "seeded_split_orders": _split_sql("orders", "o_orderkey"),
+    "fold_assignment": """
+        SELECT o_orderkey, cast(('0x' || substr(md5(concat(cast(o_orderkey AS varchar), ':42:fold')), 1, 8))::UBIGINT
+               % 5 AS integer) AS fold
+        FROM orders""",
     "column_types": """
         SELECT 'c_custkey' AS "column", CASE WHEN count(DISTINCT c_custkey) <= 10 THEN 'categorical' ELSE 'numeric' END AS kind FROM customer
         UNION ALL SELECT 'c_name', 'categorical'

@@ -77,5 +77,7 @@ def split(
 
 
 def fold_of(key: str, folds: int, seed: int = 42) -> Column:
-    """Fold number 0 .. folds - 1."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int")
+    """Fold number 0 .. folds - 1, from another hash than the split uses."""
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}:fold")))
+    number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    return F.pmod(number, F.lit(folds)).cast("int")

@@ -67,11 +67,19 @@ def read_csv(
 
 
 def read_table(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    kind: str | None = None,
 ) -> DataFrame:
-    """Parquet, or CSV when the path ends in ``.csv``. A missing path fails at once."""
-    if path.rstrip("/").endswith(".csv"):
+    """``parquet`` or ``csv``: by ``kind``, else CSV when the path ends in ``.csv``. A
+    missing path fails at once.
+    """
+    kind = kind or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
+    if kind == "csv":
         return read_csv(spark, path, schema)
+    if kind != "parquet":
+        raise ValueError(f"unknown kind of table '{kind}'")
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)
 
@@ -89,11 +97,12 @@ def load_sequences(
     required: Sequence[str] = REQUIRED,
     strict: bool = True,
     schema: T.StructType | str | None = None,
+    kind: str | None = None,
 ) -> DataFrame:
     """Read and check: required columns on the schema; with ``strict`` one pass that fails
     on null or invalid sequences.
     """
-    df = require_columns(read_table(spark, path, schema), required)
+    df = require_columns(read_table(spark, path, schema, kind), required)
     if strict:
         check_strict(df)
     return df

@@ -42,7 +42,7 @@ def kinds_of(table: pa.Table) -> dict[str, str]:
 
 
 def compare(spark_table: pa.Table, con, sql: str) -> list[str]:
-    oracle = con.execute(sql).to_arrow_table()
+    oracle = con.sql(sql).to_arrow_table()
     problems = []
     if kinds_of(spark_table) != kinds_of(oracle):
         problems.append(f"schema: {kinds_of(spark_table)} / {kinds_of(oracle)}")

@@ -37,6 +37,13 @@ def test_csv_round_trip_and_types(spark, sample, tmp_path):
     assert sorted(back.select(*sample.columns).collect()) == sorted(sample.collect())
 
 
+def test_kinds_of_tables(spark, sample, tmp_path):
+    path = tables.write_csv(sample, str(tmp_path / "plain_name"))
+    assert tables.load_sequences(spark, path, kind="csv").count() == 3
+    with pytest.raises(ValueError, match="unknown kind"):
+        tables.read_table(spark, path, kind="orc")
+
+
 def test_missing_path(spark, tmp_path):
     with pytest.raises(AnalysisException):
         tables.load_sequences(spark, str(tmp_path / "none.csv"))
