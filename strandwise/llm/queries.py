@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandwise.llm import bpe, token_counts
+from strandwise.llm import bpe, language_id, packing, quality_rules, sharding, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,8 +23,28 @@ def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf, "documents"), BYTE_BPE, token_counts.new_cache(spark))
 
 
+def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf, "documents"), WORD_BPE)
+
+
+def op10_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf, "documents"))
+
+
+def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op3_bpe": op3_bpe,
+    "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_language_id": op8_language_id,
+    "op10_shards": op10_shards,
 }
 ORACLE: dict[str, str] = {}
