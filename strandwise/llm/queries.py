@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandwise.llm import bpe, language_id, packing, quality_rules, sharding, token_counts
+from strandwise.llm import bpe, jaccard_join, language_id, packing, quality_rules, sharding, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,11 +39,16 @@ def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf, "documents"))
 
 
+def op7_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.near_components(_table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
     "op6_quality_rules": op6_quality_rules,
+    "op7_jaccard": op7_jaccard,
     "op8_language_id": op8_language_id,
     "op10_shards": op10_shards,
 }
