@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandwise.llm import bpe, jaccard_join, language_id, packing, quality_rules, sharding, token_counts
+from strandwise.llm import bpe, jaccard_join, language_id, packing, pii, quality_rules, sharding, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,6 +43,10 @@ def op7_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.near_components(_table(spark, sf, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.detect(_table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_packing": op4_packing,
@@ -50,6 +54,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_jaccard": op7_jaccard,
     "op8_language_id": op8_language_id,
+    "op9_pii": op9_pii,
     "op10_shards": op10_shards,
 }
 ORACLE: dict[str, str] = {}
