@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandwise.llm import bpe, jaccard_join, language_id, packing, pii, quality_rules, sharding, substring_dedup, token_counts
+from strandwise.llm import bpe, embedding_dedup, jaccard_join, language_id, packing, pii, quality_rules, sharding, substring_dedup, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,7 +51,12 @@ def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.remove(_table(spark, sf, "documents"), digest=True)
 
 
+def op1_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf, "embeddings"))
+
+
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_bpe": op3_bpe,
     "op4_packing": op4_packing,
