@@ -62,28 +62,29 @@ def gram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(doc, np.arange(len(texts) + 1))
 
 
-class Order:
-    """The global order: a number per n-gram. Frequent ones get the highest, by frequency."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        by = np.argsort(grams)
-        self.grams = grams[by]
-        rank = np.empty(len(grams), np.uint64)
-        rank[np.lexsort((grams, counts))] = np.arange(len(grams), dtype=np.uint64)
-        self.rank = rank[by]
-
-    def apply(self, grams: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The numbers of each text's n-grams, ascending within the text."""
-        numbers = grams >> np.uint64(1)
-        if len(self.grams):
-            at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-            known = self.grams[at] == grams
-            numbers[known] = _TOP | self.rank[at[known]]
-        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        return numbers[np.lexsort((numbers, doc))]
-
-
-def frequent(texts: DataFrame, n: int, heavy: int, least: int) -> Order:
+def rank(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent n-grams, ascending, and the place of each in order of frequency."""
+    by = np.argsort(grams)
+    place = np.empty(len(grams), np.uint64)
+    place[np.lexsort((grams, counts))] = np.arange(len(grams), dtype=np.uint64)
+    return grams[by], place[by]
+
+
+def arrange(order: tuple[np.ndarray, np.ndarray], grams: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The number of each n-gram in the global order, ascending within each text. Frequent
+    n-grams have the highest numbers, by frequency; the others their hash.
+    """
+    known, place = order
+    numbers = grams >> np.uint64(1)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        hit = known[at] == grams
+        numbers[hit] = _TOP | place[at[hit]]
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    return numbers[np.lexsort((numbers, doc))]
+
+
+def frequent(texts: DataFrame, n: int, heavy: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """The order from the n-grams that ``least`` texts of some 8 MB of texts have."""
 
     def run(items):
@@ -95,7 +96,7 @@ def frequent(texts: DataFrame, n: int, heavy: int, least: int) -> Order:
 
     counted = texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     table = counted.orderBy(F.desc("n"), "gram").limit(heavy).toArrow()
-    return Order(table.column("gram").to_numpy().astype(np.uint64), table.column("n").to_numpy())
+    return rank(table.column("gram").to_numpy().astype(np.uint64), table.column("n").to_numpy())
 
 
 def _digest(numbers: np.ndarray) -> bytes:
@@ -103,21 +104,21 @@ def _digest(numbers: np.ndarray) -> bytes:
 
 
 def _prefixes(texts: DataFrame, order, n: int, percent: int) -> DataFrame:
-    """(key, n, digest, prefix) per row of (key, text)."""
+    """(key, content, n, digest, prefix) per row of (key, text, content)."""
 
     def run(items):
         for batch in batches(items, "text"):
             grams, first = gram_sets(batch.column(1), n)
-            numbers = order.value.apply(grams, first)
+            numbers = arrange(order.value, grams, first)
             size = np.diff(first)
             length = np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
             ends = np.cumsum(length)
             at = np.repeat(first[:-1] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
             prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(numbers[at].view(np.int64)))
             digest = pa.array([_digest(numbers[a:b]) for a, b in zip(first, first[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int64)), digest, prefix], ["key", "n", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size.astype(np.int64)), digest, prefix], ["key", "content", "n", "digest", "prefix"])
 
-    return texts.mapInArrow(run, "key long, n long, digest binary, prefix array<long>")
+    return texts.select("key", "text", "content").mapInArrow(run, "key long, content long, n long, digest binary, prefix array<long>")
 
 
 def _possible(size_a, place_a, size_b, place_b, percent: int):
@@ -274,7 +275,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, order, n: int, percent: int, blo
         table = right.select(["node", "text", "digest"])
         for batch in batches(table.to_batches(), "text"):
             grams, first = gram_sets(batch.column(1), n)
-            numbers = order.value.apply(grams, first)
+            numbers = arrange(order.value, grams, first)
             for i, (node, digest) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
                 own = numbers[first[i] : first[i + 1]]
                 if _digest(own) == digest:  # else another row with the same key
@@ -294,8 +295,40 @@ def near_components(
     block_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """(key, n_shingles, component_id) per row."""
+    members = _members(docs, n, percent, heavy, least, block_bytes, key, text)
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key"))
+    return members.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def heads(
+    docs: DataFrame, n: int = 5, percent: int = 80, heavy: int = 200_000, least: int = 8,
+    block_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay when of each component the document with the
+    least key stays. Rows with equal key and text are one row; rows without words or key stay.
+    """
+    members = _members(docs, n, percent, heavy, least, block_bytes, key, text)
+    others = members.filter("n > 0 AND key IS NOT NULL")
+    # A head is the component's least key, with the set of one of the rows of that key.
+    least_set = others.filter("key = component").groupBy("component").agg(F.min("digest").alias("stays"))
+    gone = others.join(least_set, "component").filter("key <> component OR digest <> stays").select(
+        F.col("key").alias("_key"), F.col("content").alias("_content")
+    )
+    names = docs.columns
+    rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    value = F.col(f"c{names.index(text)}").cast("string")
+    rows = rows.withColumns({"_key": F.col(f"c{names.index(key)}").cast("long"), "_content": F.xxhash64(value, F.lit("text"))})
+    kept = rows.join(gone.distinct(), ["_key", "_content"], "left_anti").dropDuplicates(["_key", "_content"])
+    return kept.drop("_key", "_content").toDF(*names)
+
+
+def _members(docs, n, percent, heavy, least, block_bytes, key, text) -> DataFrame:
+    """(key, n, digest, content, component) per row; the component of a row without words is
+    null. ``content`` is a hash of the text as it is.
+    """
     spark: SparkSession = docs.sparkSession
     rows = plain(docs, **{key: "long", text: "string"}).toDF("key", "text")
+    rows = rows.withColumn("content", F.xxhash64("text", F.lit("text")))
     order = spark.sparkContext.broadcast(frequent(rows, n, heavy, least))
     known = store(_prefixes(rows, order, n, percent), "prefixes")
     filled = known.filter("n > 0")
@@ -307,7 +340,7 @@ def near_components(
     tokens = tokens.select("token", "n", "node", F.col("place").cast("long").alias("place"))
     ordered = tokens.repartitionByRange(partitions(spark), "token", "n", "node").sortWithinPartitions("token", "n", "node")
     shared = store(_neighbours(ordered, percent), "shared")
-    members = store(known.select("key", "n", "digest"), "members")
+    members = store(known.select("key", "n", "digest", "content"), "members")
     drop_stored(known)
 
     wanted = shared.select("node").distinct().join(classes.filter("node is not null"), "node")
@@ -332,6 +365,4 @@ def near_components(
     links = near.union(_verify(rest, texts, order, n, percent, block_bytes))
 
     named = classes.join(components(links), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    joined = members.join(named, "digest", "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key"))
-    return joined.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return members.join(named, "digest", "left")

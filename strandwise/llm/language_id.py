@@ -73,6 +73,16 @@ class Filter:
         self.languages = languages
         self.cells = [np.zeros(_CELLS, self._kind(at)) for at in range(0, len(languages), 64)]
 
+    def parts(self) -> tuple:
+        """Plain lists and arrays, which workers can read without this package."""
+        return self.languages, self.cells, self.false_positive
+
+    @classmethod
+    def of(cls, languages: list[str], cells: list[np.ndarray], false_positive: np.ndarray) -> Filter:
+        known = cls.__new__(cls)
+        known.languages, known.cells, known.false_positive = languages, cells, false_positive
+        return known
+
     def _kind(self, at: int):
         left = len(self.languages) - at
         return np.uint8 if left <= 8 else np.uint16 if left <= 16 else np.uint32 if left <= 32 else np.uint64
@@ -169,14 +179,14 @@ def predict(docs: DataFrame, known: Filter, text: str = "text", keep: list[str]
 
     The score is the winner's part of its own and the runner-up's corrected hits.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    shared = docs.sparkSession.sparkContext.broadcast(known.parts())
     names = docs.columns if keep is None else keep
     kinds = dict(docs.dtypes)
     letters = F.coalesce(F.col(f"`{text}`").cast("string").rlike(r"\p{L}"), F.lit(False))
     fields = ", ".join(f"`{n}` {kinds[n]}" for n in names)
 
     def run(items):
-        known = shared.value
+        known = Filter.of(*shared.value)
         for batch in batches(items, "_text", 2 << 20):
             column = batch.column(len(names))
             lettered = np.asarray(batch.column(len(names) + 1))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import Words, drop_stored, partitions, plain, store
+from strandwise.llm.common import Words, partitions
 
 _NO_KEY = -(1 << 63)
 FACTORS = "row long, start int, length int, ref_doc long, ref_start int"
@@ -50,6 +50,7 @@ class Pack:
         by = np.argsort(keys, kind="stable")
         table = table.take(pa.array(by))
         texts = pa.concat_arrays(table.column("text").cast(pa.large_binary()).chunks or [pa.array([], pa.large_binary())])
+        self.table = table
         self.keys, self.rows = keys[by], table.column("row").to_numpy()
         self.words = Words(texts)
         windows, whole = self.words.grams(width), self.words.complete(width)
@@ -231,47 +232,78 @@ def _join(pack: Pack, factors: pa.Table, width: int) -> tuple[np.ndarray, ...]:
     return pack.doc[at], pack.place(at), lengths, ref[at], ref_at[at]
 
 
-def _packed(docs: DataFrame, key: str, text: str, pack_bytes: int) -> DataFrame:
-    rows = plain(docs, **{key: "long", text: "string"}).toDF("key", "text")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def _packed(docs: DataFrame, key: str, text: str, pack_bytes: int, whole: bool) -> DataFrame:
+    """(key, row, text, pack), with ``whole`` and the other columns as c0, c1, ..."""
+    names = [c for c in docs.columns if c != text] if whole else []
+    rows = docs.select(
+        F.col(f"`{key}`").cast("long").alias("key"),
+        F.col(f"`{text}`").cast("string").alias("text"),
+        *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)),
+    )
+    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     packs = max(1, -(-total // pack_bytes), partitions(docs.sparkSession))
     return rows.select(
         F.coalesce("key", F.lit(_NO_KEY)).alias("key"),
         F.monotonically_increasing_id().alias("row"),
         "text",
         F.pmod(F.xxhash64("key", "text"), F.lit(packs)).alias("pack"),
+        *(f"c{i}" for i in range(len(names))),
     )
 
 
-def parse(docs: DataFrame, width: int = 13, gram: int = 6, pack_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text"):
-    """(packed rows, their factors in blocks): see ``factors`` and ``remove``."""
-    spark = docs.sparkSession
-    n = partitions(spark)
-    rows = _packed(docs, key, text, pack_bytes)
+def parse(
+    docs: DataFrame, width: int = 13, gram: int = 6, pack_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text", whole: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """(packed rows, their factors in blocks): see ``factors`` and ``remove``. Nothing is stored
+    in between: all passes over the packs are parts of one plan and share one exchange of texts.
+    """
+    n = partitions(docs.sparkSession)
+    rows = _packed(docs, key, text, pack_bytes, whole)
     anchors = _anchors(rows, width, gram).repartition(n, "anchor").sortWithinPartitions("anchor")
-    shared = store(_shared(anchors), "shared-anchors")
-    phrases = _phrases(rows, shared.withColumnRenamed("pack", "target"), width, gram)
-    blocks = phrases.repartition(n, "anchor").sortWithinPartitions("anchor", "key", "row", "start")
-    found = store(_factors(blocks, width), "factors")
-    drop_stored(shared)
-    return rows, found
+    shared = _shared(anchors).select(F.col("pack").alias("target"), "anchor")
+    blocks = _phrases(rows, shared, width, gram).repartition(n, "anchor").sortWithinPartitions("anchor", "key", "row", "start")
+    return rows, _factors(blocks, width).withColumnRenamed("pack", "target")
 
 
-def factors(docs: DataFrame, width: int = 13, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+def factors(docs: DataFrame, width: int = 13, gram: int = 6, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """(key, start, length, ref_doc, ref_start) in words of every factor."""
-    rows, found = parse(docs, width, key=key, text=text, **settings)
-    gram = settings.get("gram", 6)
+    rows, found = parse(docs, width, gram, key=key, text=text, **settings)
 
     def run(_, left, right):
         pack = Pack(left, width, gram)
         doc, start, length, ref, ref_at = _join(pack, right, width)
         return pa.table({"key": pack.keys[doc], "start": start, "length": length, "ref_doc": ref, "ref_start": ref_at})
 
-    out = rows.groupBy("pack").cogroup(found.withColumnRenamed("pack", "target").groupBy("target"))
+    out = rows.groupBy("pack").cogroup(found.groupBy("target"))
     return out.applyInArrow(run, "key long, start long, length long, ref_doc long, ref_start long").withColumnRenamed("key", key)
 
 
-def remove(docs: DataFrame, width: int = 13, gram: int = 6, pack_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+def _kept(pack: Pack, right: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words, words removed, and the words left joined by one space, of each text of a pack."""
+    words = pack.words
+    doc, start, length, _, _ = _join(pack, right, width)
+    gone = np.zeros(len(words.starts) + 1, np.int64)
+    at = words.first[doc] + start
+    np.add.at(gone, at, 1)
+    np.subtract.at(gone, at + length, 1)
+    stays = np.cumsum(gone[:-1]) == 0
+    n_words = np.diff(words.first)
+    counts = np.r_[0, np.cumsum(stays)]
+    n_kept = counts[words.first[1:]] - counts[words.first[:-1]]
+    # Kept words with one space behind each, then the texts cut from that.
+    begin, size = words.starts[stays], (words.ends - words.starts)[stays]
+    ends = np.cumsum(size + 1)
+    source = np.repeat(begin - (ends - size - 1), size + 1) + np.arange(ends[-1] if len(ends) else 0)
+    flat = words.data[np.minimum(source, len(words.data) - 1)] if len(source) else np.zeros(0, np.uint8)
+    flat[ends - 1] = 32
+    cut = np.r_[0, ends][np.r_[0, np.cumsum(n_kept)]]
+    raw = flat.tobytes()
+    return n_words, n_words - n_kept, [raw[a : max(b - 1, a)] for a, b in zip(cut.tolist(), cut[1:].tolist())]
+
+
+def remove(
+    docs: DataFrame, width: int = 13, gram: int = 6, pack_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text", digest: bool = False,
+) -> DataFrame:
     """(key, n_words, n_removed, kept) per row: the words left, joined by one space each, or
     with ``digest`` their SHA-256 instead (``kept_sha256``).
     """
@@ -280,29 +312,36 @@ def remove(docs: DataFrame, width: int = 13, gram: int = 6, pack_bytes: int = 16
 
     def run(_, left, right):
         pack = Pack(left, width, gram)
-        words = pack.words
-        doc, start, length, _, _ = _join(pack, right, width)
-        gone = np.zeros(len(words.starts) + 1, np.int64)
-        at = words.first[doc] + start
-        np.add.at(gone, at, 1)
-        np.subtract.at(gone, at + length, 1)
-        stays = np.cumsum(gone[:-1]) == 0
-        n_words = np.diff(words.first)
-        counts = np.r_[0, np.cumsum(stays)]
-        n_kept = counts[words.first[1:]] - counts[words.first[:-1]]
-        # Kept words with one space behind each, then the texts cut from that.
-        begin, size = words.starts[stays], (words.ends - words.starts)[stays]
-        ends = np.cumsum(size + 1)
-        source = np.repeat(begin - (ends - size - 1), size + 1) + np.arange(ends[-1] if len(ends) else 0)
-        flat = words.data[np.minimum(source, len(words.data) - 1)] if len(source) else np.zeros(0, np.uint8)
-        flat[ends - 1] = 32
-        cut = np.r_[0, ends][np.r_[0, np.cumsum(n_kept)]]
-        raw = flat.tobytes()
-        kept = [raw[a : max(b - 1, a)] for a, b in zip(cut.tolist(), cut[1:].tolist())]
+        n_words, n_removed, kept = _kept(pack, right, width)
         value = [hashlib.sha256(k).hexdigest() for k in kept] if digest else [k.decode() for k in kept]
         keys = pa.array(pack.keys, mask=pack.keys == _NO_KEY)
-        return pa.table({"key": keys, "row": pack.rows, "n_words": n_words, "n_removed": n_words - n_kept, name: pa.array(value, pa.string())})
+        return pa.table({"key": keys, "n_words": n_words, "n_removed": n_removed, name: pa.array(value, pa.string())})
+
+    out = rows.groupBy("pack").cogroup(found.groupBy("target"))
+    result = out.applyInArrow(run, f"key long, n_words long, n_removed long, {name} string")
+    return result.withColumnRenamed("key", key)
+
 
-    out = rows.groupBy("pack").cogroup(found.withColumnRenamed("pack", "target").groupBy("target"))
-    result = out.applyInArrow(run, f"key long, row long, n_words long, n_removed long, {name} string")
-    return result.select(F.col("key").alias(key), "n_words", "n_removed", name)
+def rewrite(
+    docs: DataFrame, width: int = 13, gram: int = 6, pack_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """``docs``, all columns, with the words left as the text of those that lost some; others
+    keep their text as it is. Rows that lost all their words go.
+    """
+    names = [c for c in docs.columns if c != text]
+    rows, found = parse(docs, width, gram, pack_bytes, key, text, whole=True)
+    others = [f"c{i}" for i in range(len(names))]
+
+    def run(_, left, right):
+        pack = Pack(left, width, gram)
+        n_words, n_removed, kept = _kept(pack, right, width)
+        old = pack.table.column("text").to_pylist()
+        new = [k.decode() if r else t for t, r, k in zip(old, n_removed.tolist(), kept)]
+        out = pack.table.select(others).append_column("text", pa.array(new, pa.string()))
+        return out.filter(pa.array((n_removed == 0) | (n_removed < n_words)))
+
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[n]}" for c, n in zip(others, names)), "text string"])
+    out = rows.groupBy("pack").cogroup(found.groupBy("target")).applyInArrow(run, schema)
+    named = out.toDF(*names, text)
+    return named.select(*(F.col(f"`{n}`") for n in docs.columns))
