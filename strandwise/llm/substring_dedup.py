@@ -61,6 +61,7 @@ class Pack:
         short = self.words.grams(gram)
         least = short[: len(windows)].copy()
         place = np.zeros(len(least), np.int8)
+        other = smaller = None
         for i in range(1, width - gram + 1):
             other = short[i : i + len(least)]
             smaller = other < least
@@ -68,6 +69,7 @@ class Pack:
             place[smaller] = i
         self.anchors = least[self.at]
         self.anchor_at = self.at + place[self.at]
+        del windows, whole, short, least, place, other, smaller
         # Of equal windows in the pack, the first in order of key.
         order = np.argsort(self.windows, kind="stable")
         sorted_windows = self.windows[order]
@@ -252,7 +254,7 @@ def _packed(docs: DataFrame, key: str, text: str, pack_bytes: int, whole: bool)
 
 
 def parse(
-    docs: DataFrame, width: int = 13, gram: int = 6, pack_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text", whole: bool = False,
+    docs: DataFrame, width: int = 13, gram: int = 6, pack_bytes: int = 4 << 20, key: str = "doc_id", text: str = "text", whole: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(packed rows, their factors in blocks): see ``factors`` and ``remove``. Nothing is stored
     in between: all passes over the packs are parts of one plan and share one exchange of texts.
@@ -302,7 +304,7 @@ def _kept(pack: Pack, right: pa.Table, width: int) -> tuple[np.ndarray, np.ndarr
 
 
 def remove(
-    docs: DataFrame, width: int = 13, gram: int = 6, pack_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text", digest: bool = False,
+    docs: DataFrame, width: int = 13, gram: int = 6, pack_bytes: int = 4 << 20, key: str = "doc_id", text: str = "text", digest: bool = False,
 ) -> DataFrame:
     """(key, n_words, n_removed, kept) per row: the words left, joined by one space each, or
     with ``digest`` their SHA-256 instead (``kept_sha256``).
@@ -323,7 +325,7 @@ def remove(
 
 
 def rewrite(
-    docs: DataFrame, width: int = 13, gram: int = 6, pack_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text",
+    docs: DataFrame, width: int = 13, gram: int = 6, pack_bytes: int = 4 << 20, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """``docs``, all columns, with the words left as the text of those that lost some; others
     keep their text as it is. Rows that lost all their words go.
