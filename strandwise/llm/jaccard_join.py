@@ -36,6 +36,7 @@ from strandwise.llm.common import Words, batches, drop_stored, mix, partitions,
 from strandwise.llm.components import components
 
 _TOP = np.uint64(1 << 63)
+_BATCH = 3 << 20  # bytes of texts a task works on at once
 
 
 def gram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,10 +86,10 @@ def arrange(order: tuple[np.ndarray, np.ndarray], grams: np.ndarray, first: np.n
 
 
 def frequent(texts: DataFrame, n: int, heavy: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order from the n-grams that ``least`` texts of some 8 MB of texts have."""
+    """The order from the n-grams that ``least`` texts of some 3 MB of texts have."""
 
     def run(items):
-        for batch in batches(items, "text"):
+        for batch in batches(items, "text", _BATCH):
             grams, _ = gram_sets(batch.column(0), n)
             values, counts = np.unique(grams, return_counts=True)
             many = counts >= least
@@ -107,7 +108,7 @@ def _prefixes(texts: DataFrame, order, n: int, percent: int) -> DataFrame:
     """(key, content, n, digest, prefix) per row of (key, text, content)."""
 
     def run(items):
-        for batch in batches(items, "text"):
+        for batch in batches(items, "text", _BATCH):
             grams, first = gram_sets(batch.column(1), n)
             numbers = arrange(order.value, grams, first)
             size = np.diff(first)
@@ -273,7 +274,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, order, n: int, percent: int, blo
     def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
         sets = {}
         table = right.select(["node", "text", "digest"])
-        for batch in batches(table.to_batches(), "text"):
+        for batch in batches(table.to_batches(), "text", _BATCH):
             grams, first = gram_sets(batch.column(1), n)
             numbers = arrange(order.value, grams, first)
             for i, (node, digest) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
@@ -291,8 +292,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, order, n: int, percent: int, blo
 
 
 def near_components(
-    docs: DataFrame, n: int = 5, percent: int = 80, heavy: int = 200_000, least: int = 8,
-    block_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text",
+    docs: DataFrame, n: int = 5, percent: int = 80, heavy: int = 200_000, least: int = 5,
+    block_bytes: int = 6 << 20, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """(key, n_shingles, component_id) per row."""
     members = _members(docs, n, percent, heavy, least, block_bytes, key, text)
@@ -301,8 +302,8 @@ def near_components(
 
 
 def heads(
-    docs: DataFrame, n: int = 5, percent: int = 80, heavy: int = 200_000, least: int = 8,
-    block_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text",
+    docs: DataFrame, n: int = 5, percent: int = 80, heavy: int = 200_000, least: int = 5,
+    block_bytes: int = 6 << 20, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """The rows of ``docs``, all columns, that stay when of each component the document with the
     least key stays. Rows with equal key and text are one row; rows without words or key stay.
@@ -333,10 +334,9 @@ def _members(docs, n, percent, heavy, least, block_bytes, key, text) -> DataFram
     known = store(_prefixes(rows, order, n, percent), "prefixes")
     filled = known.filter("n > 0")
     classes = store(filled.groupBy("digest").agg(F.min("key").alias("node")), "classes")
-    heads = filled.join(
-        classes.withColumnRenamed("digest", "own"), (F.col("key") == F.col("node")) & (F.col("digest") == F.col("own")), "left_semi"
-    ).dropDuplicates(["key"])
-    tokens = heads.select(F.col("key").alias("node"), "n", F.posexplode("prefix").alias("place", "token"))
+    # Rows of a digest have one prefix; copies are combined before the only shuffle of prefixes.
+    alike = filled.groupBy("digest").agg(F.min("key").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    tokens = alike.filter("node IS NOT NULL").select("node", "n", F.posexplode("prefix").alias("place", "token"))
     tokens = tokens.select("token", "n", "node", F.col("place").cast("long").alias("place"))
     ordered = tokens.repartitionByRange(partitions(spark), "token", "n", "node").sortWithinPartitions("token", "n", "node")
     shared = store(_neighbours(ordered, percent), "shared")
@@ -346,8 +346,8 @@ def _members(docs, n, percent, heavy, least, block_bytes, key, text) -> DataFram
     wanted = shared.select("node").distinct().join(classes.filter("node is not null"), "node")
     texts = store(
         rows.join(wanted, F.col("key") == F.col("node"))
-        .select("node", "text", "digest")
-        .distinct(),
+        .dropDuplicates(["node", "content"])
+        .select("node", "text", "digest"),
         "shared-texts",
     )
     first = shared.filter("before is not null").select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b"))
