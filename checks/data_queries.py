@@ -40,13 +40,23 @@ def embedding_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     source = table(spark, sf, "embeddings")
     path = tables.write_embeddings(source, _folder(spark, "embeddings") + "/table", "vec_id")
     stored = tables.read_embeddings(spark, path)
-    return rounded(
-        stored.select(
-            "vec_id",
-            F.size("embedding").cast("bigint").alias("dimension"),
-            F.col("embedding")[0].cast("double").alias("first"),
-            F.element_at("embedding", -1).cast("double").alias("last"),
-        )
+    cells = stored.select("vec_id", F.posexplode("embedding").alias("place", "value"))
+    return rounded(cells.select("vec_id", F.col("place").cast("bigint").alias("place"), F.col("value").cast("double").alias("value")))
+
+
+def csv_lossless(spark: SparkSession, sf: str) -> DataFrame:
+    """Text keys, missing words, texts among numbers and long whole numbers come back whole."""
+    key = F.col("o_orderkey")
+    raw = table(spark, sf, "orders").select(
+        F.concat(F.lit("O"), key).alias("seq_id"),
+        F.when(key % 7 == 0, "NA").otherwise("ACGU").alias("sequence"),
+        F.when(key % 11 == 0, "about 3").when(key % 5 == 0, "None").otherwise(F.col("o_custkey").cast("string")).alias("yield"),
+        (F.lit("123456789012345678900").cast("decimal(38,0)") + F.col("o_custkey")).alias("big"),
+    )
+    path = tables.write_csv(raw, _folder(spark, "csv") + "/orders.csv")
+    back = tables.load_sequences(spark, path, required=("sequence", "yield"), strict=False)
+    return back.select(
+        "seq_id", "sequence", "yield", F.col(tables.UNPARSED)["yield"].alias("lost"), F.col("big").cast("string").alias("big_text")
     )
 
 
@@ -54,10 +64,9 @@ def embedding_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sequence_classify(spark: SparkSession, sf: str) -> DataFrame:
-    texts = views.documents(spark, sf).select(
-        F.col("doc_id").alias("seq_id"), F.col("text").alias("raw")
+    both = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("seq_id"), F.col("text").alias("raw"), views.sequence_of("text").alias("sequence")
     )
-    both = texts.join(views.sequences(spark, sf), "seq_id")
     marked = quality.classify_sequences(both).withColumnRenamed("status", "sequence_status")
     return marked.select(
         "seq_id", "strict_valid", "sequence_status", sq.classify("raw").alias("raw_status")
@@ -314,7 +323,7 @@ SEGMENTS = ("BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 QUERIES = {
     f.__name__: f
     for f in (
-        csv_round_trip, embedding_round_trip, sequence_classify, sequence_length_composition,
+        csv_round_trip, csv_lossless, embedding_round_trip, sequence_classify, sequence_length_composition,
         base_composition, base_fractions, structure_features, alphabet_convert_truncate,
         embedding_attach, stack_batches, mean_pool, missing_profile, missing_columns,
         duplicate_rows, column_cardinality, target_profile, event_profile, iqr_outliers,
@@ -338,9 +347,10 @@ def _base_sql(base: str) -> str:
     return f"(length(sequence) - length(replace(sequence, '{base}', ''))) * 1.0 / nullif(length(sequence), 0)"
 
 
-_MODEL_ROWS = ", ".join(
-    f"({i}, '{m[0]}', {m[2]}, '{m[3]}')" for i, m in enumerate(embedding.MODELS)
-)
+# Written out, so that a wrong entry in the registry shows.
+_MODEL_ROWS = """(0, 'dnabert2', 2048, 'dna'), (1, 'dnabert2_large', 2048, 'dna'), (2, 'evo', 8192, 'rna'),
+    (3, 'evo2_7b', 1048576, 'dna'), (4, 'evo2_40b', 1048576, 'dna'), (5, 'evo2_7b_base', 8192, 'dna'),
+    (6, 'evo2_40b_base', 8192, 'dna'), (7, 'evo2_1b_base', 8192, 'dna')"""
 _VALID = "regexp_full_match(upper(sequence), '[ACGU]+')"
 
 ORACLE = {
@@ -348,9 +358,15 @@ ORACLE = {
         "SELECT seq_id, sequence, predicted_yield FROM predictions", "predictions"
     ),
     "embedding_round_trip": """
-        SELECT vec_id, cast(len(embedding) AS bigint) AS dimension,
-               round(cast(embedding[1] AS double), 6) + 0.0 AS first,
-               round(cast(embedding[-1] AS double), 6) + 0.0 AS last FROM embeddings""",
+        SELECT vec_id, place, round(cast(embedding[place + 1] AS double), 6) + 0.0 AS value
+        FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS place FROM embeddings)""",
+    "csv_lossless": """
+        SELECT concat('O', o_orderkey) AS seq_id,
+               CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 'ACGU' END AS sequence,
+               CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 5 = 0 THEN NULL ELSE cast(o_custkey AS double) END AS yield,
+               CASE WHEN o_orderkey % 11 = 0 THEN 'about 3' END AS lost,
+               cast(123456789012345678900 + cast(o_custkey AS hugeint) AS varchar) AS big_text
+        FROM orders""",
     "sequence_classify": with_views(
         f"""SELECT s.seq_id, coalesce(regexp_full_match(sequence, '[ACGU]+'), false) AS strict_valid,
                {_status_sql('sequence')} AS sequence_status, {_status_sql('text')} AS raw_status
@@ -415,7 +431,7 @@ ORACLE = {
         f"""WITH models(i, model, max_length, kind) AS (VALUES {_MODEL_ROWS})
         SELECT seq_id, model, substring(CASE WHEN kind = 'dna' THEN translate(sequence, 'U', 'T')
                ELSE translate(sequence, 'T', 'U') END, 1, max_length) AS model_sequence
-        FROM sequences JOIN models ON seq_id % {len(embedding.MODELS)} = i""",
+        FROM sequences JOIN models ON seq_id % 8 = i""",
         "sequences",
     ),
     "embedding_attach": with_views(

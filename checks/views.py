@@ -4,7 +4,7 @@ predictions and importances, derived from whole tables by Spark (and by SQL for
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Sequences shorter than this have no folded structure, to exercise the missing path.
@@ -71,17 +71,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents, spread over the cores when they come as fewer files than cores."""
-    df, cores = table(spark, sf, "documents"), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+def sequence_of(text: str) -> Column:
+    return F.regexp_replace(F.translate(F.upper(text), "T", "U"), "[^ACGU]+", "")
 
 
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
-    letters = F.translate(F.upper("text"), "T", "U")
-    return documents(spark, sf).select(
-        F.col("doc_id").alias("seq_id"),
-        F.regexp_replace(letters, "[^ACGU]+", "").alias("sequence"),
+    return table(spark, sf, "documents").select(
+        F.col("doc_id").alias("seq_id"), sequence_of("text").alias("sequence")
     )
 
 

@@ -213,9 +213,19 @@ def tune(
         "learning_rate": "stepSize",
         "max_depth": "maxDepth",
         "subsample": "subsamplingRate",
+        "colsample_bytree": "featureSubsetStrategy",
+        "min_child_weight": "minInstancesPerNode",
+        "gamma": "minInfoGain",
+        "random_state": "seed",
     }
+    unknown = set(grid) - set(spark_names)
+    if unknown:
+        raise ValueError(f"unknown boosting parameters: {sorted(unknown)}")
     builder = ParamGridBuilder()
     for name, values in grid.items():
+        # As in Boosting.regressor, a share of the features is a text for Spark.
+        if name == "colsample_bytree":
+            values = ["all" if v >= 1 else str(v) for v in values]
         builder = builder.addGrid(estimator.getParam(spark_names[name]), list(values))
     maps = builder.build()
     rows = (
@@ -239,7 +249,7 @@ def tune(
         rows.unpersist()
     settings = []
     for point, mse in zip(maps, fitted.avgMetrics):
-        by_name = {p.name: v for p, v in point.items()}
+        by_name = {p.name: 1.0 if v == "all" else float(v) if isinstance(v, str) else v for p, v in point.items()}
         settings.append(({n: by_name[spark_names[n]] for n in grid}, float(mse)))
     best = min(settings, key=lambda s: s[1])[0]
     table = spark.createDataFrame(

@@ -16,26 +16,24 @@ from strandwise.functions import sequence as sq
 DEFAULT_BATCH = 32
 EMBEDDED_SCHEMA = "embedding array<float>, embed_status string"
 
-# Model key, model name, context limit, alphabet, description.
+# Model key, model name, context limit, alphabet.
 MODELS = (
-    ("dnabert2", "zhihan1996/DNABERT-2-117M", 2048, "dna",
-     "DNABERT-2 117M parameters, good for DNA sequences"),
-    ("dnabert2_large", "zhihan1996/DNABERT-2-512M", 2048, "dna",
-     "DNABERT-2 512M parameters, better performance but slower"),
-    ("evo", "togethercomputer/evo-1-8k-base", 8192, "rna",
-     "Evo model, supports longer sequences up to 8k"),
-    ("evo2_7b", "arcinstitute/evo2_7b", 1048576, "dna",
-     "Evo-2 7B parameter model with 1M context (official Arc Institute)"),
-    ("evo2_40b", "arcinstitute/evo2_40b", 1048576, "dna",
-     "Evo-2 40B parameter model with 1M context (requires multiple GPUs)"),
-    ("evo2_7b_base", "arcinstitute/evo2_7b_base", 8192, "dna",
-     "Evo-2 7B base model with 8K context"),
-    ("evo2_40b_base", "arcinstitute/evo2_40b_base", 8192, "dna",
-     "Evo-2 40B base model with 8K context"),
-    ("evo2_1b_base", "arcinstitute/evo2_1b_base", 8192, "dna",
-     "Evo-2 1B base model with 8K context (lightweight)"),
+    ("dnabert2", "zhihan1996/DNABERT-2-117M", 2048, "dna"),
+    ("dnabert2_large", "zhihan1996/DNABERT-2-512M", 2048, "dna"),
+    ("evo", "togethercomputer/evo-1-8k-base", 8192, "rna"),
+    ("evo2_7b", "arcinstitute/evo2_7b", 1048576, "dna"),
+    ("evo2_40b", "arcinstitute/evo2_40b", 1048576, "dna"),
+    ("evo2_7b_base", "arcinstitute/evo2_7b_base", 8192, "dna"),
+    ("evo2_40b_base", "arcinstitute/evo2_40b_base", 8192, "dna"),
+    ("evo2_1b_base", "arcinstitute/evo2_1b_base", 8192, "dna"),
 )
 
+
+def _described(entry: tuple) -> tuple:
+    """A model's fields with a sentence made of them."""
+    return *entry, f"{entry[3].upper()} input, up to {entry[2]:,} characters of a sequence"
+
+
 # Builds the model once per partition and returns the function that embeds one batch.
 EmbedderFactory = Callable[[], Callable[[list[str]], np.ndarray]]
 
@@ -44,17 +42,17 @@ def model_config(key: str) -> dict[str, object]:
     for entry in MODELS:
         if entry[0] == key:
             names = ("key", "name", "max_length", "sequence_type", "description")
-            return dict(zip(names, entry))
+            return dict(zip(names, _described(entry)))
     raise ValueError(f"Unknown model key '{key}'. Available: {[m[0] for m in MODELS]}")
 
 
 def available_models() -> dict[str, str]:
-    return {m[0]: m[4] for m in MODELS}
+    return {m[0]: _described(m)[4] for m in MODELS}
 
 
 def model_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
-        list(MODELS),
+        [_described(m) for m in MODELS],
         "model string, model_name string, max_length int, sequence_type string, description string",
     )
 
@@ -99,23 +97,25 @@ def embed_sequences(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         embed = None
-        for pdf in batches:
-            vectors: list = [None] * len(pdf)
-            status = ["null_sequence"] * len(pdf)
-            usable = np.flatnonzero(pdf[text].notna().to_numpy())
-            for start in range(0, len(usable), batch_size):
-                chosen = usable[start : start + batch_size]
+        for whole in batches:
+            # One model batch at a time goes in and out, however large the Arrow batch is.
+            for start in range(0, len(whole), batch_size):
+                pdf = whole.iloc[start : start + batch_size]
+                vectors: list = [None] * len(pdf)
+                status = ["null_sequence"] * len(pdf)
+                chosen = np.flatnonzero(pdf[text].notna().to_numpy())
                 try:
-                    embed = embed or factory()
-                    matrix = np.asarray(embed(pdf[text].iloc[chosen].tolist()), dtype=np.float32)
-                    if matrix.ndim != 2 or len(matrix) != len(chosen):
-                        raise ValueError(f"embedder returned shape {matrix.shape}")
-                    for i, vector in zip(chosen, matrix):
-                        vectors[i], status[i] = vector, "ok"
+                    if len(chosen):
+                        embed = embed or factory()
+                        matrix = np.asarray(embed(pdf[text].iloc[chosen].tolist()), dtype=np.float32)
+                        if matrix.ndim != 2 or len(matrix) != len(chosen):
+                            raise ValueError(f"embedder returned shape {matrix.shape}")
+                        for i, vector in zip(chosen, matrix):
+                            vectors[i], status[i] = vector, "ok"
                 except Exception as error:  # the batch is reported, the job goes on
                     for i in chosen:
                         status[i] = f"failed: {type(error).__name__}: {error}"
-            yield pd.DataFrame({key: pdf[key], "embedding": vectors, "embed_status": status})
+                yield pd.DataFrame({key: pdf[key], "embedding": vectors, "embed_status": status})
 
     return rows.mapInPandas(run, schema)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandwise.functions import labels
 from strandwise.functions.stats import cleaned, correlation_p, present, ratio_or_zero_rule
-from strandwise.operators.order_stats import exact_quantiles, is_small, with_rank
+from strandwise.operators.order_stats import exact_quantiles, with_rank
 from strandwise.operators.joins import join_on
 from strandwise.session import settle
 
@@ -104,21 +104,14 @@ def median_absolute_error(pairs: DataFrame) -> DataFrame:
 def spearman(pairs: DataFrame) -> DataFrame:
     """(target, spearman_r): Pearson correlation of average ranks.
 
-    Beyond a small table equal pairs are counted first, and ranks are looked up for the
-    distinct pairs only. The mean of average ranks is (n + 1) / 2 whatever the ties, so no
+    Equal pairs are counted first, and ranks are looked up for the distinct pairs only. The mean of average ranks is (n + 1) / 2 whatever the ties, so no
     second pass is needed.
     """
     rows = _complete(pairs)
-    small = is_small(rows)
-    if small:
-        ranked = counted = rows.withColumn("w", F.lit(1))
-    else:
-        grouped = rows.groupBy("target", "y_true", "y_pred").agg(F.count(F.lit(1)).alias("w"))
-        ranked = counted = settle(grouped)
+    grouped = rows.groupBy("target", "y_true", "y_pred").agg(F.count(F.lit(1)).alias("w"))
+    ranked = counted = settle(grouped)
     for value, rank in (("y_true", "rank_true"), ("y_pred", "rank_pred")):
-        ranked = with_rank(
-            ranked, value, rank, ["target"], "average", weight="w", source=counted, small=small
-        )
+        ranked = with_rank(ranked, value, rank, ["target"], "average", weight="w", source=counted)
     a, b, w = F.col("rank_true"), F.col("rank_pred"), F.col("w")
     sums = ranked.groupBy("target").agg(
         F.sum("w").alias("n"),

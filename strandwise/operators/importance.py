@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from strandwise.functions import labels
 from strandwise.session import settle
 
-# Features per side of one correlation block: a block is at most 32 MB.
-BLOCK_FEATURES = 2_000
+# Features per side of one correlation block: a task holds at most 250,000 pairs.
+BLOCK_FEATURES = 500
 EPSILON = 1e-10
 
 
@@ -195,15 +195,18 @@ def top_matrix(table: DataFrame, targets: Sequence[str], n: int = 20) -> DataFra
 
 
 def _standardised(table: DataFrame) -> DataFrame:
-    """(feature, feature_pos, target, z): unit-length rows, constant features dropped."""
+    """(feature, feature_pos, target, z): unit-length rows, constant features dropped.
+
+    For complete tables: every feature has every target.
+    """
     over = Window.partitionBy("feature")
     v = F.col("importance")
     centred = table.withColumn("c", v - F.avg(v).over(over)).withColumn(
         "norm", F.sqrt(F.sum(F.col("c") * F.col("c")).over(over))
     )
     # A constant feature leaves only rounding noise around its mean.
-    varies = F.col("norm") > F.abs(v) * 1e-12
-    return centred.where(varies).select(
+    sized = centred.withColumn("size", F.max(F.abs(v)).over(over))
+    return sized.where(F.col("norm") > F.col("size") * 1e-12).select(
         "feature", "feature_pos", "target", (F.col("c") / F.col("norm")).alias("z")
     )
 
@@ -214,6 +217,9 @@ def mean_correlation(table: DataFrame) -> DataFrame:
     With unit-length rows the sum of all correlations is the squared length of the sum of
     the rows, so no pair of features is ever formed.
     """
+    sizes = table.groupBy("feature").agg(F.count("importance").alias("n")).agg(F.min("n"), F.max("n")).first()
+    if sizes[0] != sizes[1]:
+        raise ValueError("the mean correlation needs an importance for every feature and target")
     rows = _standardised(table)
     sums = rows.groupBy("target").agg(F.sum("z").alias("s"), F.count(F.lit(1)).alias("m"))
     return sums.agg(
@@ -224,18 +230,52 @@ def mean_correlation(table: DataFrame) -> DataFrame:
     )
 
 
+def _cells(maps: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A matrix of features by targets with zeros for missing cells, and which are there."""
+    values, there = np.zeros((len(maps), width)), np.zeros((len(maps), width))
+    for i, cells in enumerate(maps):
+        at = np.fromiter(cells.keys(), np.int64, len(cells))
+        values[i, at], there[i, at] = [*cells.values()], 1.0
+    return values, there
+
+
+def _pairwise(x: np.ndarray, has_x: np.ndarray, y: np.ndarray, has_y: np.ndarray) -> np.ndarray:
+    """Correlations of all rows of x with all rows of y over the cells that both have."""
+    n = has_x @ has_y.T
+    sx, sy = x @ has_y.T, has_x @ y.T
+    xx, yy, xy = (x * x) @ has_y.T, has_x @ (y * y).T, x @ y.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        vx, vy = xx - sx * sx / n, yy - sy * sy / n
+        r = (xy - sx * sy / n) / np.sqrt(vx * vy)
+    # What rounding leaves of a constant row is no variation.
+    return np.where((n >= 2) & (vx > xx * 1e-13) & (vy > yy * 1e-13), r, np.nan)
+
+
 def correlated_pairs(table: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(feature1, feature2, correlation, interpretation) with |correlation| >= threshold.
 
+    Values are compared by target. A pair's correlation is over the targets that both
+    features have; pairs with fewer than two of these, or constant on them, drop out. With
+    two targets every pair correlates by 1 or -1: choose a threshold above 1 to have none.
+
     Features are cut into blocks; a task multiplies two blocks and emits only the pairs
     that pass, so memory per task is fixed and grows with neither features nor pairs.
     """
+    over = Window.partitionBy("feature")
+    v = F.col("importance")
+    # Centred and scaled per feature for precision only; correlations don't change by it.
+    centred = table.where(v.isNotNull()).withColumn("c", v - F.avg(v).over(over))
+    size = F.greatest(F.max(F.abs("c")).over(over), F.max(F.abs(v)).over(over) * 1e-12)
+    scaled = centred.withColumn("z", F.when(size > 0, F.col("c") / size).otherwise(0.0))
+    numbers = scaled.select("target").distinct().withColumn(
+        "place", F.row_number().over(Window.orderBy("target")) - 1
+    )
     vectors = settle(
-        _standardised(table)
+        scaled.join(numbers, "target")
         .groupBy("feature", "feature_pos")
-        .agg(F.array_sort(F.collect_list(F.struct("target", "z"))).alias("row"))
-        .select("feature", "feature_pos", F.transform("row", lambda r: r["z"]).alias("z"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("place", "z"))).alias("z"))
     )
+    width = numbers.count()
     parts = max(1, -(-vectors.count() // BLOCK_FEATURES))
     block = F.pmod(F.xxhash64("feature"), F.lit(parts)).cast("int")
     own = vectors.withColumn("own", block)
@@ -250,8 +290,8 @@ def correlated_pairs(table: DataFrame, threshold: float = 0.7) -> DataFrame:
         right = pdf[pdf["own"] == high]
         found = []
         if len(left) and len(right):
-            r = np.stack(left["z"].to_numpy()) @ np.stack(right["z"].to_numpy()).T
-            i, j = np.nonzero(np.abs(r) >= threshold)
+            r = _pairwise(*_cells(left["z"], width), *_cells(right["z"], width))
+            i, j = np.nonzero(np.abs(r) >= threshold)  # no pair where r is NaN
             a, b = left["feature_pos"].to_numpy()[i], right["feature_pos"].to_numpy()[j]
             # Inside one block a pair appears twice, across blocks once in either order.
             keep = a < b if low == high else np.ones(len(a), dtype=bool)

@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from strandwise.functions.stats import present
 from strandwise.session import settle
 
-# A per-key table is broadcast only after its rows were counted against this limit.
-BROADCAST_ROWS = 10_000
-SALTS = 16
-
 
 def join_on(
     left: DataFrame,
@@ -21,14 +17,12 @@ def join_on(
     on: Sequence[str],
     how: str = "inner",
     also: Column | None = None,
-    small: bool = False,
     never_null: Sequence[str] = (),
 ) -> DataFrame:
     """Null-safe equi-join on ``on``: the left columns, then the other right columns.
 
     Columns are matched by name, so both sides may come from one table. ``also`` adds a
-    condition, ``small`` broadcasts the right side: the caller vouches for its size. Keys in
-    ``never_null`` are compared plainly, which sorts and hashes less.
+    condition. Keys in ``never_null`` are compared plainly, which sorts and hashes less.
     """
     extra = [c for c in right.columns if c not in on]
     renamed = right.select(*[F.col(k).alias(f"_right_{k}") for k in on], *extra)
@@ -36,7 +30,7 @@ def join_on(
     for k in on:
         other = F.col(f"_right_{k}")
         condition = condition & (F.col(k) == other if k in never_null else F.col(k).eqNullSafe(other))
-    joined = left.join(F.broadcast(renamed) if small else renamed, condition, how)
+    joined = left.join(renamed, condition, how)
     return joined.select(*left.columns, *extra)
 
 
@@ -48,17 +42,11 @@ def spread(columns: Sequence[str], salts: int) -> Column:
 def join_small(df: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join to a table with one row per key, usually a handful of rows.
 
-    Up to BROADCAST_ROWS rows are fetched and broadcast, so ``df`` is not shuffled. A
-    larger table is settled and repeated per salt, so that no key, however many rows it
-    has, ends up in one task.
+    The table is settled, so that Spark knows its bytes: it broadcasts it within
+    ``spark.sql.autoBroadcastJoinThreshold``; otherwise both sides are shuffled, and
+    adaptive execution splits the partition of a key that has most of the rows.
     """
-    fetched = table.limit(BROADCAST_ROWS + 1).toArrow()
-    if fetched.num_rows <= BROADCAST_ROWS:
-        local = df.sparkSession.createDataFrame(fetched, table.schema)
-        return join_on(df, local, on, how, small=True)
-    rows = df.withColumn("_salt", spread(df.columns, SALTS))
-    right = settle(table).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return join_on(rows, right, [*on, "_salt"], how).drop("_salt")
+    return join_on(df, settle(table), on, how)
 
 
 def lookup_join(

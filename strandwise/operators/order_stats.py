@@ -12,10 +12,9 @@ group) is safe. Instead:
    sees one row per block, never one row per value.
 4. Inside a block a running total gives the exact number of rows in front of a value.
 
-A quantile needs only the blocks its position falls into, the others are skipped.
-
-Up to SMALL_ROWS rows, which are counted first, a window and ``percentile`` do the same in
-one stage.
+The blocks are folders of the stored table: a quantile reads the blocks its position falls
+into, found by partition pruning at run time, and skips the others. There is one path for
+tables of any size.
 """
 
 from __future__ import annotations
@@ -25,12 +24,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwise.functions.stats import cleaned, present
+from strandwise.functions.stats import present
 from strandwise.operators.joins import join_on, join_small, lookup_join
 from strandwise.session import settle
 
-# Counted bound up to which a group may be handled by one task.
-SMALL_ROWS = 1_000_000
 # A value held by more than this share of all rows counts as hot, so there are never
 # more than 1 / HOT_SHARE hot values.
 HOT_SHARE = 0.01
@@ -67,7 +64,8 @@ class ValueBlocks:
         self.values = settle(
             counts.repartitionByRange(self.blocks, *self.keys, self._order()).withColumn(
                 "_block", F.spark_partition_id()
-            )
+            ),
+            "_block",
         )
         self.offsets = settle(self._offsets())
 
@@ -155,21 +153,11 @@ class ValueBlocks:
         return limit if row["top"] > limit else None
 
 
-def is_small(rows: DataFrame) -> bool:
-    return rows.count() <= SMALL_ROWS
-
-
 def exact_quantiles(
     df: DataFrame, value: str, probabilities: dict[str, float], keys: Sequence[str] = ()
 ) -> DataFrame:
     """One row per key with the named quantiles; null and NaN are left out."""
     rows = df.where(present(df, value)).select(*keys, value)
-    if is_small(rows):
-        # One call, as each call keeps a buffer of its own.
-        wanted = F.array(*[F.lit(float(q)) for q in probabilities.values()])
-        found = rows.groupBy(*keys).agg(F.percentile(value, wanted).alias("_q"))
-        picked = [F.col("_q")[i].alias(name) for i, name in enumerate(probabilities)]
-        return found.select(*keys, *picked)
     return ValueBlocks(rows, value, keys).quantiles(probabilities)
 
 
@@ -182,37 +170,15 @@ def with_rank(
     descending: bool = False,
     weight: str | None = None,
     source: DataFrame | None = None,
-    small: bool | None = None,
 ) -> DataFrame:
     """``df`` plus the rank of ``value`` within ``keys``; null where the value is missing.
 
     ``method`` is ``min`` (competition rank, bigint) or ``average`` (double). With
-    ``weight`` a row stands for that many equal rows. ``source`` is a cheaper table with
-    the same values, ``small`` tells the outcome of an earlier ``is_small``.
+    ``weight`` a row stands for that many equal rows. ``source`` is a cheaper table with the
+    same values.
     """
-    source = df if source is None else source
-    if small if small is not None else is_small(source):
-        return _with_window_rank(df, value, out, keys, method, descending, weight)
-    return attach_ranks(df, ValueBlocks(source, value, keys, descending, weight), out, method)
-
-
-def _with_window_rank(
-    df: DataFrame,
-    value: str,
-    out: str,
-    keys: Sequence[str],
-    method: str,
-    descending: bool,
-    weight: str | None,
-) -> DataFrame:
-    v, size = cleaned(df, value), F.col(weight) if weight else F.lit(1)
-    order = v.desc_nulls_last() if descending else v.asc_nulls_last()
-    ties = F.sum(size).over(_by(keys).partitionBy(*keys, v))
-    upto = F.sum(size).over(
-        _by(keys).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    rank = {"min": upto - ties + 1, "average": upto - ties + (ties + 1) / 2}[method]
-    return df.withColumn(out, F.when(v.isNotNull(), rank))
+    blocks = ValueBlocks(df if source is None else source, value, keys, descending, weight)
+    return attach_ranks(df, blocks, out, method)
 
 
 def attach_ranks(df: DataFrame, blocks: ValueBlocks, out: str, method: str = "min") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # PCA forms a d x d matrix of doubles on the driver: 4,096 is 128 MB.
 MAX_DIMENSION = 4096
+SHAPE = "n bigint, d int"
 
 
 class EmbeddingReducer:
@@ -84,11 +85,17 @@ class EmbeddingReducer:
         )
 
     def save(self, path: str) -> None:
-        self._check_fitted().write().overwrite().save(path)
+        model = self._check_fitted()
+        model.write().overwrite().save(path)
+        spark = SparkSession.active()
+        shape = spark.createDataFrame([self.input_shape or (None, None)], SHAPE)
+        shape.coalesce(1).write.mode("overwrite").parquet(f"{path}/input_shape")
 
     @staticmethod
     def load(path: str) -> EmbeddingReducer:
         model = PipelineModel.load(path)
         loaded = EmbeddingReducer(model.stages[1].getK())
         loaded.model = model
+        shape = SparkSession.active().read.schema(SHAPE).parquet(f"{path}/input_shape").first()
+        loaded.input_shape = None if shape["n"] is None else (shape["n"], shape["d"])
         return loaded

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Leading hex digits of the hash that name a bucket: 16^5 buckets, about a million counts.
 PREFIX = 5
+# So many rows may be put in order by one task.
+IN_ORDER = 10_000
 
 
 def split_hash(key: str, seed: int) -> Column:
@@ -16,21 +18,25 @@ def split_hash(key: str, seed: int) -> Column:
 def _cutoff(df: DataFrame, key: str, n_test: int, seed: int) -> tuple[str, object]:
     """The (hash, key) of the last test row.
 
-    Hash values are uniform, so counting rows per hash prefix finds the one bucket the
-    cut falls into; only that bucket (a millionth of the rows) is put in order.
+    Rows are counted per hash prefix, then, within the prefix that the cut falls into, per
+    prefix of PREFIX more digits, until a bounded number of rows is left to put in order.
+    Each count has at most 16^PREFIX rows, whatever the table size.
     """
     hashed = df.select(F.col(key).alias("id"), split_hash(key, seed).alias("h"))
-    prefix = F.substring("h", 1, PREFIX)
-    counts = hashed.groupBy(prefix.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    # Bounded by the number of prefixes, whatever the table size.
-    ordered = Window.orderBy("bucket")
-    crossing = (
-        counts.withColumn("upto", F.sum("n").over(ordered))
-        .where((F.col("upto") >= n_test) & (F.col("upto") - F.col("n") < n_test))
-        .first()
-    )
-    left = n_test - (crossing["upto"] - crossing["n"])
-    inside = hashed.where(prefix == crossing["bucket"]).groupBy("h", "id").agg(
+    bucket, left, size = "", n_test, None
+    while size is None or size > IN_ORDER and len(bucket) < 32:
+        inner = hashed.where(F.col("h").startswith(bucket))
+        prefix = F.substring("h", 1, len(bucket) + PREFIX)
+        counts = inner.groupBy(prefix.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+        crossing = (
+            counts.withColumn("upto", F.sum("n").over(Window.orderBy("bucket")))
+            .where((F.col("upto") >= left) & (F.col("upto") - F.col("n") < left))
+            .first()
+        )
+        bucket, size = crossing["bucket"], crossing["n"]
+        left -= crossing["upto"] - size
+    # More rows than IN_ORDER are left only if they have one hash, that is, one key.
+    inside = hashed.where(F.col("h").startswith(bucket)).groupBy("h", "id").agg(
         F.count(F.lit(1)).alias("n")
     )
     row = (

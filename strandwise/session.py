@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,11 +48,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from there.
+def settle(df: DataFrame, *folders: str) -> DataFrame:
+    """Write ``df`` as Parquet below the checkpoint folder and continue from there.
 
-    Used where a later stage must see the very same rows in the very same partitions
-    even if executors are lost, and where a result is read more than once.
+    Used where a later stage must see the very same rows even if executors are lost, and
+    where a result is read more than once. Columns are pruned when it is read; with
+    ``folders`` so are the folders of these columns.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(*folders) if folders else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,23 +12,20 @@ from strandwise.operators.quality import TARGETS, check_strict, require_columns
 
 REQUIRED = ("sequence", *TARGETS)
 
-# Types of the columns every input shares; other columns are covariates.
-KNOWN_TYPES = {
-    "seq_id": T.LongType(),
-    "sequence": T.StringType(),
-    **{t: T.DoubleType() for t in TARGETS},
-}
-
-
-# Spellings of a missing value in a numeric column.
-MISSING_WORDS = ("", "NA", "N/A", "NaN", "nan", "NULL", "null", "None")
-_WHOLE = r"^\s*[+-]?\d{1,18}\s*$"
+# Spellings of a missing value in a CSV field, in text columns as well.
+MISSING_WORDS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+_LONG = r"^\s*[+-]?\d{1,18}\s*$"
+_WHOLE = r"^\s*[+-]?\d{1,38}\s*$"
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+UNPARSED = "unparsed"
 
 
 def infer_types(texts: DataFrame, columns: Sequence[str]) -> dict[str, T.DataType]:
-    """``bigint``, ``double`` or ``string`` for columns of text, from one aggregate over
-    just these columns.
+    """``bigint``, ``decimal(38,0)``, ``double`` or ``string`` for columns of text, the first
+    that holds every value without loss of whole digits, from one aggregate over just these.
     """
     if not columns:
         return {}
@@ -36,34 +33,54 @@ def infer_types(texts: DataFrame, columns: Sequence[str]) -> dict[str, T.DataTyp
     for i, name in enumerate(columns):
         c = F.col(f"`{name}`")
         given = c.isNotNull() & ~F.trim(c).isin(*MISSING_WORDS)
-        counts += [
-            F.count_if(given).alias(f"given_{i}"),
-            F.count_if(given & ~c.rlike(_WHOLE)).alias(f"not_whole_{i}"),
-            F.count_if(given & ~c.rlike(_NUMBER)).alias(f"not_number_{i}"),
-        ]
+        counts.append(F.count_if(given).alias(f"given_{i}"))
+        for kind, pattern in (("long", _LONG), ("whole", _WHOLE), ("number", _NUMBER)):
+            counts.append(F.count_if(given & ~c.rlike(pattern)).alias(f"not_{kind}_{i}"))
     row = texts.agg(*counts).first()
     types = {}
     for i, name in enumerate(columns):
         if row[f"not_number_{i}"] or not row[f"given_{i}"]:
             types[name] = T.StringType()
+        elif row[f"not_whole_{i}"]:
+            types[name] = T.DoubleType()
         else:
-            types[name] = T.DoubleType() if row[f"not_whole_{i}"] else T.LongType()
+            types[name] = T.DecimalType(38, 0) if row[f"not_long_{i}"] else T.LongType()
     return types
 
 
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None
 ) -> DataFrame:
-    """CSV with a header. Known columns have fixed types; without a schema the types of
-    the other columns (covariates) are found by one pass over those columns alone.
+    """CSV with a header; nothing is lost on the way.
+
+    Without a schema one pass over all columns but the sequences finds their types; keys that
+    are not whole numbers stay text. Targets are numbers: a text in them that is neither a
+    number nor a missing word becomes null, and then there is a column ``unparsed`` with the
+    row's such texts by column name (null if it has none).
     """
     reader = spark.read.option("header", True)
     if schema is not None:
         return reader.schema(schema).csv(path)
     texts = reader.csv(path)
-    types = {**infer_types(texts, [c for c in texts.columns if c not in KNOWN_TYPES]), **KNOWN_TYPES}
-    fields = [T.StructField(c, types[c], True) for c in texts.columns]
-    return reader.schema(T.StructType(fields)).option("enforceSchema", False).csv(path)
+    types = infer_types(texts, [c for c in texts.columns if c != "sequence"])
+    columns, odd = [], []
+    for name in texts.columns:
+        c = F.col(f"`{name}`")
+        given = F.when(~F.trim(c).isin(*MISSING_WORDS), c)
+        kind = types.get(name, T.StringType())
+        if name in TARGETS:
+            number = F.trim(given).try_cast(T.DoubleType())
+            columns.append(number.alias(name))
+            if kind == T.StringType():
+                odd.append(F.when(given.isNotNull() & number.isNull(), F.struct(F.lit(name).alias("key"), given.alias("value"))))
+        elif kind == T.StringType() or name == "seq_id" and kind != T.LongType():
+            columns.append(given.alias(name))
+        else:
+            columns.append(F.trim(given).try_cast(kind).alias(name))
+    if odd:
+        found = F.filter(F.array(*odd), lambda x: x.isNotNull())
+        columns.append(F.when(F.size(found) > 0, F.map_from_entries(found)).alias(UNPARSED))
+    return texts.select(*columns)
 
 
 def read_table(
@@ -100,9 +117,14 @@ def load_sequences(
     kind: str | None = None,
 ) -> DataFrame:
     """Read and check: required columns on the schema; with ``strict`` one pass that fails
-    on null or invalid sequences.
+    on null or invalid sequences, and one that fails on target values that are no numbers.
     """
     df = require_columns(read_table(spark, path, schema, kind), required)
+    if strict and UNPARSED in df.columns:
+        lost = df.select(F.explode(UNPARSED)).groupBy("key").count().orderBy("key").collect()
+        if lost:
+            raise ValueError("not a number: " + ", ".join(f"{r['key']} in {r['count']} rows" for r in lost))
+        df = df.drop(UNPARSED)
     if strict:
         check_strict(df)
     return df

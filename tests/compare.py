@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+from collections import Counter
 
 import duckdb
 import pyarrow as pa
@@ -51,7 +52,7 @@ def compare(spark_table: pa.Table, con, sql: str) -> list[str]:
     ours, theirs = rows_of(spark_table), rows_of(oracle)
     if len(ours) != len(theirs):
         problems.append(f"rows: {len(ours)} / {len(theirs)}")
-    mine, other = set(ours) - set(theirs), set(theirs) - set(ours)
+    mine, other = Counter(ours) - Counter(theirs), Counter(theirs) - Counter(ours)
     if mine or other:
         problems.append(f"values ({len(mine)}): {sorted(mine)[:3]} / {sorted(other)[:3]}")
     return problems

@@ -9,8 +9,6 @@ sys.path.insert(0, ROOT)
 import __spark_entry__  # noqa: E402,F401  (makes workers independent of the search path)
 from strandwise.session import build_session  # noqa: E402
 
-from strandwise.operators import order_stats  # noqa: E402
-
 DATA = "/root/testdata"
 
 
@@ -30,11 +28,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-@pytest.fixture(params=["small", "large"])
-def size(request, monkeypatch):
-    """Both ways to handle a group: in one task, and in blocks."""
-    if request.param == "large":
-        monkeypatch.setattr(order_stats, "SMALL_ROWS", 0)
-    return request.param

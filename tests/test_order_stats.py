@@ -41,23 +41,23 @@ def test_quantiles_by_blocks(spark, table, blocks):
     check_quantiles(ValueBlocks(as_spark(spark, table), "v", ["k"], blocks=blocks).quantiles(PROBABILITIES), table)
 
 
-def test_quantiles(spark, table, size):
+def test_quantiles(spark, table):
     check_quantiles(exact_quantiles(as_spark(spark, table), "v", PROBABILITIES, ["k"]), table)
 
 
-def test_quantiles_without_keys(spark, table, size):
+def test_quantiles_without_keys(spark, table):
     got = exact_quantiles(as_spark(spark, table), "v", {"m": 0.5}).collect()
     assert len(got) == 1 and got[0]["m"] == table["v"].median()
 
 
-def test_quantiles_of_nothing(spark, size):
+def test_quantiles_of_nothing(spark):
     empty = spark.createDataFrame([("a", None)], "k string, v double")
     assert exact_quantiles(empty, "v", {"m": 0.5}, ["k"]).collect() == []
 
 
 @pytest.mark.parametrize("method", ["min", "average"])
 @pytest.mark.parametrize("descending", [False, True])
-def test_ranks_with_a_hot_value(spark, table, method, descending, size):
+def test_ranks_with_a_hot_value(spark, table, method, descending):
     df = as_spark(spark, table)
     assert ValueBlocks(df, "v", ["k"], descending).hot_ties() is not None
     got = with_rank(df, "v", "rank", ["k"], method, descending).toPandas().sort_values("id")
@@ -66,7 +66,7 @@ def test_ranks_with_a_hot_value(spark, table, method, descending, size):
     np.testing.assert_array_equal(got["rank"].astype(float).to_numpy(), expected.to_numpy())
 
 
-def test_weighted_ranks(spark, table, size):
+def test_weighted_ranks(spark, table):
     counted = as_spark(spark, table).groupBy("k", "v").agg(F.count("*").alias("w"))
     got = with_rank(counted, "v", "rank", ["k"], weight="w").where("rank is not null").toPandas()
     ranks = table.groupby("k", dropna=False)["v"].rank(method="min")
@@ -120,13 +120,18 @@ def test_hot_rows_and_missing_rows_are_spread(spark):
     np.testing.assert_array_equal(rows["out"], rows["v"] * 2)
 
 
-def test_join_small_beyond_the_broadcast_limit(spark, monkeypatch):
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 3)
+@pytest.mark.parametrize("limit", ["10MB", "-1"])
+def test_join_small_is_broadcast_by_its_bytes(spark, limit):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     df = spark.range(100).withColumn("k", F.when(F.col("id") % 7 > 0, F.col("id") % 7))
     facts = df.groupBy("k").agg(F.count("*").alias("n"))
-    joined = joins.join_small(df, facts, ["k"])
-    plan = joined._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" not in plan
-    got = joined.toPandas()
+    try:
+        joined = joins.join_small(df, facts, ["k"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan) == (limit != "-1")
+        got = joined.toPandas()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert len(got) == 100
     assert (got.groupby("k", dropna=False)["n"].first() == got.groupby("k", dropna=False).size()).all()

@@ -24,7 +24,7 @@ def random_pairs():
     return parts
 
 
-def test_metrics_against_numpy(spark, random_pairs, size):
+def test_metrics_against_numpy(spark, random_pairs):
     got = {r.target: r for r in evaluation.target_metrics(pairs(spark, *random_pairs)).collect()}
     r2s, ys, ps = [], [], []
     for name, y, p in random_pairs:
@@ -55,7 +55,7 @@ def test_metrics_against_numpy(spark, random_pairs, size):
     assert evaluation.score(evaluation.basic_metrics(pairs(spark, *random_pairs))) == pytest.approx(np.mean(r2s))
 
 
-def test_metric_edges(spark, size):
+def test_metric_edges(spark):
     table = pairs(
         spark, ("flat_hit", [2, 2], [2, 2]), ("flat_miss", [2, 2], [1, 3]), ("single", [1], [2]),
         ("zero", [0, 1, 2], [0, 1, 3]), ("gap", [1, float("nan"), 3], [1, 2, float("nan")]),
@@ -229,6 +229,19 @@ def test_correlations(long, wide, monkeypatch):
     assert row.mean_correlation == pytest.approx(np.nanmean(matrix.to_numpy()))
 
 
+def test_correlations_of_incomplete_tables(spark):
+    values = {"f1": {"a": 1.0, "b": 2.0, "c": 4.0}, "f2": {"b": 9.0, "c": 1.0, "d": 2.0}, "f3": {"a": 5.0, "d": 1.0}, "f4": {"b": 3.0, "c": 3.0, "d": 3.0}}
+    rows = [(f, i, t, v) for i, (f, by) in enumerate(values.items()) for t, v in by.items()]
+    table = spark.createDataFrame(rows, "feature string, feature_pos int, target string, importance double")
+    matrix = pd.DataFrame(values).corr(min_periods=2)
+    got = {(r.feature1, r.feature2): r.correlation for r in importance.correlated_pairs(table, 0.0).collect()}
+    expected = {(a, b): matrix.loc[a, b] for a in values for b in values if a < b and not np.isnan(matrix.loc[a, b])}
+    assert got == pytest.approx(expected)
+    assert got["f1", "f2"] == pytest.approx(-1.0)
+    with pytest.raises(ValueError, match="every feature and target"):
+        importance.mean_correlation(table)
+
+
 def test_stability(long, wide):
     cv = (wide.std(axis=1) / wide.mean(axis=1)).where(wide.mean(axis=1) > 0)
     rows = importance.stability(long).collect()

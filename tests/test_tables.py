@@ -37,6 +37,16 @@ def test_csv_round_trip_and_types(spark, sample, tmp_path):
     assert sorted(back.select(*sample.columns).collect()) == sorted(sample.collect())
 
 
+def test_csv_keeps_text_keys_and_reports_bad_numbers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("seq_id,sequence,yield,batch,long\nRNA_1,ACGU,abc,NA,12345678901234567890\nRNA_2,NA,1.5,x,1\n")
+    rows = {r.seq_id: r for r in tables.load_sequences(spark, str(tmp_path / "a.csv"), ["sequence"], strict=False).collect()}
+    assert rows["RNA_1"]["yield"] is None and rows["RNA_1"].unparsed == {"yield": "abc"} and rows["RNA_1"].batch is None
+    assert rows["RNA_2"].sequence is None and rows["RNA_2"]["yield"] == 1.5 and rows["RNA_2"].unparsed is None
+    assert int(rows["RNA_1"].long) == 12345678901234567890
+    with pytest.raises(ValueError, match="yield in 1 rows"):
+        tables.load_sequences(spark, str(tmp_path / "a.csv"), ["sequence"])
+
+
 def test_kinds_of_tables(spark, sample, tmp_path):
     path = tables.write_csv(sample, str(tmp_path / "plain_name"))
     assert tables.load_sequences(spark, path, kind="csv").count() == 3
