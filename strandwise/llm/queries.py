@@ -67,4 +67,54 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_shards": op10_shards,
 }
-ORACLE: dict[str, str] = {}
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+_NEXT = lambda n: ", ".join(f"lead(word, {i}) OVER o" for i in range(n))
+_REACH = """linked AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach(d, r) AS (SELECT id, id FROM ids UNION SELECT reach.d, linked.b FROM reach JOIN linked ON reach.r = linked.a),
+    part AS (SELECT d, min(r) AS component_id FROM reach GROUP BY d)"""
+
+#: What plain SQL can say; the other operators are tested against libraries and brute force.
+ORACLE: dict[str, str] = {
+    "op1_embedding_dedup": f"""
+    WITH RECURSIVE good AS (
+        SELECT vec_id, label, list_transform(embedding, lambda x: cast(x AS double)) AS v FROM embeddings
+        WHERE label IS NOT NULL AND len(embedding) > 0
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    ids AS (SELECT vec_id AS id FROM embeddings),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+              ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.v) = len(b.v)
+              WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+    {_REACH}
+    SELECT d AS vec_id, (SELECT count(*) FROM linked WHERE a = d) AS n_links, component_id, d = component_id AS kept
+    FROM part""",
+    "op2_substring_dedup": f"""
+    WITH lists AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS ws FROM documents),
+    words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM lists),
+    windows AS (SELECT doc_id, i, word, CASE WHEN lead(i, 12) OVER o IS NOT NULL THEN concat_ws(' ', {_NEXT(13)}) END AS g
+                FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    first AS (SELECT g, min(doc_id) AS least FROM windows WHERE g IS NOT NULL GROUP BY g),
+    marked AS (SELECT windows.*, coalesce(least < doc_id, false) AS again FROM windows LEFT JOIN first USING (g)),
+    covered AS (SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+                FROM marked)
+    SELECT doc_id, count(i) AS n_words, count(i) FILTER (WHERE gone) AS n_removed,
+           sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+    FROM lists LEFT JOIN covered USING (doc_id) GROUP BY doc_id""",
+    "op7_jaccard": f"""
+    WITH RECURSIVE lists AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                    'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) AS ws FROM documents),
+    words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM lists),
+    windows AS (SELECT doc_id, CASE WHEN lead(i, 4) OVER o IS NOT NULL THEN concat_ws(' ', {_NEXT(5)}) END AS g
+                FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    sets AS (SELECT DISTINCT doc_id, g FROM windows WHERE g IS NOT NULL
+             UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM lists WHERE len(ws) BETWEEN 1 AND 4),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+    common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+               FROM sets x JOIN sets y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+    links AS (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+              WHERE 100 * c >= 80 * (p.n + q.n - c)),
+    ids AS (SELECT doc_id AS id FROM documents),
+    {_REACH}
+    SELECT d AS doc_id, coalesce(n, 0) AS n_shingles, component_id FROM part LEFT JOIN sizes ON sizes.doc_id = d""",
+}
