@@ -21,9 +21,10 @@ from strandwise.operators.boosting import Boosting, cross_validate, tune
 from strandwise.operators.order_stats import ValueBlocks
 from strandwise.operators.reduce import EmbeddingReducer
 from strandwise.operators.split import split
-from strandwise.plans import report
+from strandwise.plans import jobs, report
 from strandwise.plans.estimator import PropertyModel, Sources
 from strandwise.session import ensure_checkpoint_dir
+from strandwise.sources import tables
 
 STRUCTURE_SQL, ONE_HOT_SQL = DATA_SQL["structure_features"], DATA_SQL["one_hot"]
 
@@ -696,7 +697,59 @@ def grid_search(spark: SparkSession, sf: str) -> DataFrame:
     return settings
 
 
+def _job_folder(spark: SparkSession, sf: str) -> tuple[str, str, Sources]:
+    """A new folder, the job input stored in it (all non-empty sequences), and the sources."""
+    root = f"{ensure_checkpoint_dir(spark)}/jobs-{uuid.uuid4().hex}"
+    rows, sources = _model_rows(spark, sf)
+    named = rows.where("sequence <> ''").withColumnsRenamed({"yield_value": "yield", "dsrna_percent": "dsRNA_percent"})
+    return root, tables.write_table(named, f"{root}/input"), sources
+
+
+def job_validate(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, missing cells per column and repeated rows from the sections that the job stores."""
+    root, path, _ = _job_folder(spark, sf)
+    jobs.validate_job(spark, path, f"{root}/quality")
+    read = lambda name: spark.read.parquet(f"{root}/quality/{name}")
+    return read("sequence_summary").select("total_sequences", "valid_sequences", "invalid_sequences")
+
+
+def job_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Train, predict and evaluate from stored tables: what the stored results must agree on."""
+    root, path, sources = _job_folder(spark, sf)
+    jobs.train_job(spark, path, f"{root}/run", sources, n_components=8, params=SMALL, validate=True)
+    jobs.predict_job(spark, f"{root}/run/model", path, f"{root}/predicted", sources, csv=True)
+    jobs.evaluate_job(spark, f"{root}/run/model", path, f"{root}/evaluated", sources)
+    read = lambda name: spark.read.parquet(f"{root}/{name}")
+    tests, predicted = read("run/test_results"), read("predicted/predictions")
+    metrics = {r["target"]: r for r in read("run/test_metrics").collect()}
+    again = tests.agg(*(F.avg(F.pow(F.col(t) - F.col(f"predicted_{t}"), 2)).alias(t) for t in metrics)).first()
+    sums = read("run/feature_importance").groupBy("target").agg(F.sum("importance").alias("s")).collect()
+    facts = (
+        tests.count(),
+        predicted.count(),
+        tables.read_table(spark, f"{root}/predicted/predictions_csv", kind="csv").count(),
+        read("evaluated/predictions").join(predicted.select("seq_id"), "seq_id").count(),
+        sum(abs(metrics[t]["mse"] - again[t]) < 1e-9 for t in metrics),
+        sum(abs(r["s"] - 1) < 1e-6 for r in sums),
+    )
+    return spark.createDataFrame(
+        [facts], "n_test bigint, n_predicted bigint, n_csv bigint, n_evaluated bigint, n_mse_equal bigint, n_importance_whole bigint"
+    )
+
+
 _EMBED_SQL = {
+    "job_validate": with_views(
+        """SELECT count(*) AS total_sequences, count(*) AS valid_sequences, cast(0 AS bigint) AS invalid_sequences
+        FROM sequences WHERE sequence <> ''""",
+        "sequences",
+    ),
+    "job_chain": with_views(
+        """SELECT greatest(1, cast(floor(count(*) * 0.2) AS bigint)) AS n_test, count(*) AS n_predicted,
+               count(*) AS n_csv, count(*) AS n_evaluated, cast(3 AS bigint) AS n_mse_equal,
+               cast(3 AS bigint) AS n_importance_whole
+        FROM sequences WHERE sequence <> ''""",
+        "sequences",
+    ),
     "embed_hook": with_views(
         """WITH cut AS (SELECT seq_id, substring(translate(sequence, 'U', 'T'), 1, 2048) AS s FROM sequences)
         SELECT seq_id, 'ok' AS embed_status, """
@@ -747,7 +800,7 @@ QUERIES = {
         for f in (
             embedding_pca, embedding_pca_statistics, embed_hook, train_predict, feature_importance,
             assembled_features, feature_assembly, embedding_pca_norms, model_reload,
-            cross_validation, grid_search,
+            cross_validation, grid_search, job_validate, job_chain,
         )
     },
 }
