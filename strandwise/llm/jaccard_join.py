@@ -1,8 +1,8 @@
 """Operator 7: Jaccard similarity join of word n-gram sets with a prefix tree.
 
-Every text is a set of n-grams in one global order: n-grams that are frequent in some batch of
-texts come last, the rarer first; others by hash. Any order gives the same links, so the table
-of frequent ones may be of bounded size (``heavy``) and is broadcast.
+Every text is a set of n-grams in one global order: n-grams found frequent come last, the
+rarer first; others by hash. Any order gives the same links, so the table of frequent ones may
+be of bounded size (the ``heavy`` most frequent, 16 bytes each) and is broadcast.
 
 1. Equal sets form one class, represented by its least document.
 2. Two sets at the similarity share an n-gram among the first n - ceil(s n) + 1 of each. The
@@ -78,28 +78,38 @@ def arrange(order: tuple[np.ndarray, np.ndarray], grams: np.ndarray, first: np.n
     known, place = order
     numbers = grams >> np.uint64(1)
     if len(known):
-        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-        hit = known[at] == grams
+        at = np.minimum(np.searchsorted(known, numbers), len(known) - 1)
+        hit = known[at] == numbers
         numbers[hit] = _TOP | place[at[hit]]
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     return numbers[np.lexsort((numbers, doc))]
 
 
-def frequent(texts: DataFrame, n: int, heavy: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order from the n-grams that ``least`` texts of some 3 MB of texts have."""
+def frequent(texts: DataFrame, n: int, percent: int, heavy: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order from n-grams that at least ``least`` documents have in their prefixes when all
+    are ordered by hash: counted over all documents, combined in each batch and task first.
+    """
 
     def run(items):
         for batch in batches(items, "text", _BATCH):
-            grams, _ = gram_sets(batch.column(0), n)
-            values, counts = np.unique(grams, return_counts=True)
-            many = counts >= least
-            yield pa.RecordBatch.from_arrays([pa.array(values[many].astype(np.int64)), pa.array(counts[many])], ["gram", "n"])
+            grams, first = gram_sets(batch.column(0), n)
+            numbers = arrange((grams[:0], grams[:0]), grams, first)
+            values, counts = np.unique(numbers[_prefix_places(first, percent)[0]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(counts)], ["gram", "n"])
 
     counted = texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    table = counted.orderBy(F.desc("n"), "gram").limit(heavy).toArrow()
+    table = counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(heavy).toArrow()
     return rank(table.column("gram").to_numpy().astype(np.uint64), table.column("n").to_numpy())
 
 
+def _prefix_places(first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all texts' prefixes, and where each prefix ends among them."""
+    size = np.diff(first)
+    length = np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
+    ends = np.cumsum(length)
+    return np.repeat(first[:-1] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0), ends
+
+
 def _digest(numbers: np.ndarray) -> bytes:
     return hashlib.blake2b(numbers.tobytes(), digest_size=16).digest()
 
@@ -112,9 +122,7 @@ def _prefixes(texts: DataFrame, order, n: int, percent: int) -> DataFrame:
             grams, first = gram_sets(batch.column(1), n)
             numbers = arrange(order.value, grams, first)
             size = np.diff(first)
-            length = np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
-            ends = np.cumsum(length)
-            at = np.repeat(first[:-1] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
+            at, ends = _prefix_places(first, percent)
             prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(numbers[at].view(np.int64)))
             digest = pa.array([_digest(numbers[a:b]) for a, b in zip(first, first[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size.astype(np.int64)), digest, prefix], ["key", "content", "n", "digest", "prefix"])
@@ -258,17 +266,19 @@ class Trie:
 def _verify(pairs: DataFrame, texts: DataFrame, order, n: int, percent: int, block_bytes: int) -> DataFrame:
     """The pairs (a, b) of ``pairs`` whose sets reach the similarity.
 
-    Pairs that hang together go to one block, so that a text is sent once; blocks beyond
-    ``block_bytes`` of text are divided by the pairs' first ends.
+    The pairs of all probes with one least partner go to one block: the members of a group of
+    near copies mostly have the same, so a text is sent to few blocks. Blocks beyond
+    ``block_bytes`` of text are divided by probe.
     """
     pairs = store(pairs, "pairs")
-    group = components(pairs)
-    sized = group.join(texts.select(F.col("node"), F.octet_length("text").alias("bytes")), "node")
-    cut = sized.groupBy("component").agg(F.ceil(F.sum("bytes") / F.lit(block_bytes)).cast("long").alias("cuts"))
-    block = F.xxhash64("component", F.pmod(F.xxhash64("a"), F.col("cuts")))
-    blocked = store(
-        pairs.join(group.withColumnRenamed("node", "a"), "a").join(cut, "component").select(block.alias("block"), "a", "b"), "blocks"
-    )
+    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    star = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("star"))
+    starred = store(pairs.join(star, "a"), "starred")
+    ends = starred.select("star", F.explode(F.array("a", "b")).alias("node")).distinct()
+    sized = ends.join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
+    cut = sized.groupBy("star").agg(F.ceil(F.sum("bytes") / F.lit(block_bytes)).cast("long").alias("cuts"))
+    block = F.xxhash64("star", F.pmod(F.xxhash64("a"), F.col("cuts")))
+    blocked = store(starred.join(cut, "star").select(block.alias("block"), "a", "b"), "blocks")
     sent = blocked.select(F.col("block").alias("target"), F.explode(F.array("a", "b")).alias("node")).distinct().join(texts, "node")
 
     def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -292,7 +302,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, order, n: int, percent: int, blo
 
 
 def near_components(
-    docs: DataFrame, n: int = 5, percent: int = 80, heavy: int = 200_000, least: int = 5,
+    docs: DataFrame, n: int = 5, percent: int = 80, heavy: int = 1_000_000, least: int = 4,
     block_bytes: int = 6 << 20, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """(key, n_shingles, component_id) per row."""
@@ -302,7 +312,7 @@ def near_components(
 
 
 def heads(
-    docs: DataFrame, n: int = 5, percent: int = 80, heavy: int = 200_000, least: int = 5,
+    docs: DataFrame, n: int = 5, percent: int = 80, heavy: int = 1_000_000, least: int = 4,
     block_bytes: int = 6 << 20, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """The rows of ``docs``, all columns, that stay when of each component the document with the
@@ -330,7 +340,7 @@ def _members(docs, n, percent, heavy, least, block_bytes, key, text) -> DataFram
     spark: SparkSession = docs.sparkSession
     rows = plain(docs, **{key: "long", text: "string"}).toDF("key", "text")
     rows = rows.withColumn("content", F.xxhash64("text", F.lit("text")))
-    order = spark.sparkContext.broadcast(frequent(rows, n, heavy, least))
+    order = spark.sparkContext.broadcast(frequent(rows, n, percent, heavy, least))
     known = store(_prefixes(rows, order, n, percent), "prefixes")
     filled = known.filter("n > 0")
     classes = store(filled.groupBy("digest").agg(F.min("key").alias("node")), "classes")
