@@ -4,10 +4,11 @@ Base spans (e-mail, IP address, card, phone) follow fixed patterns and always co
 generators propose further spans that may overlap: number-like runs, long tokens, address-like
 words. Each has features of its format (lengths, digits, separators, groups, check digit) and of
 its context (words before it, signs around it). Gradient-boosted trees learn from a bounded
-sample of candidates whose label a rule knows: base spans and values assigned to a name like
-"token" or "password" are personal, the rest is not. For each generator the threshold is
-the lowest score whose precision on other candidates is at least ``precision``; candidates
-above it are added unless a base span covers a part of them.
+sample of candidates, stratified by generator and label; the label a rule knows: base spans and
+values assigned to a name like "token" or "password" are personal, the rest is not. For each
+generator the threshold is the lowest score whose precision, over all candidates outside the
+fit, is at least ``precision``; candidates above it are added unless a base span covers a part
+of them.
 
 Everything is DataFrame functions and Spark ML: no Python runs on executors. Positions come
 from what lies between matches: a text splits at a pattern into one more part than it has
@@ -169,29 +170,52 @@ def _features(found: DataFrame) -> DataFrame:
 
 
 def learn(candidates: DataFrame, sample: int = 20_000, precision: float = 0.9, trees: int = 12, depth: int = 4):
-    """(model, threshold per generator) from about ``sample`` candidates, or None."""
-    sizes = candidates.groupBy("label").count().collect()
-    if len(sizes) < 2:
+    """(model, threshold per generator, the candidates with their scores, stored), or None.
+
+    The trees are fitted to at most about ``sample`` candidates, an equal share of each generator
+    and label. Thresholds come from all candidates outside the fit; a generator's candidates of a
+    label count for those of them that the fit took.
+    """
+    strata = {(r["generator"], r["label"]): r["n"] for r in candidates.groupBy("generator", "label").agg(F.count("*").alias("n")).collect()}
+    if len({label for _, label in strata}) < 2:
         return None
-    rate = min(1.0, sample / sum(r["count"] for r in sizes))
     draw = F.pmod(F.xxhash64("row", "start", "end", "generator"), F.lit(1 << 20)) / F.lit(1 << 20)
-    drawn = store(candidates.filter(draw < rate).withColumn("draw", F.pmod(F.xxhash64("row", F.lit("fold")), F.lit(4))), "labelled")
-    fit, test = drawn.filter("draw > 0"), drawn.filter("draw = 0")
+    fold = F.pmod(F.xxhash64("row", F.lit("fold")), F.lit(4))
+    rate = F.lit(0.0)
+    for (g, label), n in strata.items():
+        rate = F.when((F.col("generator") == g) & (F.col("label") == label), F.lit(sample / len(strata) / n)).otherwise(rate)
+    # A quarter of the rows is never in the fit, so that rare candidates are left for the thresholds.
+    drawn = (fold > 0) & (draw < rate)
+    fit = store(candidates.filter(drawn), "labelled")
     if fit.select("label").distinct().count() < 2:
         return None
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, labelCol="label").fit(assembler.transform(fit))
-    scored = _score(test, model).withColumn("step", F.floor(F.col("score") * 100))
-    steps = scored.groupBy("generator", "step").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()
-    thresholds = {}
+    scored = store(
+        _score(candidates.withColumn("fitted", drawn), model).select("row", "start", "end", "generator", "label", "covered", "fitted", "score"),
+        "scored",
+    )
+    step = F.floor(F.col("score") * 100).alias("step")
+    steps = scored.filter(~F.col("fitted")).groupBy("generator", "label", step).agg(F.count("*").alias("n")).collect()
+    return model, thresholds(strata, [(r["generator"], r["label"], r["step"], r["n"]) for r in steps], precision), scored
+
+
+def thresholds(strata: dict, steps: list[tuple], precision: float) -> dict[int, float]:
+    """The lowest score of each generator at which the precision holds, from the numbers of
+    candidates by (generator, label) and of those outside the fit by (generator, label, step).
+    """
+    outside = {s: sum(n for g, label, _, n in steps if (g, label) == s) for s in strata}
+    out = {}
     for g in range(len(GENERATORS)):
-        n = good = 0.0
+        total = good = 0.0
+        own = [(step, label, n * strata[g, label] / outside[g, label]) for of, label, step, n in steps if of == g]
         # Scores from high to low; the lowest step at which the precision still holds.
-        for r in sorted((r for r in steps if r["generator"] == g), key=lambda r: -r["step"]):
-            n, good = n + r["n"], good + r["good"]
-            if good >= precision * n and r["step"] >= 50:
-                thresholds[g] = r["step"] / 100
-    return model, thresholds
+        for step in sorted({step for step, _, _ in own}, reverse=True):
+            total += sum(n for at, _, n in own if at == step)
+            good += sum(n for at, label, n in own if at == step and label)
+            if good >= precision * total and step >= 50:
+                out[g] = step / 100
+    return out
 
 
 def _score(candidates: DataFrame, model) -> DataFrame:
@@ -205,11 +229,11 @@ def spans(found: DataFrame) -> DataFrame:
     known = learn(candidates)
     if known is None or not known[1]:
         return found.select("row", F.array().cast("array<struct<kind:int,start:int,end:int>>").alias("extra")).limit(0)
-    model, thresholds = known
+    _, least_scores, scored = known
     least = F.lit(None).cast("double")
-    for g, t in thresholds.items():
+    for g, t in least_scores.items():
         least = F.when(F.col("generator") == g, F.lit(t)).otherwise(least)
-    chosen = _score(candidates.filter(~F.col("covered")), model).filter(F.col("score") >= least)
+    chosen = scored.filter(~F.col("covered") & (F.col("score") >= least))
     kind = F.lit(len(BASE)) + F.col("generator").cast("int")
     return chosen.groupBy("row").agg(F.sort_array(F.collect_set(F.struct(kind.alias("kind"), "start", "end"))).alias("extra"))
 

@@ -225,6 +225,26 @@ def test_private_adds_named_secrets(spark):
     assert sum(s.startswith("secret:") for s in added) > 50
 
 
+def test_private_keeps_rare_secrets(spark):
+    rng = random.Random(3)
+    value = lambda: "".join(rng.choice("abcdef0123456789") for _ in range(24))
+    texts = [" and ".join(f"{rng.randint(10**7, 10**9)}" for _ in range(20)) for _ in range(1000)]
+    texts += [f'id {value()} then token = "{value()}"' for _ in range(60)]
+    candidates = pii._features(pii.find(documents(spark, texts)))
+    # 20,000 numbers, 60 secrets, and a sample that a uniform draw fills with numbers.
+    _, thresholds, scored = pii.learn(candidates, sample=400)
+    assert 1 in thresholds
+    assert scored.count() == candidates.count()
+    assert scored.filter("generator = 1 AND label = 1").filter(scored.score >= thresholds[1]).count() == 60
+
+
+def test_thresholds_count_for_the_fitted():
+    strata = {(1, 1.0): 40, (1, 0.0): 1000}
+    # 10 of 40 are outside the fit, and 999 of 1,000: 40 right ones at 80, with 4 wrong ones.
+    steps = [(1, 1.0, 80, 10), (1, 0.0, 80, 4), (1, 0.0, 60, 495), (1, 0.0, 10, 500)]
+    assert pii.thresholds(strata, steps, 0.9) == {1: 0.8}
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "mail x@y.zz now", 7), (1, None, 8), (None, "ip 1.2.3.4", 9)], "doc_id long, text string, row int")
     found = pii.redact(df)
