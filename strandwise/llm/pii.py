@@ -40,8 +40,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GENERATORS = {
-    "number": r"(?<![0-9A-Za-z])[+(]?[0-9][\x20().0-9/-]{5,60}[0-9](?![0-9A-Za-z])",
-    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+",
+    "number": r"(?<![0-9A-Za-z])[+(]?[0-9][\x20().0-9/-]{5,}[0-9](?![0-9A-Za-z])",
+    # A sign = is padding at the end of a value and otherwise stands before one.
+    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+(?:={1,2}+(?![A-Za-z0-9_+/=-]))?+",
     "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?[(\[]at[)\]]\x20?|@)[A-Za-z0-9-]++",
 }
 KINDS = (*BASE, *GENERATORS)
@@ -53,16 +54,22 @@ FEATURES = (
 
 
 def _spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value, before>> of all matches, left to right."""
+    """array<struct<start, end, value, before>> of all matches, left to right; ``before`` is the
+    text before the match, whether an earlier match covers it or not.
+    """
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     pairs = F.arrays_zip(found.alias("value"), F.slice(between, F.lit(1), F.size(found)).alias("before"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,before:string>>").alias("out"))
+    start = F.struct(
+        F.lit(0).alias("at"), F.lit("").alias("last"),
+        F.array().cast("array<struct<start:int,end:int,value:string,before:string>>").alias("out"),
+    )
 
     def step(state, x):
         begin = state["at"] + F.length(x["before"])
         end = begin + F.length(x["value"])
-        one = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"), F.right(x["before"], F.lit(32)).alias("before"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+        before = F.right(F.concat(state["last"], x["before"]), F.lit(32))
+        one = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"), before.alias("before"))
+        return F.struct(end.alias("at"), F.right(F.concat(before, x["value"]), F.lit(32)).alias("last"), F.concat(state["out"], F.array(one)).alias("out"))
 
     spans = F.aggregate(pairs, start, step, lambda state: state["out"])
     return F.when(F.size(found) > 0, spans).otherwise(start["out"])

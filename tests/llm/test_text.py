@@ -238,6 +238,27 @@ def test_private_keeps_rare_secrets(spark):
     assert scored.filter("generator = 1 AND label = 1").filter(scored.score >= thresholds[1]).count() == 60
 
 
+def test_private_assignments(spark):
+    value = "sk_live_0123456789abcdef"
+    texts = [
+        f"api_key={value}", f"PASSWORD={value}", f"export AWS_SECRET_ACCESS_KEY={value}", f"https://a.example/some/long/path?x=1&token={value}&y=2",
+        f"token:{value}", f'token = "{value}"', "secret=QUJDREVGR0hJSktMTU5PUA== end", f"nothing={value}",
+    ]
+    found = pii._features(pii.find(documents(spark, texts))).filter("generator = 1")
+    text = {r.row: texts[r.key] for r in pii.find(documents(spark, texts)).select("row", "key").collect()}
+    named = collections.defaultdict(set)
+    for r in found.collect():
+        named[text[r.row]] |= {text[r.row][r.start : r.end]} if r.label else set()
+    assert [named[t] for t in texts] == [{value}] * 6 + [{"QUJDREVGR0hJSktMTU5PUA=="}, set()]
+
+
+def test_private_long_number_runs(spark):
+    texts = ["n " + "12 34-" * 40 + "5 and 1234567 8a", "7" * 300, "1" + "-" * 50000 + "a"]
+    rows = pii.find(documents(spark, texts)).select("key", "found_number").collect()
+    found = {r.key: [(s.start, s.end) for s in r.found_number] for r in rows}
+    assert found == {0: [(2, 243), (248, 255)], 1: [(0, 300)], 2: []}
+
+
 def test_thresholds_count_for_the_fitted():
     strata = {(1, 1.0): 40, (1, 0.0): 1000}
     # 10 of 40 are outside the fit, and 999 of 1,000: 40 right ones at 80, with 4 wrong ones.
