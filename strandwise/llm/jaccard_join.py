@@ -4,14 +4,16 @@ Every text is a set of n-grams in one global order: n-grams found frequent come
 rarer first; others by hash. Any order gives the same links, so the table of frequent ones may
 be of bounded size (the ``heavy`` most frequent, 16 bytes each) and is broadcast.
 
-1. Equal sets form one class, represented by its least document.
+1. Equal sets form one class, numbered in order of its least document and digest: a key that
+   repeats with different texts is a member of several classes.
 2. Two sets at the similarity share an n-gram among the first n - ceil(s n) + 1 of each. The
-   representatives' prefixes are range-sorted by (n-gram, size, document): an n-gram's row
+   representatives' prefixes are range-sorted by (n-gram, size, class): an n-gram's row
    range may span tasks, so no n-gram is too hot. What nobody shares is dropped.
 3. Neighbours in that order are the first candidates; verified ones are united. That joins the
    bulk of every group of near copies with a number of candidates linear in its size.
 4. All candidates left between different components are verified, pruned by size and position.
-5. Components over both kinds of links, back to all documents through their class.
+5. Components over both kinds of links, back to all documents through their class; the class
+   with the least number gives a component the key that names it.
 
 Verification groups candidates into blocks of bounded bytes. In a block the sets of a probe's
 partners are a trie: they are walked in order, a partner starts from the overlap its common
@@ -289,8 +291,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, order, n: int, percent: int, blo
             numbers = arrange(order.value, grams, first)
             for i, (node, digest) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
                 own = numbers[first[i] : first[i + 1]]
-                if _digest(own) == digest:  # else another row with the same key
-                    sets[node] = own
+                if _digest(own) != digest:
+                    raise ValueError(f"the text sent for class {node} is that of another one")
+                sets[node] = own
         partners: dict[int, list[int]] = {}
         for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
             partners.setdefault(a, []).append(b)
@@ -319,12 +322,8 @@ def heads(
     least key stays. Rows with equal key and text are one row; rows without words or key stay.
     """
     members = _members(docs, n, percent, heavy, least, block_bytes, key, text)
-    others = members.filter("n > 0 AND key IS NOT NULL")
-    # A head is the component's least key, with the set of one of the rows of that key.
-    least_set = others.filter("key = component").groupBy("component").agg(F.min("digest").alias("stays"))
-    gone = others.join(least_set, "component").filter("key <> component OR digest <> stays").select(
-        F.col("key").alias("_key"), F.col("content").alias("_content")
-    )
+    # A head is the least key of the component's first class.
+    gone = members.filter("n > 0 AND (key <> component OR NOT first)").select(F.col("key").alias("_key"), F.col("content").alias("_content"))
     names = docs.columns
     rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
     value = F.col(f"c{names.index(text)}").cast("string")
@@ -334,8 +333,9 @@ def heads(
 
 
 def _members(docs, n, percent, heavy, least, block_bytes, key, text) -> DataFrame:
-    """(key, n, digest, content, component) per row; the component of a row without words is
-    null. ``content`` is a hash of the text as it is.
+    """(key, n, digest, content, component, first) per row; the component of a row without words
+    is null. ``content`` is a hash of the text as it is, ``first`` whether the row's class is its
+    component's first.
     """
     spark: SparkSession = docs.sparkSession
     rows = plain(docs, **{key: "long", text: "string"}).toDF("key", "text")
@@ -343,21 +343,26 @@ def _members(docs, n, percent, heavy, least, block_bytes, key, text) -> DataFram
     order = spark.sparkContext.broadcast(frequent(rows, n, percent, heavy, least))
     known = store(_prefixes(rows, order, n, percent), "prefixes")
     filled = known.filter("n > 0")
-    classes = store(filled.groupBy("digest").agg(F.min("key").alias("node")), "classes")
+    # Numbers ascend with the least key, so that a component's least number has its least key.
+    least_keys = filled.groupBy("digest").agg(F.min("key").alias("least"))
+    in_order = least_keys.repartitionByRange(partitions(spark), "least", "digest").sortWithinPartitions("least", "digest")
+    classes = store(in_order.withColumn("node", F.monotonically_increasing_id()), "classes")
+    known_classes = classes.filter("least IS NOT NULL")
     # Rows of a digest have one prefix; copies are combined before the only shuffle of prefixes.
-    alike = filled.groupBy("digest").agg(F.min("key").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    tokens = alike.filter("node IS NOT NULL").select("node", "n", F.posexplode("prefix").alias("place", "token"))
+    alike = filled.groupBy("digest").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    numbered = alike.join(known_classes.select("digest", "node"), "digest")
+    tokens = numbered.select("node", "n", F.posexplode("prefix").alias("place", "token"))
     tokens = tokens.select("token", "n", "node", F.col("place").cast("long").alias("place"))
     ordered = tokens.repartitionByRange(partitions(spark), "token", "n", "node").sortWithinPartitions("token", "n", "node")
     shared = store(_neighbours(ordered, percent), "shared")
     members = store(known.select("key", "n", "digest", "content"), "members")
     drop_stored(known)
 
-    wanted = shared.select("node").distinct().join(classes.filter("node is not null"), "node")
+    wanted = known_classes.join(shared.select("node").distinct(), "node").select("digest", F.col("least").alias("key"), "node")
+    # One text of each class: a row of its least key that has its digest.
+    chosen = members.join(wanted, ["digest", "key"]).groupBy("node", "digest", "key").agg(F.min("content").alias("content"))
     texts = store(
-        rows.join(wanted, F.col("key") == F.col("node"))
-        .dropDuplicates(["node", "content"])
-        .select("node", "text", "digest"),
+        rows.join(chosen, ["key", "content"]).dropDuplicates(["key", "content", "node"]).select("node", "text", "digest"),
         "shared-texts",
     )
     first = shared.filter("before is not null").select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b"))
@@ -374,5 +379,7 @@ def _members(docs, n, percent, heavy, least, block_bytes, key, text) -> DataFram
     rest = _across(runs, percent).distinct().join(first.distinct(), ["a", "b"], "left_anti")
     links = near.union(_verify(rest, texts, order, n, percent, block_bytes))
 
-    named = classes.join(components(links), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    grouped = store(classes.join(components(links), "node", "left").select("node", "digest", "least", F.coalesce("component", "node").alias("top")), "grouped")
+    tops = grouped.filter("node = top").select("top", F.col("least").alias("component"))
+    named = grouped.join(tops, "top").select("digest", "component", (F.col("node") == F.col("top")).alias("first"))
     return members.join(named, "digest", "left")

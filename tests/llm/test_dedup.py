@@ -170,6 +170,16 @@ def test_jaccard_heads(spark):
     assert kept.columns == ["doc_id", "text", "n", "key", "component", "pack"]
 
 
+def test_jaccard_of_clashing_keys(spark):
+    text = lambda name, last: " ".join([*(f"{name}{i}" for i in range(40)), last])
+    docs = [(10 * k, text(f"{side}{k}_", "end")) for k in range(1, 9) for side in "ab"]
+    copies = [(10 * k + i + 1, text(f"{side}{k}_", "other")) for k in range(1, 9) for i, side in enumerate("ab")]
+    found = jaccard_join.near_components(documents(spark, docs + copies)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == sorted((i, i // 10 * 10) for i, _ in docs + copies)
+    kept = jaccard_join.heads(documents(spark, docs + copies)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted(docs)
+
+
 def test_trie_prunes_and_shares():
     sets = {1: np.array([1, 2, 3, 4, 5], np.uint64), 2: np.array([1, 2, 3, 4, 9], np.uint64), 3: np.array([7, 8], np.uint64)}
     trie = jaccard_join.Trie(sets)
