@@ -117,8 +117,8 @@ def embedding_attach(spark: SparkSession, sf: str) -> DataFrame:
 
 def stack_batches(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    parts = [e.where(F.col("label") < 5), e.where(F.col("label") >= 5)]
-    stacked = parts[0].unionByName(parts[1])
+    parts = [e.where(F.col("label") < 5), e.where(F.col("label") >= 5), e.where(F.col("label").isNull())]
+    stacked = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return rounded(
         stacked.select("vec_id", "label", F.col("embedding")[0].cast("double").alias("first"))
     )

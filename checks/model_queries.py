@@ -571,7 +571,8 @@ _IMPORTANCE_QUERIES = {
 
 # --- fitted models (no SQL equivalent) --------------------------------------------------
 
-SMALL = Boosting(trees=5, depth=3)
+#: All dimensions of the embeddings.
+COMPONENTS = 64
 
 
 def _model_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, Sources]:
@@ -586,12 +587,12 @@ MODEL_TARGETS = ["yield_value", "dsrna_percent", "expression"]
 
 def embedding_pca(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
-    reducer = EmbeddingReducer(8).fit(vectors)
+    reducer = EmbeddingReducer(COMPONENTS).fit(vectors)
     return reducer.expand(reducer.transform(vectors, "vec_id"), "vec_id")
 
 
 def embedding_pca_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return EmbeddingReducer(8).fit(table(spark, sf, "embeddings")).statistics(spark)
+    return EmbeddingReducer(COMPONENTS).fit(table(spark, sf, "embeddings")).statistics(spark)
 
 
 def composition_embedder():
@@ -619,18 +620,18 @@ def embed_hook(spark: SparkSession, sf: str) -> DataFrame:
 def train_predict(spark: SparkSession, sf: str) -> DataFrame:
     rows, sources = _model_rows(spark, sf)
     train, test = split(rows)
-    model = PropertyModel(8, SMALL).fit(train, sources, MODEL_TARGETS)
+    model = PropertyModel(COMPONENTS).fit(train, sources, MODEL_TARGETS)
     return model.predict(test, sources, include_features=False)
 
 
 def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     rows, sources = _model_rows(spark, sf)
-    return PropertyModel(8, SMALL).fit(rows, sources, MODEL_TARGETS).importance(spark)
+    return PropertyModel(COMPONENTS).fit(rows, sources, MODEL_TARGETS).importance(spark)
 
 
 def _features(spark: SparkSession, sf: str) -> tuple[DataFrame, PropertyModel]:
     rows, sources = _model_rows(spark, sf)
-    model = PropertyModel(8, SMALL)
+    model = PropertyModel(COMPONENTS)
     model.featurizer = model.featurizer.fit(rows, sources)
     model.encoder = CovariateEncoder().fit(rows, ["enzyme_type", "temperature"])
     return model.assemble(rows, sources, MODEL_TARGETS), model
@@ -663,7 +664,7 @@ def feature_assembly(spark: SparkSession, sf: str) -> DataFrame:
 def embedding_pca_norms(spark: SparkSession, sf: str) -> DataFrame:
     """With all components kept PCA only rotates: lengths equal those of the scaled input."""
     vectors = table(spark, sf, "embeddings")
-    reduced = EmbeddingReducer(64).fit(vectors).transform(vectors, "vec_id")
+    reduced = EmbeddingReducer(COMPONENTS).fit(vectors).transform(vectors, "vec_id")
     square = F.aggregate("reduced", F.lit(0.0), lambda total, x: total + x * x)
     return rounded(reduced.select("vec_id", square.alias("square")), 4)
 
@@ -671,11 +672,11 @@ def embedding_pca_norms(spark: SparkSession, sf: str) -> DataFrame:
 def model_reload(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions of a fitted model against those of its saved and loaded copy."""
     rows, sources = _model_rows(spark, sf)
-    model = PropertyModel(4, Boosting(trees=2, depth=2)).fit(rows, sources, ["expression"])
+    model = PropertyModel(COMPONENTS).fit(rows, sources, MODEL_TARGETS)
     path = model.save(spark, f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}")
     both = [
         m.predict(rows, sources, include_features=False).select(
-            "seq_id", F.col("predicted_expression").alias(name)
+            "seq_id", F.struct(*(f"predicted_{t}" for t in MODEL_TARGETS)).alias(name)
         )
         for m, name in ((model, "before"), (PropertyModel.load(spark, path), "after"))
     ]
@@ -688,7 +689,7 @@ def model_reload(spark: SparkSession, sf: str) -> DataFrame:
 
 def cross_validation(spark: SparkSession, sf: str) -> DataFrame:
     rows, model = _features(spark, sf)
-    return cross_validate(rows, MODEL_TARGETS[:2], model.feature_names, SMALL, folds=3)
+    return cross_validate(rows, MODEL_TARGETS, model.feature_names)
 
 
 def grid_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -716,7 +717,7 @@ def job_validate(spark: SparkSession, sf: str) -> DataFrame:
 def job_chain(spark: SparkSession, sf: str) -> DataFrame:
     """Train, predict and evaluate from stored tables: what the stored results must agree on."""
     root, path, sources = _job_folder(spark, sf)
-    jobs.train_job(spark, path, f"{root}/run", sources, n_components=8, params=SMALL, validate=True)
+    jobs.train_job(spark, path, f"{root}/run", sources, n_components=COMPONENTS, validate=True)
     jobs.predict_job(spark, f"{root}/run/model", path, f"{root}/predicted", sources, csv=True)
     jobs.evaluate_job(spark, f"{root}/run/model", path, f"{root}/evaluated", sources)
     read = lambda name: spark.read.parquet(f"{root}/{name}")
