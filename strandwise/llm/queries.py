@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandwise.llm import bpe, embedding_dedup, jaccard_join, language_id, packing, pii, quality_rules, sharding, substring_dedup, token_counts
+from strandwise.llm import (
+    bpe, embedding_dedup, hard_negatives, jaccard_join, language_id, lexical_search, nearest, packing, pii, quality_rules, sharding,
+    substring_dedup, token_counts,
+)
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,6 +59,19 @@ def op1_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf, "embeddings"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf, "embeddings"), label=moved)
+
+
+def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+def op13_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest.nearest(_table(spark, sf, "embeddings"))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -66,9 +83,14 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
     "op10_shards": op10_shards,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_nearest": op13_nearest,
 }
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _NEXT = lambda n: ", ".join(f"lead(word, {i}) OVER o" for i in range(n))
+_FINITE = "len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 _REACH = """linked AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
     reach(d, r) AS (SELECT id, id FROM ids UNION SELECT reach.d, linked.b FROM reach JOIN linked ON reach.r = linked.a),
     part AS (SELECT d, min(r) AS component_id FROM reach GROUP BY d)"""
@@ -117,4 +139,38 @@ ORACLE: dict[str, str] = {
     ids AS (SELECT doc_id AS id FROM documents),
     {_REACH}
     SELECT d AS doc_id, coalesce(n, 0) AS n_shingles, component_id FROM part LEFT JOIN sizes ON sizes.doc_id = d""",
+    "op11_hard_negatives": f"""
+    WITH good AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * cast(x AS double))) AS v
+        FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+    pairs AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, cast(list_dot_product(a.v, b.v) AS bigint) AS score
+              FROM good a JOIN good b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+    positives AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM pairs WHERE same
+                  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+    ranked AS (SELECT anchor_id, positive_id, other AS negative_id, positive_score, score AS negative_score,
+                      row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS rank
+               FROM positives JOIN pairs USING (anchor_id)
+               WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+    SELECT anchor_id, positive_id, cast(rank AS integer) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5""",
+    "op12_lexical_search": f"""
+    WITH terms AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+    lengths AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+    total AS (SELECT count(*) AS nn, sum(n) AS l FROM lengths),
+    sizes AS (SELECT doc_id, 75 + (25 * n * nn) // cast(l AS bigint) AS m FROM lengths, total),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term),
+    weights AS (SELECT term, cast(floor(1000 * ln(cast(2 * any_value(nn) + 2 AS double) / cast(2 * count(*) + 1 AS double))) AS bigint) AS w
+                FROM tf, total GROUP BY term),
+    asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+    scored AS (SELECT item_id, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS bigint) AS score
+               FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN sizes USING (doc_id) GROUP BY item_id, doc_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+    SELECT item_id, cast(rank AS integer) AS rank, doc_id, score FROM ranked WHERE rank <= 20""",
+    "op13_nearest": f"""
+    WITH good AS (SELECT vec_id, list_transform(embedding, lambda x: cast(x AS double)) AS v FROM embeddings
+                  WHERE {_FINITE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_dot_product(a.v, b.v) AS score
+              FROM good a JOIN good b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+    SELECT query_id, cast(rank AS integer) AS rank, vec_id, score FROM ranked WHERE rank <= 20""",
 }
