@@ -102,3 +102,62 @@ def quality(text):
     lines = [x for x in text.split("\n") if WORD.search(x)]
     failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), failed
+
+
+def _sound(vector):
+    return bool(vector) and all(x is not None and np.isfinite(x) for x in vector)
+
+
+def _dot(a, b):
+    total = a[0] * 0
+    for x, y in zip(a, b):
+        total += x * y
+    return total
+
+
+def nearest(rows, k=20, every=20):
+    """Sorted (query, rank, id, score) of rows (id, vector)."""
+    good = [(i, [float(x) for x in v]) for i, v in rows if _sound(v) and any(v)]
+    out = []
+    for a, (i, v) in enumerate(good):
+        if i is None or i % every:
+            continue
+        others = [(-_dot(v, w), j is None, j or 0, b) for b, (j, w) in enumerate(good) if b != a and len(w) == len(v)]
+        out += [(i, r + 1, None if none else j, 0.0 - s) for r, (s, none, j, _) in enumerate(sorted(others)[:k])]
+    return sorted(out, key=str)
+
+
+def hard_negatives(rows, positives=5, negatives=5, low=80, scale=256, every=100):
+    """Sorted result of rows (id, vector, label)."""
+    good = [(i, [int(np.floor(scale * float(x))) for x in v], g) for i, v, g in rows if g is not None and _sound(v)]
+    out = []
+    for a, (i, v, g) in enumerate(good):
+        if i is None or i % every:
+            continue
+        pairs = sorted((-_dot(v, w), h != g, j is None, j or 0) for b, (j, w, h) in enumerate(good) if b != a and len(w) == len(v))
+        for s, _, none, p in [x for x in pairs if not x[1]][:positives]:
+            fit = [x for x in pairs if x[1] and low * -s <= 100 * -x[0] <= 100 * -s][:negatives]
+            out += [(i, None if none else p, r + 1, None if x[2] else x[3], -s, -x[0]) for r, x in enumerate(fit)]
+    return sorted(out, key=str)
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def search(docs, items, k=20):
+    """Sorted (item, rank, doc, score)."""
+    terms = lambda t: TERM.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    bags = [(d, collections.Counter(terms(t))) for d, t in docs]
+    bags = [(d, b) for d, b in bags if b]
+    n, length = len(bags), sum(b.total() for _, b in bags)
+    df = collections.Counter(t for _, b in bags for t in b)
+    out = []
+    for item, text in items:
+        found = []
+        for d, b in bags:
+            m = 75 + 25 * b.total() * n // length
+            score = sum(int(np.floor(1000 * np.log((2 * n + 2) / (2 * df[t] + 1)))) * (10**9 * b[t] // (1000 * b[t] + 12 * m)) for t in terms(text) if b[t])
+            if score:
+                found.append((-score, d is None, d or 0))
+        out += [(item, r + 1, None if none else d, -s) for r, (s, none, d) in enumerate(sorted(found)[:k])]
+    return sorted(out, key=str)

@@ -73,13 +73,20 @@ def test_embeddings(spark, leaf):
 
 
 def test_embedding_recall(spark):
-    """At least 0.99 of the links of a larger table, and none that is not there."""
-    rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet("/root/testdata/check_s/embeddings.parquet").filter("label < 2").collect()]
-    expected = brute.embeddings(rows)
+    """At the registered settings, with labels of several leaves: at least 0.99 of the links of
+    near vectors, and none that is not there."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(1500, 64))
+    near = base[rng.integers(0, 1500, 2500)] + rng.normal(size=(2500, 64)) * rng.uniform(0.0, 0.25, (2500, 1))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([base, near]))]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df, leaf=128).collect()}
-    assert all(found[i][0] <= expected[i][0] for i in expected)
-    assert sum(f[0] for f in found.values()) >= 0.99 * sum(e[0] for e in expected.values())
+    exact = brute.embeddings([(r.vec_id, r.embedding, r.label) for r in df.collect()])
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert all(found[i][0] <= exact[i][0] for i in exact)
+    assert sum(f[0] for f in found.values()) >= 0.99 * sum(e[0] for e in exact.values()) > 2000
+    reps = df.selectExpr("vec_id AS rep", "cast(embedding AS array<double>) AS vector", "label")
+    leaves = embedding_dedup._leaves(reps, 6, 1024, 0.8 * (0.04 / 64) ** 0.5).groupBy("node").count().collect()
+    assert len(leaves) >= 6 * 4 and max(r["count"] for r in leaves) <= 1024
 
 
 def test_embeddings_empty(spark):
