@@ -195,7 +195,7 @@ def _best_classes(classes: DataFrame, scorer: Scorer, k: int) -> DataFrame:
     return classes.select("class", "m", "least", "bag").mapInArrow(run, "item long, class long, score long, least long")
 
 
-def _first(rows: DataFrame, k: int, by: str, *order) -> DataFrame:
+def _first(rows: DataFrame, k: int, by: str | list[str], *order) -> DataFrame:
     """The first ``k`` rows of each ``by``, with their rank; Spark cuts before the shuffle too."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 
@@ -217,13 +217,13 @@ def _search(docs: DataFrame, names: list[int | None], texts: list[str | None], k
     for r in _document_counts(classes, len(vocabulary.terms)).select("term", weight.alias("w")).toLocalIterator():
         weights[r["term"]] = r["w"]
     scorer = Scorer(vocabulary.items, weights)
-    last = lambda c: F.asc_nulls_last(c)
-    best = store(_first(_best_classes(classes, scorer, k), k, "item", F.desc("score"), last("least"), "class").drop("rank"), "best-classes")
-    # Members of the chosen classes: of each no more than its first k can be needed.
+    best = store(_first(_best_classes(classes, scorer, k), k, "item", F.desc("score"), F.asc_nulls_last("least"), "class").drop("rank"), "best-classes")
+    # Members of the chosen classes: of each no more than its first k can be needed, which each
+    # task finds before the shuffle. At most k digests for each item of the block go out.
     chosen = classes.join(best.select("class").distinct(), "class", "left_semi").select("class", "digest", "m", "bag")
-    members = held.join(chosen, ["digest", "m", "bag"]).select("class", "doc_id")
-    members = _first(members, k, "class", last("doc_id")).drop("rank")
-    ranked = _first(best.join(members, "class"), k, "item", F.desc("score"), last("doc_id"))
+    near = held.join(F.broadcast(chosen.select("digest").distinct()), "digest", "left_semi")
+    members = _first(near, k, ["digest", "m", "bag"], F.asc_nulls_last("doc_id")).drop("rank").join(chosen, ["digest", "m", "bag"]).select("class", "doc_id")
+    ranked = _first(best.join(members, "class"), k, "item", F.desc("score"), F.asc_nulls_last("doc_id"))
     listed = spark.createDataFrame(list(enumerate(names)), "item long, item_id long")
     return ranked.join(F.broadcast(listed), "item").select("item_id", "rank", "doc_id", "score")
 
