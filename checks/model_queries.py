@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.functions import vector_to_array
@@ -17,13 +18,13 @@ from strandwise.functions import sequence as sq
 from strandwise.operators import embedding, evaluation, features, ranking
 from strandwise.operators import importance as imp
 from strandwise.operators.covariates import CovariateEncoder
-from strandwise.operators.boosting import Boosting, cross_validate, tune
+from strandwise.operators.boosting import Boosting, cross_validate, fit_targets, tune
 from strandwise.operators.order_stats import ValueBlocks
 from strandwise.operators.reduce import EmbeddingReducer
-from strandwise.operators.split import split
+from strandwise.operators.split import fold_of, split
 from strandwise.plans import jobs, report
 from strandwise.plans.estimator import PropertyModel, Sources
-from strandwise.session import ensure_checkpoint_dir
+from strandwise.session import ensure_checkpoint_dir, settle
 from strandwise.sources import tables
 
 STRUCTURE_SQL, ONE_HOT_SQL = DATA_SQL["structure_features"], DATA_SQL["one_hot"]
@@ -698,6 +699,45 @@ def grid_search(spark: SparkSession, sf: str) -> DataFrame:
     return settings
 
 
+STUMP_FEATURES = ["temperature", "remainder", "chars"]
+STUMP = Boosting(trees=1, depth=1, rate=0.3, reg_lambda=2.0, reg_alpha=0.5, min_rows=5)
+
+
+def _stump_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Three features with few values, one with gaps."""
+    remainder = F.when(F.col("seq_id") % 11 != 0, (F.col("seq_id") % 7).cast("double"))
+    chars = (F.col("n_chars") % 20).cast("double")
+    more = table(spark, sf, "documents").select(F.col("doc_id").alias("seq_id"), chars.alias("chars"))
+    rows = views.assay(spark, sf).join(more, "seq_id").withColumn("remainder", remainder)
+    values = F.array(*[F.coalesce(c, F.lit(float("nan"))) for c in STUMP_FEATURES])
+    return rows.select("seq_id", "yield_value", values.alias("features"))
+
+
+def boosted_stump(spark: SparkSession, sf: str) -> DataFrame:
+    """One tree of one split, with penalties: the smallest model that plain SQL can search."""
+    rows = _stump_rows(spark, sf)
+    model = fit_targets(rows, ["yield_value"], STUMP_FEATURES, STUMP)
+    return rounded(model.predict(rows).select("seq_id", "predicted_yield_value"))
+
+
+def boosting_curve(spark: SparkSession, sf: str) -> DataFrame:
+    """Early stopping by rounds: each target's curve against the model cut at each round."""
+    rows, model = _features(spark, sf)
+    marked = settle(rows.withColumn("held", fold_of("seq_id", 4) == 0))
+    params = Boosting(trees=20, depth=4, rate=0.3, validation="held", validation_tolerance=0.0, patience=3)
+    fitted = fit_targets(marked, MODEL_TARGETS, model.feature_names, params)
+    held = marked.where("held")
+    kept = {r: fitted.truncated(r) for r in range(max(m.getNumTrees for m in fitted.models.values()) + 1)}
+    stages = [m.evaluate(held).select("target", F.lit(r).alias("round"), "mse") for r, m in kept.items()]
+    measured = reduce(DataFrame.unionByName, stages)
+    both = fitted.curve(spark).join(measured, ["target", "round"])
+    near = F.abs(F.col("mse") - F.col("validation_mse")) <= 1e-9 * (1 + F.col("mse"))
+    # A model has no more rounds than its own trees, so the stages beyond are the same model.
+    lengths = spark.createDataFrame([(t, m.getNumTrees) for t, m in fitted.models.items()], "target string, n_trees int")
+    known = both.join(lengths, "target").where("round <= n_trees")
+    return known.groupBy("target").agg(F.count_if(~near).alias("n_different"))
+
+
 def _job_folder(spark: SparkSession, sf: str) -> tuple[str, str, Sources]:
     """A new folder, the job input stored in it (all non-empty sequences), and the sources."""
     root = f"{ensure_checkpoint_dir(spark)}/jobs-{uuid.uuid4().hex}"
@@ -773,6 +813,30 @@ _EMBED_SQL["embedding_pca_norms"] = """
 _EMBED_SQL["model_reload"] = """
     SELECT count(*) AS n_rows, cast(0 AS bigint) AS n_different FROM documents"""
 
+_LEAF = "-sign({g}) * greatest(abs({g}) - 0.5, 0) / ({h} + 2)"
+_SCORE = "pow(greatest(abs({g}) - 0.5, 0), 2) / ({h} + 2)"
+_EMBED_SQL["boosted_stump"] = (
+    f"WITH a AS ({views.SQL['assay']}), "
+    f"""f AS (SELECT a.seq_id, yield_value AS y, temperature AS f0,
+                 CASE WHEN a.seq_id % 11 <> 0 THEN cast(a.seq_id % 7 AS double) END AS f1, cast(n_chars % 20 AS double) AS f2
+          FROM a JOIN documents ON a.seq_id = doc_id),
+    base AS (SELECT avg(y) AS b FROM f),
+    long AS (SELECT seq_id, b - y AS g, unnest([0, 1, 2]) AS i, unnest([f0, f1, f2]) AS x FROM f, base WHERE y IS NOT NULL),
+    total AS (SELECT sum(b - y) AS g, count(*) AS h FROM f, base WHERE y IS NOT NULL),
+    cuts AS (SELECT DISTINCT i, x AS cut, side FROM long, (SELECT unnest([0, 1]) AS side) WHERE x IS NOT NULL),
+    tried AS (SELECT c.i, cut, side, sum(CASE WHEN x <= cut OR (x IS NULL AND side = 0) THEN long.g ELSE 0 END) AS gl,
+                     count(*) FILTER (WHERE x <= cut OR (x IS NULL AND side = 0)) AS hl
+              FROM cuts c JOIN long ON c.i = long.i GROUP BY c.i, cut, side),
+    best AS (SELECT *, g - gl AS gr, h - hl AS hr FROM tried, total WHERE hl >= 5 AND h - hl >= 5
+             ORDER BY {_SCORE.format(g='gl', h='hl')} + {_SCORE.format(g='(g - gl)', h='(h - hl)')} DESC, side, i, cut LIMIT 1),
+    scored AS (SELECT f.seq_id, CASE WHEN x <= cut OR (x IS NULL AND side = 0) THEN {_LEAF.format(g='gl', h='hl')}
+                                ELSE {_LEAF.format(g='gr', h='hr')} END AS w
+               FROM (SELECT seq_id, unnest([0, 1, 2]) AS i, unnest([f0, f1, f2]) AS x FROM f) f JOIN best USING (i))
+    SELECT seq_id, round(b + 0.3 * w, 6) + 0.0 AS predicted_yield_value FROM scored, base"""
+)
+_EMBED_SQL["boosting_curve"] = """
+    SELECT unnest(['yield_value', 'dsrna_percent', 'expression']) AS target, cast(0 AS bigint) AS n_different"""
+
 QUERIES = {
     **{
         f.__name__: f
@@ -789,7 +853,7 @@ QUERIES = {
         for f in (
             embedding_pca, embedding_pca_statistics, embed_hook, train_predict, feature_importance,
             assembled_features, feature_assembly, embedding_pca_norms, model_reload,
-            cross_validation, grid_search,
+            cross_validation, grid_search, boosted_stump, boosting_curve,
         )
     },
 }

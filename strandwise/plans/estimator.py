@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.operators.boosting import FEATURES, MISSING, Boosting, MultiTargetModel, fit_targets
+from strandwise.operators.boosting import FEATURES, Boosting, MultiTargetModel, fit_targets
 from strandwise.operators.covariates import CovariateEncoder
 from strandwise.operators.features import STRUCTURE_FEATURES, structure_features
 from strandwise.operators.quality import covariate_columns, target_columns
@@ -121,15 +121,15 @@ class PropertyModel:
     def _assemble(self, rows: DataFrame, sources: Sources, carry: Sequence[str]) -> DataFrame:
         """(key, features vector, statuses, carried columns as _carry_0, _carry_1, ..).
 
-        Covariates are encoded on the row before the joins; a missing number takes the
-        value the trees keep for that.
+        Covariates are encoded on the row before the joins; a missing number is NaN, which
+        the trees give a side of its own.
         """
         kept = {f"_carry_{i}": F.col(f"`{c}`") for i, c in enumerate(carry)}
         base = rows.withColumns({**kept, "_text": F.col(f"`{self.sequence}`")})
         encoded = self.encoder.transform(base, [self.key, "_text", *kept])
         names = self.encoder.feature_names
         covariates = (
-            F.array(*[F.coalesce(F.col(f"`{n}`"), F.lit(MISSING)) for n in names])
+            F.array(*[F.coalesce(F.col(f"`{n}`"), F.lit(float("nan"))) for n in names])
             if names
             else F.array().cast("array<double>")
         )

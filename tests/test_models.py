@@ -15,7 +15,7 @@ from strandwise.plans.estimator import PropertyModel, SequenceFeaturizer, Source
 from strandwise.sources import tables
 
 TARGETS = ["yield", "dsRNA_percent", "expression"]
-SMALL = Boosting(trees=4, depth=3)
+SMALL = Boosting(trees=4, depth=3, rate=0.3)
 
 
 # --- embeddings ---
@@ -157,8 +157,10 @@ def test_parameters():
                                 "colsample_bytree": 0.5, "min_child_weight": 3, "random_state": 7, "reg_alpha": 0.0})
     assert (got.trees, got.rate, got.depth, got.row_share, got.feature_share, got.min_rows, got.seed) == (
         10, 0.2, 4, 0.8, 0.5, 3, 7)
-    model = got.regressor("y", "p")
-    assert (model.getMaxIter(), model.getStepSize(), model.getFeatureSubsetStrategy()) == (10, 0.2, "0.5")
+    whole = Boosting.from_config({"reg_alpha": 0.5, "reg_lambda": 2, "max_delta_step": 3, "scale_pos_weight": 4, "gamma": 5,
+                                  "early_stopping_rounds": 6, "n_jobs": -1, "verbosity": 0})
+    assert (whole.reg_alpha, whole.reg_lambda, whole.max_delta_step, whole.scale_pos_weight, whole.min_gain, whole.patience,
+            whole.validation_tolerance) == (0.5, 2, 3, 4, 5, 6, 0.0)
     assert (Boosting().trees, Boosting().rate, Boosting().depth) == (100, 0.1, 6)
     with pytest.raises(ValueError, match="unknown boosting parameters"):
         Boosting.from_config({"boosters": 1})
