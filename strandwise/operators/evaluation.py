@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from strandwise.functions import labels
 from strandwise.functions.stats import cleaned, correlation_p, present, ratio_or_zero_rule
-from strandwise.operators.order_stats import exact_quantiles, with_rank
+from strandwise.operators import order_stats
+from strandwise.operators.order_stats import exact_quantiles
 from strandwise.operators.joins import join_on
-from strandwise.session import settle
+from strandwise.session import settle, stored_bytes
 
 # Metric columns in report order.
 METRICS = (
@@ -101,17 +102,43 @@ def median_absolute_error(pairs: DataFrame) -> DataFrame:
     return exact_quantiles(rows, "size", {"median_ae": 0.5}, ["target"])
 
 
+SIDES = {"y_true": "rank_true", "y_pred": "rank_pred"}
+
+
+def _ranked_in_place(counted: DataFrame) -> DataFrame:
+    """Average ranks of both sides from two sorts of a target's pairs."""
+    for side, rank in SIDES.items():
+        upto = F.sum("w").over(Window.partitionBy("target").orderBy(side))
+        ties = F.sum("w").over(Window.partitionBy("target", side))
+        counted = counted.withColumn(rank, upto - (ties - 1) / 2)
+    return counted
+
+
+def _ranked_by_index(counted: DataFrame) -> DataFrame:
+    """The same for pairs of any number: no target's pairs meet in one task."""
+    entries = [F.struct(F.lit(s).alias("side"), F.col(s).alias("value"), "w") for s in SIDES]
+    both = counted.select("target", F.inline(F.array(*entries)))
+    index = order_stats.ValueBlocks(both, "value", ["target", "side"], weight="w")
+    number = order_stats.rank_number("average").alias("rank")
+    stored = settle(index.ranks().select("target", "value", "ties", number, "side"), "side")
+    for side, rank in SIDES.items():
+        own = stored.where(F.col("side") == side).select("target", F.col("value").alias(side), "ties", F.col("rank").alias(rank))
+        counted = order_stats.look_up(counted, own, ["target", side], index.blocks)
+    return counted
+
+
 def spearman(pairs: DataFrame) -> DataFrame:
     """(target, spearman_r): Pearson correlation of average ranks.
 
-    Equal pairs are counted first, and ranks are looked up for the distinct pairs only. The mean of average ranks is (n + 1) / 2 whatever the ties, so no
-    second pass is needed.
+    Equal pairs are counted first. Counts of at most ``ONE_BLOCK`` bytes are ranked where they
+    are; beyond that one index holds the values of both sides, and the ranks of the distinct pairs
+    are looked up in it. The mean of average ranks is (n + 1) / 2 whatever the ties, so no second
+    pass is needed.
     """
     rows = _complete(pairs)
-    grouped = rows.groupBy("target", "y_true", "y_pred").agg(F.count(F.lit(1)).alias("w"))
-    ranked = counted = settle(grouped)
-    for value, rank in (("y_true", "rank_true"), ("y_pred", "rank_pred")):
-        ranked = with_rank(ranked, value, rank, ["target"], "average", weight="w", source=counted)
+    counted = settle(rows.groupBy("target", "y_true", "y_pred").agg(F.count(F.lit(1)).alias("w")))
+    small = stored_bytes(counted) <= order_stats.ONE_BLOCK
+    ranked = _ranked_in_place(counted) if small else _ranked_by_index(counted)
     a, b, w = F.col("rank_true"), F.col("rank_pred"), F.col("w")
     sums = ranked.groupBy("target").agg(
         F.sum("w").alias("n"),

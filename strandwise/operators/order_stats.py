@@ -13,8 +13,9 @@ group) is safe. Instead:
 4. Inside a block a running total gives the exact number of rows in front of a value.
 
 The blocks are folders of the stored table: a quantile reads the blocks its position falls
-into, found by partition pruning at run time, and skips the others. There is one path for
-tables of any size.
+into, found by partition pruning at run time, and skips the others. If the stored counts of
+step 1 have at most ``ONE_BLOCK`` bytes, they are the only block and steps 2 and 3 fall away;
+positions, and so all results, are the same.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ from pyspark.sql import functions as F
 
 from strandwise.functions.stats import present
 from strandwise.operators.joins import join_on, join_small, lookup_join
-from strandwise.session import settle
+from strandwise.session import broadcast_bytes, settle, stored_bytes
 
 # A value held by more than this share of all rows counts as hot, so there are never
 # more than 1 / HOT_SHARE hot values.
 HOT_SHARE = 0.01
+# Stored bytes of the counts of distinct values up to which they make one block.
+ONE_BLOCK = 8 << 20
 
 
 def shuffle_partitions(df: DataFrame) -> int:
@@ -58,9 +61,14 @@ class ValueBlocks:
         self.value, self.keys, self.descending = value, list(keys), descending
         self.blocks = blocks or shuffle_partitions(df)
         size = F.sum(weight) if weight else F.count(F.lit(1))
-        counts = (
+        counts = settle(
             df.where(present(df, value)).groupBy(*self.keys, value).agg(size.alias("_ties"))
         )
+        self.single = blocks is None and stored_bytes(counts) <= ONE_BLOCK
+        if self.single:
+            self.values = counts.withColumn("_block", F.lit(0))
+            self.offsets = self._offsets()
+            return
         self.values = settle(
             counts.repartitionByRange(self.blocks, *self.keys, self._order()).withColumn(
                 "_block", F.spark_partition_id()
@@ -127,8 +135,10 @@ class ValueBlocks:
             (F.col("_position") >= F.col("_start")) & (F.col("_position") < F.col("_end"))
         )
         # At most two blocks per key and quantile are read from here on.
-        touched = wanted.groupBy(*self.keys, "_block").agg(F.lit(True).alias("_touched"))
-        values = join_small(self.values, touched, [*self.keys, "_block"], how="inner")
+        values = self.values
+        if not self.single:
+            touched = wanted.groupBy(*self.keys, "_block").agg(F.lit(True).alias("_touched"))
+            values = join_small(values, touched, [*self.keys, "_block"], how="inner")
         end = F.col("_start") + F.col("_upto")
         reached = (F.col("_position") < end) & (F.col("_position") >= end - F.col("_ties"))
         hit = join_on(
@@ -147,10 +157,15 @@ class ValueBlocks:
     def hot_ties(self) -> int | None:
         """Tie count above which a value is hot, or None if no value is."""
         row = self.offsets.agg(F.sum("_size").alias("n"), F.max("_top").alias("top")).first()
-        if not row["n"]:
-            return None
-        limit = max(int(row["n"] * HOT_SHARE), 1)
-        return limit if row["top"] > limit else None
+        return hot_limit(row["n"], row["top"])
+
+
+def hot_limit(rows: int | None, top: int | None) -> int | None:
+    """Ties above which one of ``rows`` values is hot, or None if the most frequent isn't."""
+    if not rows:
+        return None
+    limit = max(int(rows * HOT_SHARE), 1)
+    return limit if top > limit else None
 
 
 def exact_quantiles(
@@ -181,18 +196,31 @@ def with_rank(
     return attach_ranks(df, blocks, out, method)
 
 
-def attach_ranks(df: DataFrame, blocks: ValueBlocks, out: str, method: str = "min") -> DataFrame:
-    """``with_rank`` by lookup in the settled blocks of ``df`` or of a table with the same
-    values; rows of hot values and rows without a value are spread over all tasks.
-    """
-    number = {
+def rank_number(method: str) -> Column:
+    """The rank in a table of ``ranks``."""
+    return {
         "min": F.col("before") + 1,
         "average": F.col("before") + (F.col("ties") + 1) / 2,
     }[method]
+
+
+def attach_ranks(df: DataFrame, blocks: ValueBlocks, out: str, method: str = "min") -> DataFrame:
+    """``with_rank`` by lookup in the settled blocks of ``df`` or of a table with the same
+    values. A lookup table small enough to be broadcast needs no shuffle of the rows; beyond
+    that rows of hot values and rows without a value are spread over all tasks.
+    """
     on = [*blocks.keys, blocks.value]
-    lookup = blocks.ranks().select(*on, "ties", number.alias(out))
-    limit = blocks.hot_ties()
+    lookup = settle(blocks.ranks().select(*on, "ties", rank_number(method).alias(out)))
+    return look_up(df, lookup, on, blocks.blocks)
+
+
+def look_up(df: DataFrame, lookup: DataFrame, on: list[str], salts: int) -> DataFrame:
+    """``df`` plus the columns of a settled table of (on, ties, columns)."""
+    if stored_bytes(lookup) <= broadcast_bytes(df.sparkSession):
+        return join_on(df, lookup.drop("ties"), on, "left")
+    row = lookup.agg(F.sum("ties").alias("n"), F.max("ties").alias("top")).first()
+    limit = hot_limit(row["n"], row["top"])
     if limit is None:
-        return lookup_join(df, lookup, on, blocks.blocks)
-    hot = blocks.values.where(F.col("_ties") > limit)
-    return lookup_join(df, lookup, on, blocks.blocks, hot, limit)
+        return lookup_join(df, lookup, on, salts)
+    hot = lookup.where(F.col("ties") > limit)
+    return lookup_join(df, lookup, on, salts, hot, limit)

@@ -59,3 +59,15 @@ def settle(df: DataFrame, *folders: str) -> DataFrame:
     writer = df.write.partitionBy(*folders) if folders else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a settled table, as the planner sees them."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def broadcast_bytes(spark: SparkSession) -> int:
+    """The bytes up to which Spark broadcasts a table on its own; below 0 for never."""
+    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower().removesuffix("b")
+    units = {"k": 10, "m": 20, "g": 30, "t": 40}
+    return int(text[:-1]) << units[text[-1]] if text[-1:] in units else int(text)

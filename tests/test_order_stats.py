@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strandwise.operators import joins
+from strandwise.operators import evaluation, joins, order_stats
 from strandwise.operators.order_stats import ValueBlocks, attach_ranks, exact_quantiles, with_rank
 
 
@@ -135,3 +135,42 @@ def test_join_small_is_broadcast_by_its_bytes(spark, limit):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert len(got) == 100
     assert (got.groupby("k", dropna=False)["n"].first() == got.groupby("k", dropna=False).size()).all()
+
+
+def test_one_block_and_many_agree(spark, table, monkeypatch):
+    df = as_spark(spark, table)
+
+    def results():
+        blocks = ValueBlocks(df, "v", ["k"])
+        ranks = attach_ranks(df, blocks, "rank", "average").toPandas().sort_values("id", ignore_index=True)
+        return blocks, ranks, sorted(map(str, blocks.quantiles(PROBABILITIES).collect()))
+
+    one, ranks, quantiles = results()
+    assert one.single
+    monkeypatch.setattr(order_stats, "ONE_BLOCK", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        many, other_ranks, other_quantiles = results()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not many.single
+    pd.testing.assert_frame_equal(ranks, other_ranks)
+    assert quantiles == other_quantiles
+
+
+@pytest.mark.parametrize("limit", ["1", "10MB"])
+def test_spearman_in_place_and_by_index_agree(spark, table, monkeypatch, limit):
+    rng = np.random.default_rng(2)
+    rows = [(str(k), float(v), float(np.round(v + rng.normal(0, 5)))) for k, v in zip(table["k"], table["v"]) if not np.isnan(v)]
+    pairs = spark.createDataFrame(rows, "target string, y_true double, y_pred double").repartition(5)
+    read = lambda: {r.target: r.spearman_r for r in evaluation.spearman(pairs).collect()}
+    expected = pd.DataFrame(rows, columns=["k", "a", "b"]).groupby("k")[["a", "b"]].apply(lambda g: g["a"].rank().corr(g["b"].rank()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        first = read()
+        monkeypatch.setattr(order_stats, "ONE_BLOCK", 0)
+        second = read()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for k, r in expected.items():
+        assert first[k] == pytest.approx(r) and second[k] == pytest.approx(r)
