@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks import views
 from checks.views import rounded, sql_round, table, with_views
 from strandwise.functions import sequence as sq
-from strandwise.operators import covariates, embedding, features, quality
+from strandwise.operators import covariates, embedding, features, quality, sketches
 from strandwise.operators.split import fold_of, split
 from strandwise.session import ensure_checkpoint_dir
 from strandwise.sources import tables
@@ -220,6 +220,22 @@ def price_outliers(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(quality.outlier_summary(lines, ["l_returnflag"], "l_extendedprice"))
 
 
+LINE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def sketch_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Approximate profile of two parts of a table, stored one after the other and merged: the
+    exact facts, and whether every quartile's rank is within twice the bound."""
+    lines = table(spark, sf, "lineitem").select("l_returnflag", *LINE_COLUMNS)
+    path, first = _folder(spark, "states"), F.col("l_returnflag").eqNullSafe("A")
+    for part in (first, ~first):
+        sketches.add_states(lines.where(part), LINE_COLUMNS, path, "l_returnflag")
+    found = sketches.sketch_profile(sketches.read_states(spark, path))
+    gaps = sketches.rank_gaps(lines, LINE_COLUMNS, found)
+    near = (F.col("gap") <= 2 * sketches.rank_error(sketches.SIZE)).alias("within")
+    return rounded(found.join(gaps, "column").select("column", "n_rows", "n", "missing_count", "least", "most", near))
+
+
 def _dirty_assay(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.sequences(spark, sf).join(views.assay(spark, sf), "seq_id")
     return rows.withColumn(
@@ -327,7 +343,7 @@ QUERIES = {
         base_composition, base_fractions, structure_features, alphabet_convert_truncate,
         embedding_attach, stack_batches, mean_pool, missing_profile, missing_columns,
         duplicate_rows, column_cardinality, target_profile, event_profile, iqr_outliers,
-        price_outliers, validation_recommendations, critical_issues, seeded_split,
+        price_outliers, sketch_profile, validation_recommendations, critical_issues, seeded_split,
         seeded_split_orders, fold_assignment, column_types, assay_column_types, one_hot, scale_covariates,
         target_scale, target_scale_roundtrip,
     )
@@ -495,6 +511,12 @@ ORACLE = {
         SELECT event_id, e.event_type, {sql_round('value, lower_bound, upper_bound')}
         FROM events e JOIN b ON e.event_type = b.event_type
         WHERE value < lower_bound OR value > upper_bound""",
+    "sketch_profile": " UNION ALL ".join(
+        f"""SELECT '{c}' AS column, count(*) AS n_rows, count({c}) AS n,
+            count(*) - count({c}) AS missing_count, round(cast(min({c}) AS double), 6) + 0.0 AS least,
+            round(cast(max({c}) AS double), 6) + 0.0 AS most, true AS within FROM lineitem"""
+        for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    ),
     "price_outliers": f"""
         WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS q1,
                           quantile_cont(l_extendedprice, 0.5) AS median,
