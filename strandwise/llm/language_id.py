@@ -24,13 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import batches, mix, plain
+from strandwise.llm.common import batches, drop_stored, mix, plain, store
 
 SIZES = (3, 5)  # bytes of an n-gram
+_PIECE = 256 << 10  # bytes of text at once: an n-gram takes 8 bytes in each of some ten arrays
 _CELLS = 1 << 21
 _HASHES = 3
 # Capital letters count as small ones, digits as one digit, white space as one blank.
-_FOLD = np.arange(256, dtype=np.uint64)
+_FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[48:58] = 48
 _FOLD[[9, 10, 11, 12, 13]] = 32
@@ -144,7 +145,7 @@ def learn(
     sample = labelled.filter(draw < share[F.col("lang")]).select("lang", "text")
 
     def count(items):
-        for batch in batches(items, "text", 4 << 20):
+        for batch in batches(items, "text", _PIECE):
             data, bounds = _texts(batch.column(1))
             label = np.array([number[x] for x in batch.column(0).to_pylist()])
             for n in SIZES:
@@ -161,16 +162,20 @@ def learn(
                     )
 
     summed = sample.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    summed = store(summed, "grams")  # read again for the totals, the rates and the best of them
     totals = {r["lang"]: r["t"] for r in summed.groupBy("lang").agg(F.sum("n").alias("t")).collect()}
     rate = F.col("n") / F.create_map(*(F.lit(v) for i, t in totals.items() for v in (i, float(t))))[F.col("lang")]
     rated = summed.select("lang", "gram", "n", rate.alias("rate"))
     best = rated.groupBy("gram").agg(F.max("rate").alias("best"))
     contained = rated.join(best, "gram").filter((F.col("n") >= least) & (F.col("rate") >= part * F.col("best")))
+    contained = store(contained.select("lang", "gram", "n"), "contained")
     for i in range(len(languages)):
         # At most `grams` numbers of each language reach the driver.
         top = contained.filter(F.col("lang") == i).orderBy(F.desc("n"), "gram").limit(grams).select("gram").toArrow()
         known.add(i, top.column("gram").to_numpy().astype(np.uint64))
     known.seal()
+    drop_stored(summed)
+    drop_stored(contained)
     return known
 
 
@@ -184,12 +189,15 @@ def predict(docs: DataFrame, known: Filter, text: str = "text", keep: list[str]
     kinds = dict(docs.dtypes)
     letters = F.coalesce(F.col(f"`{text}`").cast("string").rlike(r"\p{L}"), F.lit(False))
     fields = ", ".join(f"`{n}` {kinds[n]}" for n in names)
+    # A kept text goes to the workers once.
+    sent = text in names and kinds[text] == "string"
+    place = names.index(text) if sent else len(names) + 1
 
     def run(items):
         known = Filter.of(*shared.value)
-        for batch in batches(items, "_text", 2 << 20):
-            column = batch.column(len(names))
-            lettered = np.asarray(batch.column(len(names) + 1))
+        for batch in batches(items, text if sent else "_text", _PIECE):
+            column = batch.column(place)
+            lettered = np.asarray(batch.column(len(names)))
             scores = known.scores(column)
             if scores.shape[1]:
                 best = scores.argmax(axis=1)
@@ -205,9 +213,8 @@ def predict(docs: DataFrame, known: Filter, text: str = "text", keep: list[str]
                 [*names, "lang_pred", "score"],
             )
 
-    rows = docs.select(
-        *(F.col(f"`{n}`") for n in names), F.col(f"`{text}`").cast("string").alias("_text"), letters.alias("_letters")
-    )
+    columns = [*(F.col(f"`{n}`") for n in names), letters.alias("_letters")]
+    rows = docs.select(*columns, *([] if sent else [F.col(f"`{text}`").cast("string").alias("_text")]))
     return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 

@@ -9,6 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 from strandwise.llm.common import store  # noqa: E402
 
 MORE = "/root/testdata/sf0.01"
@@ -75,3 +76,17 @@ def test_odd_rows_pass(spark):
                 assert out.columns == docs.columns
             docs = out
         assert bool(docs.count()) == bool(rows)
+
+
+def test_language_without_labels_keeps_texts(spark):
+    rows = [(1, "some words", None, "a", 10), (2, "123 !", None, "a", 5), (3, None, None, "b", None), (6, "é", "xx", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, unlabelled, "").collect()) == [1, 6]
+
+
+def test_language_keeps_columns_of_any_name(spark):
+    rows = [(i, "the cat is here and there", "en", "x", 7) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _text string, _letters int")
+    kept = corpus_pipeline.language(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(kept.collect()) == sorted(docs.collect())
