@@ -4,7 +4,8 @@ Each stage works on all that its predecessor kept, and its decisions take effect
 last return the columns of the documents they get; each result is written as Parquet to the
 shared folder and read again as the next stage's documents.
 
-1. language: documents without a letter, or whose language stays open, go.
+1. language: documents without a letter, or whose language stays open, go. Where no label can
+   be learned from, only those without a letter go.
 2. near_duplicates: of documents whose 5-word shingle sets link at a Jaccard similarity of 0.8,
    directly or through others, the one with the least key stays. Documents without words, and
    those without a key, link with nothing and stay.
@@ -42,6 +43,8 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = language_id.learn(docs)
+    if not known.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     inner = docs.toDF(*(c if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)))
     scored = language_id.predict(inner, known)
     kept = scored.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
