@@ -630,6 +630,25 @@ def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     return PropertyModel(COMPONENTS).fit(rows, sources, MODEL_TARGETS).importance(spark)
 
 
+WIDE = 5000
+
+
+def _widened(spark: SparkSession, sf: str) -> DataFrame:
+    """The embeddings with each component repeated in turn: as many directions, more dimensions."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    many = F.transform(F.sequence(F.lit(0), F.lit(WIDE - 1)), lambda i: F.col("embedding")[i % F.size("embedding")].cast("double"))
+    return vectors.select("vec_id", many.alias("embedding"))
+
+
+def wide_pca(spark: SparkSession, sf: str) -> DataFrame:
+    """PCA beyond the dimensions of a square matrix: with all directions kept, lengths are those
+    of the scaled input."""
+    vectors = _widened(spark, sf)
+    reduced = EmbeddingReducer(COMPONENTS).fit(vectors).transform(vectors, "vec_id")
+    square = F.aggregate("reduced", F.lit(0.0), lambda total, x: total + x * x)
+    return rounded(reduced.select("vec_id", square.alias("square")), 2)
+
+
 def _features(spark: SparkSession, sf: str) -> tuple[DataFrame, PropertyModel]:
     rows, sources = _model_rows(spark, sf)
     model = PropertyModel(COMPONENTS)
@@ -778,6 +797,36 @@ def job_chain(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def job_embed(spark: SparkSession, sf: str) -> DataFrame:
+    """Embed, reduce and attach from stored tables: rows, rows with components, statistics."""
+    root, path, _ = _job_folder(spark, sf)
+    jobs.embed_job(spark, path, f"{root}/embedded", composition_embedder, n_components=2)
+    read = lambda name: spark.read.parquet(f"{root}/embedded/{name}")
+    whole = read("embeddings").agg(F.count("*").alias("n"), F.count("PC2").alias("known")).first()
+    facts = read("embedding_statistics").first()
+    embedded = read("raw_embeddings").where("embed_status = 'ok'").count()
+    row = (whole["n"], whole["known"], embedded, facts["raw_dimension"], facts["n_components"], facts["total_explained_variance"] <= 1 + 1e-9)
+    return spark.createDataFrame(
+        [row], "n_rows bigint, n_with_components bigint, n_embedded bigint, raw_dimension int, n_components int, within boolean"
+    )
+
+
+_JOB_ROWS = "jobs AS (SELECT count(*) AS n FROM sequences WHERE sequence <> '')"
+_JOB_SQL = {
+    "job_validate": with_views(
+        f"WITH {_JOB_ROWS} SELECT n AS total_sequences, n AS valid_sequences, cast(0 AS bigint) AS invalid_sequences FROM jobs", "sequences"
+    ),
+    "job_chain": with_views(
+        f"""WITH {_JOB_ROWS} SELECT greatest(1, cast(floor(n * 0.2) AS bigint)) AS n_test, n AS n_predicted, n AS n_csv,
+            n AS n_evaluated, cast(3 AS bigint) AS n_mse_equal, cast(3 AS bigint) AS n_importance_whole FROM jobs""",
+        "sequences",
+    ),
+    "job_embed": with_views(
+        f"""WITH {_JOB_ROWS} SELECT n AS n_rows, n AS n_with_components, n AS n_embedded, 5 AS raw_dimension, 2 AS n_components,
+            true AS within FROM jobs""",
+        "sequences",
+    ),
+}
 _EMBED_SQL = {
     "embed_hook": with_views(
         """WITH cut AS (SELECT seq_id, substring(translate(sequence, 'U', 'T'), 1, 2048) AS s FROM sequences)
@@ -810,6 +859,13 @@ _EMBED_SQL["embedding_pca_norms"] = """
     s AS (SELECT p, avg(x) AS m, stddev_samp(x) AS d FROM u GROUP BY p)
     SELECT vec_id, round(sum(pow((x - m) / d, 2)), 4) + 0.0 AS square
     FROM u JOIN s ON u.p = s.p GROUP BY vec_id"""
+# Component p is repeated 79 times up to the eighth, 78 times beyond (5,000 = 64 x 78 + 8).
+_EMBED_SQL["wide_pca"] = """
+    WITH u AS (SELECT vec_id, unnest(generate_series(1, len(embedding))) AS p,
+                      cast(unnest(embedding) AS double) AS x FROM embeddings),
+    s AS (SELECT p, avg(x) AS m, stddev_samp(x) AS d FROM u GROUP BY p)
+    SELECT vec_id, round(sum(CASE WHEN u.p <= 8 THEN 79 ELSE 78 END * pow((x - m) / d, 2)), 2) + 0.0 AS square
+    FROM u JOIN s ON u.p = s.p GROUP BY vec_id"""
 _EMBED_SQL["model_reload"] = """
     SELECT count(*) AS n_rows, cast(0 AS bigint) AS n_different FROM documents"""
 
@@ -851,10 +907,10 @@ QUERIES = {
     **{
         f.__name__: f
         for f in (
-            embedding_pca, embedding_pca_statistics, embed_hook, train_predict, feature_importance,
+            embedding_pca, embedding_pca_statistics, wide_pca, embed_hook, train_predict, feature_importance,
             assembled_features, feature_assembly, embedding_pca_norms, model_reload,
-            cross_validation, grid_search, boosted_stump, boosting_curve,
+            cross_validation, grid_search, boosted_stump, boosting_curve, job_validate, job_chain, job_embed,
         )
     },
 }
-ORACLE = {**_EVAL_SQL, **_REPORT_SQL, **_IMPORTANCE_SQL, **_EMBED_SQL}
+ORACLE = {**_EVAL_SQL, **_REPORT_SQL, **_IMPORTANCE_SQL, **_JOB_SQL, **_EMBED_SQL}

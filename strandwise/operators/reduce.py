@@ -8,7 +8,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# PCA forms a d x d matrix of doubles on the driver: 4,096 is 128 MB.
+from strandwise.operators.wide_pca import WidePCA
+
+# Up to here PCA forms a d x d matrix of doubles on the driver (128 MB); beyond, the memory of
+# ``wide_pca`` grows with d times the components.
 MAX_DIMENSION = 4096
 SHAPE = "n bigint, d int"
 
@@ -21,6 +24,7 @@ class EmbeddingReducer:
             raise ValueError(f"Unknown method: {method}. Use 'pca'")
         self.method, self.n_components = method, n_components
         self.model: PipelineModel | None = None
+        self.wide: WidePCA | None = None
         self.input_shape: tuple[int, int] | None = None
 
     @staticmethod
@@ -37,10 +41,11 @@ class EmbeddingReducer:
         row = sizes.first()
         if row["n"] < 2 or row["low"] != row["high"]:
             raise ValueError("PCA needs at least two embeddings, all of one length")
-        if row["high"] > MAX_DIMENSION:
-            raise ValueError(f"embeddings have {row['high']} dimensions, the limit is {MAX_DIMENSION}")
         fitted = EmbeddingReducer(min(self.n_components, row["n"], row["high"]), self.method)
         fitted.input_shape = (row["n"], row["high"])
+        if row["high"] > MAX_DIMENSION:
+            fitted.wide = WidePCA.fit(df.where(F.col(vector).isNotNull()), fitted.n_components, vector)
+            return fitted
         stages = [
             StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True),
             PCA(k=fitted.n_components, inputCol="_scaled", outputCol="_reduced"),
@@ -55,6 +60,8 @@ class EmbeddingReducer:
 
     def transform(self, df: DataFrame, key: str = "seq_id", vector: str = "embedding") -> DataFrame:
         """Rows without an embedding are left out; their status stays with the input."""
+        if self.wide is not None:
+            return self.wide.transform(df.where(F.col(vector).isNotNull()), key, vector)
         model = self._check_fitted()
         reduced = model.transform(self._vectors(df.select(key, vector), vector))
         return reduced.select(key, vector_to_array("_reduced").alias("reduced"))
@@ -71,6 +78,8 @@ class EmbeddingReducer:
 
     @property
     def explained_variance_ratio(self) -> list[float]:
+        if self.wide is not None:
+            return self.wide.ratios.tolist()
         return [float(x) for x in self._check_fitted().stages[1].explainedVariance]
 
     def statistics(self, spark: SparkSession) -> DataFrame:
@@ -85,17 +94,24 @@ class EmbeddingReducer:
         )
 
     def save(self, path: str) -> None:
-        model = self._check_fitted()
-        model.write().overwrite().save(path)
+        if self.wide is not None:
+            self.wide.save(f"{path}/wide")
+        else:
+            self._check_fitted().write().overwrite().save(path)
         spark = SparkSession.active()
         shape = spark.createDataFrame([self.input_shape or (None, None)], SHAPE)
         shape.coalesce(1).write.mode("overwrite").parquet(f"{path}/input_shape")
 
     @staticmethod
     def load(path: str) -> EmbeddingReducer:
-        model = PipelineModel.load(path)
-        loaded = EmbeddingReducer(model.stages[1].getK())
-        loaded.model = model
         shape = SparkSession.active().read.schema(SHAPE).parquet(f"{path}/input_shape").first()
+        if shape["d"] is not None and shape["d"] > MAX_DIMENSION:
+            wide = WidePCA.load(f"{path}/wide")
+            loaded = EmbeddingReducer(len(wide.ratios))
+            loaded.wide = wide
+        else:
+            model = PipelineModel.load(path)
+            loaded = EmbeddingReducer(model.stages[1].getK())
+            loaded.model = model
         loaded.input_shape = None if shape["n"] is None else (shape["n"], shape["d"])
         return loaded
