@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandwise.session import arrow_rows, settle
+
 #: Directions beyond the components, and passes that turn the basis.
 MORE, TURNS = 16, 4
 _PIECE = 512
@@ -70,6 +72,11 @@ class WidePCA:
         """``k`` components of vectors of one length; constant dimensions count as 0."""
         rows = df.select(F.col(vector).cast("array<double>").alias("x"))
         d = rows.select(F.size("x").alias("d")).first()["d"]
+        with arrow_rows(df.sparkSession, 8 * d):
+            return WidePCA._fit(rows, d, k, seed)
+
+    @staticmethod
+    def _fit(rows: DataFrame, d: int, k: int, seed: int) -> WidePCA:
         n, mean, deviation = _moments(rows, d)
         scale = np.divide(1.0, deviation, out=np.zeros(d), where=deviation > 0)
         width = min(k + MORE, n, d)
@@ -88,7 +95,7 @@ class WidePCA:
         return WidePCA(mean, scale, components, ratios)
 
     def transform(self, df: DataFrame, key: str, vector: str) -> DataFrame:
-        """(key, reduced array<double>)"""
+        """(key, reduced array<double>), written: wide rows go to Python in batches of few bytes."""
         shared = df.sparkSession.sparkContext.broadcast((self.mean, self.scale, self.components))
 
         @F.arrow_udf("array<double>")
@@ -102,7 +109,8 @@ class WidePCA:
             out = np.concatenate(parts)
             return pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1], pa.array(out.ravel()))
 
-        return df.select(key, reduced(F.col(vector).cast("array<double>")).alias("reduced"))
+        with arrow_rows(df.sparkSession, 8 * len(self.mean)):
+            return settle(df.select(key, reduced(F.col(vector).cast("array<double>")).alias("reduced")))
 
     def save(self, path: str) -> None:
         spark = SparkSession.active()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,3 +73,16 @@ def broadcast_bytes(spark: SparkSession) -> int:
     text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower().removesuffix("b")
     units = {"k": 10, "m": 20, "g": 30, "t": 40}
     return int(text[:-1]) << units[text[-1]] if text[-1:] in units else int(text)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, row_bytes: int, batch_bytes: int = 32 << 20) -> Iterator[None]:
+    """For jobs run inside: batches that go to Python have about ``batch_bytes``, not a number of
+    rows that wide rows make too large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(1, min(int(before), batch_bytes // max(row_bytes, 1)))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

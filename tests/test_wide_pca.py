@@ -6,6 +6,7 @@ import pytest
 from strandwise.operators import reduce
 from strandwise.operators.reduce import EmbeddingReducer
 from strandwise.operators.wide_pca import WidePCA
+from strandwise.session import arrow_rows
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +63,14 @@ def test_fewer_rows_than_components(spark, matrix, monkeypatch):
     reducer = EmbeddingReducer(50).fit(table(spark, matrix[:5]))
     assert reducer.n_components == 5 and len(reducer.wide.components) == 5
     assert sum(reducer.explained_variance_ratio) == pytest.approx(1.0)
+
+
+def test_wide_rows_go_to_python_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with pytest.raises(RuntimeError), arrow_rows(spark, 8 * 1_000_000):
+        assert spark.conf.get(name) == "4"
+        raise RuntimeError
+    with arrow_rows(spark, 10**12):
+        assert spark.conf.get(name) == "1"
+    assert spark.conf.get(name) == before
