@@ -7,6 +7,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,7 +164,7 @@ def batches(items: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20)
     for batch in items:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
+        sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
         group = np.cumsum(sizes) // limit
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), len(sizes)]
         for a, b in zip(cuts, cuts[1:]):
