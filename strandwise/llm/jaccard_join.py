@@ -9,16 +9,16 @@ be of bounded size (the ``heavy`` most frequent, 16 bytes each) and is broadcast
 2. Two sets at the similarity share an n-gram among the first n - ceil(s n) + 1 of each. The
    representatives' prefixes are range-sorted by (n-gram, size, class): an n-gram's row
    range may span tasks, so no n-gram is too hot. What nobody shares is dropped.
-3. Neighbours in that order are the first candidates; verified ones are united. That joins the
-   bulk of every group of near copies with a number of candidates linear in its size.
-4. All candidates left between different components are verified, pruned by size and position.
-5. Components over both kinds of links, back to all documents through their class; the class
-   with the least number gives a component the key that names it.
-
-Verification groups candidates into blocks of bounded bytes. In a block the sets of a probe's
-partners are a trie: they are walked in order, a partner starts from the overlap its common
-path with the previous one has, and a path is left as soon as what remains of it and of the
-probe can't reach the overlap needed.
+3. An n-gram belongs to the star of its least class, so that the n-grams of a group of near
+   copies mostly have one star, and a set is sent once per star. Stars are bundled into blocks
+   of bounded bytes; a star beyond that is dealt to chunks, and two chunks are one block.
+4. A block's sets are a trie. Each set walks it, shorter sets first: a path starts from the
+   overlap it has in common with the previous path, and a subtree is left as soon as what
+   remains of it and of the walking set can't reach the overlap needed. Leaves of the set's own
+   component, and those that a parity bound (see ``signatures``) rules out, are not entered.
+   Candidates are never listed; a block gives fewer links than it has sets.
+5. Components over the links, back to all documents through their class; the class with the
+   least number gives a component the key that names it.
 
 Links are complete, but pairs within a class or a component are not listed. Documents without
 words (or null) have n_shingles 0 and no links. Repeated rows, also of a key, keep their rows.
@@ -28,6 +28,7 @@ A null key can be a member but represents nothing; with null keys alone the comp
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -132,23 +133,11 @@ def _prefixes(texts: DataFrame, order, n: int, percent: int) -> DataFrame:
     return texts.select("key", "text", "content").mapInArrow(run, "key long, content long, n long, digest binary, prefix array<long>")
 
 
-def _possible(size_a, place_a, size_b, place_b, percent: int):
-    """Whether two sets that share the n-gram at these places first can reach the similarity:
-    by size, and by what comes after the places.
-    """
-    small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
-    need = -(-percent * (size_a + size_b) // (100 + percent))
-    return (100 * small >= percent * large) & (np.minimum(size_a - place_a, size_b - place_b) >= need)
-
-
-def _neighbours(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows (token, n, node, place), sorted, that are not alone with their token in sight, with
-    ``before``: the previous node of the token if both can be similar.
-    """
-    names = ["token", "n", "node", "place"]
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows (token, node), sorted, that are not alone with their token in sight."""
 
     def emit(x, low, high):
-        token, n, node, place = x
+        token, node = x
         at = np.arange(low, high)
         up = np.zeros(len(at), bool)
         up[at > 0] = token[at[at > 0]] == token[at[at > 0] - 1]
@@ -157,19 +146,15 @@ def _neighbours(rows: DataFrame, percent: int) -> DataFrame:
         down[inner] = token[at[inner]] == token[at[inner] + 1]
         # The first and the last row of a task may have their token in another task as well.
         edge = (at == 0) | (at == len(token) - 1)
-        prior = np.maximum(at - 1, 0)
-        fine = up & _possible(n[prior], place[prior], n[at], place[at], percent)
-        keep = up | down | edge
-        return pa.RecordBatch.from_arrays(
-            [*(pa.array(c[at[keep]]) for c in x), pa.array(node[prior[keep]], mask=~fine[keep])], [*names, "before"]
-        )
+        keep = at[up | down | edge]
+        return pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(node[keep])], ["token", "node"])
 
     def run(items):
         held, done = None, 0
         for batch in items:
             if not batch.num_rows:
                 continue
-            x = [np.asarray(batch.column(i)) for i in range(4)]
+            x = [np.asarray(batch.column(i)) for i in range(2)]
             if held is not None:
                 x = [np.concatenate(pair) for pair in zip(held, x)]
             last = len(x[0]) - 1
@@ -178,50 +163,22 @@ def _neighbours(rows: DataFrame, percent: int) -> DataFrame:
         if held is not None:
             yield emit(held, done, len(held[0]))
 
-    return rows.select(*names).mapInArrow(run, "token long, n long, node long, place long, before long")
+    return rows.select("token", "node").mapInArrow(run, "token long, node long")
 
 
-def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Possible pairs (a, b) of different components within each token of sorted rows
-    (token, n, node, place, component).
+def signatures(numbers: np.ndarray, first: np.ndarray, bits: int = 2048) -> np.ndarray:
+    """Per set the parities of how many of its numbers fall on each of ``bits`` places, as rows
+    of words. Two signatures differ in no more bits than their sets in numbers: a number of
+    both sets changes both.
     """
-
-    def pairs(x):
-        token, n, node, place, part = x
-        begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        for low, high in zip(begin, np.r_[begin[1:], len(token)]):
-            parts, which, counts = np.unique(part[low:high], return_inverse=True, return_counts=True)
-            if len(parts) < 2:
-                continue
-            at = np.arange(low, high)
-            for i in at[which != counts.argmax()]:
-                # Rows outside the largest component against all others; each pair once.
-                other = at[(part[at] != part[i]) & ((which == counts.argmax()) | (at < i))]
-                fine = other[_possible(n[i], place[i], n[other], place[other], percent)]
-                if len(fine):
-                    yield np.stack([np.minimum(node[fine], node[i]), np.maximum(node[fine], node[i])])
-
-    def run(items):
-        held = None
-        for batch in items:
-            x = [np.asarray(batch.column(i)) for i in range(5)]
-            if held is not None:
-                x = [np.concatenate(pair) for pair in zip(held, x)]
-            if not len(x[0]):
-                continue
-            cut = np.searchsorted(x[0], x[0][-1])  # the last token may go on
-            held = [c[cut:] for c in x]
-            yield from found([c[:cut] for c in x])
-        if held is not None:
-            yield from found(held)
-
-    def found(x):
-        lots = [*pairs(x)] if len(x[0]) else []
-        if lots:
-            both = np.unique(np.concatenate(lots, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-
-    return rows.select("token", "n", "node", "place", "component").mapInArrow(run, "a long, b long")
+    out = np.empty((len(first) - 1, bits // 64), np.uint64)
+    place = (mix(numbers) & np.uint64(bits - 1)).astype(np.int64)
+    for low in range(0, len(out), 512):
+        high = min(len(out), low + 512)
+        row = np.repeat(np.arange(high - low), np.diff(first[low : high + 1]))
+        counts = np.bincount(row * bits + place[first[low] : first[high]], minlength=(high - low) * bits)
+        out[low:high] = np.packbits((counts & 1).astype(bool)).view(np.uint64).reshape(high - low, -1)
+    return out
 
 
 class Trie:
@@ -233,6 +190,7 @@ class Trie:
         self.sets = sets
         in_order = sorted(sets, key=lambda i: sets[i].astype(">u8").tobytes())
         self.place = {i: p for p, i in enumerate(in_order)}
+        self.visited = 0  # numbers on the paths walked, for measuring
 
     @staticmethod
     def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -240,13 +198,18 @@ class Trie:
         differs = a[:size] != b[:size]
         return int(differs.argmax()) if differs.any() else size
 
-    def similar(self, probe: np.ndarray, partners: list[int], percent: int, step: int = 128) -> list[int]:
-        """The partners that reach the similarity to the probe."""
-        out, path, overlap = [], None, np.zeros(1, np.int64)
+    def similar(self, probe: np.ndarray, partners: Iterable[int], percent: int, step: int = 128, linked: Callable[[int], bool] | None = None) -> list[int]:
+        """The partners that reach the similarity to the probe, but for those that are
+        ``linked`` to it when their turn comes.
+        """
+        out, path, reached, overlap = [], None, 0, np.zeros(1, np.int64)
         for i in sorted(partners, key=self.place.__getitem__):
+            if linked is not None and linked(i):
+                continue
             own = self.sets[i]
             need = -(-percent * (len(own) + len(probe)) // (100 + percent))
-            shared = 0 if path is None else min(self.common(path, own), len(overlap) - 1)
+            # What the walk has seen of the previous path it need not see again.
+            shared = 0 if path is None else min(self.common(path, own), reached)
             counts = [overlap[: shared + 1]]
             at, have = shared, int(overlap[shared])
             while at < len(own):
@@ -259,49 +222,83 @@ class Trie:
                 hit = probe[np.minimum(hit, len(probe) - 1)] == part
                 counts.append(have + np.cumsum(hit))
                 at, have = at + len(part), have + int(hit.sum())
+                self.visited += len(part)
             if at == len(own) and have >= need:
                 out.append(i)
-            path, overlap = own[:at], np.concatenate(counts)
+                if linked is not None:
+                    linked.join(i)
+            path, reached, overlap = own, at, np.concatenate(counts)
         return out
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, order, n: int, percent: int, block_bytes: int) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose sets reach the similarity.
+class _Linked:
+    """Components of a block's sets as labels; asks and joins for the set that walks."""
+
+    def __init__(self, size: int):
+        self.label, self.own = np.arange(size), 0
+
+    def __call__(self, i: int) -> bool:
+        return self.label[i] == self.label[self.own]
 
-    The pairs of all probes with one least partner go to one block: the members of a group of
-    near copies mostly have the same, so a text is sent to few blocks. Blocks beyond
-    ``block_bytes`` of text are divided by probe.
+    def join(self, i: int) -> None:
+        self.label[self.label == self.label[i]] = self.label[self.own]
+
+
+def block_links(sets: list[np.ndarray], chunk: np.ndarray, inside: bool, percent: int) -> list[tuple[int, int]]:
+    """Links between the sets, given from the smallest to the largest, that join all that are
+    similar: those of one chunk if ``inside``, else those of different chunks.
     """
-    pairs = store(pairs, "pairs")
-    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    star = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("star"))
-    starred = store(pairs.join(star, "a"), "starred")
-    ends = starred.select("star", F.explode(F.array("a", "b")).alias("node")).distinct()
-    sized = ends.join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
-    cut = sized.groupBy("star").agg(F.ceil(F.sum("bytes") / F.lit(block_bytes)).cast("long").alias("cuts"))
-    block = F.xxhash64("star", F.pmod(F.xxhash64("a"), F.col("cuts")))
-    blocked = store(starred.join(cut, "star").select(block.alias("block"), "a", "b"), "blocks")
-    sent = blocked.select(F.col("block").alias("target"), F.explode(F.array("a", "b")).alias("node")).distinct().join(texts, "node")
-
-    def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        sets = {}
-        table = right.select(["node", "text", "digest"])
-        for batch in batches(table.to_batches(), "text", _BATCH):
-            grams, first = gram_sets(batch.column(1), n)
+    size = np.array([len(x) for x in sets])
+    sign = signatures(np.concatenate(sets), np.r_[0, np.cumsum(size)])
+    trie, linked, found = Trie(dict(enumerate(sets))), _Linked(len(sets)), []
+    for i, own in enumerate(sets):
+        low = int(np.searchsorted(size, -(-percent * size[i] // 100)))
+        need = -(-percent * (size[low:i] + size[i]) // (100 + percent))
+        fine = (linked.label[low:i] != linked.label[i]) & ((chunk[low:i] == chunk[i]) == inside)
+        at = np.flatnonzero(fine)
+        differ = np.bitwise_count(sign[low + at] ^ sign[i]).sum(axis=1, dtype=np.int64)
+        at = at[differ <= size[low + at] + size[i] - 2 * need[at]]
+        linked.own = i
+        found += [(j, i) for j in trie.similar(own, (low + at).tolist(), percent, linked=linked)]
+    return found
+
+
+def _links(shared: DataFrame, texts: DataFrame, order, n: int, percent: int, block_bytes: int) -> DataFrame:
+    """Links (a, b) of the classes that share n-grams, enough to give all components."""
+    stars = shared.groupBy("token").agg(F.min("node").alias("star"))
+    held = shared.join(stars, "token").select("star", "node").distinct()
+    held = store(held.join(texts.select("node", F.octet_length("text").alias("bytes")), "node"), "stars-held")
+    weights = store(held.groupBy("star").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("sets")).filter("sets > 1"), "star-bytes")
+    large = weights.filter(F.col("bytes") > block_bytes)
+    large = large.select("star", F.ceil(2 * F.col("bytes") / F.lit(block_bytes)).alias("cuts"))
+    bundles = -(-(weights.filter(F.col("bytes") <= block_bytes).agg(F.sum("bytes")).first()[0] or 1) // block_bytes)
+    dealt = held.select("star", "node").join(weights.select("star"), "star", "left_semi").join(large, "star", "left")
+    dealt = dealt.withColumn("chunk", F.when(F.col("cuts").isNotNull(), F.pmod(F.xxhash64("node"), "cuts")))
+    whole = dealt.filter("cuts IS NULL").select(
+        F.pmod(F.xxhash64("star"), F.lit(bundles)).alias("block"), F.lit(-1).cast("long").alias("low"), F.lit(-1).cast("long").alias("high"), F.lit(0).cast("long").alias("chunk"), "node"
+    )
+    paired = dealt.filter("cuts IS NOT NULL").withColumn("other", F.explode(F.expr("sequence(0L, cuts - 1)")))
+    paired = paired.select(F.col("star").alias("block"), F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node")
+    blocks = store(whole.distinct().union(paired), "blocks")
+
+    def walk(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        nodes, chunks, sets = [], [], []
+        for batch in batches(table.select(["node", "chunk", "text", "digest"]).to_batches(), "text", _BATCH):
+            grams, first = gram_sets(batch.column(2), n)
             numbers = arrange(order.value, grams, first)
-            for i, (node, digest) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-                own = numbers[first[i] : first[i + 1]]
-                if _digest(own) != digest:
-                    raise ValueError(f"the text sent for class {node} is that of another one")
-                sets[node] = own
-        partners: dict[int, list[int]] = {}
-        for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
-            partners.setdefault(a, []).append(b)
-        trie = Trie({b: sets[b] for others in partners.values() for b in others})
-        found = [(a, b) for a, others in partners.items() for b in trie.similar(sets[a], others, percent)]
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+            for i, digest in enumerate(batch.column(3).to_pylist()):
+                sets.append(numbers[first[i] : first[i + 1]])
+                if _digest(sets[-1]) != digest:
+                    raise ValueError(f"the text sent for class {batch.column(0)[i]} is that of another one")
+            nodes += batch.column(0).to_pylist()
+            chunks += batch.column(1).to_pylist()
+        by = sorted(range(len(sets)), key=lambda i: (len(sets[i]), nodes[i]))
+        found = block_links([sets[i] for i in by], np.array(chunks)[by], key[1].as_py() == key[2].as_py(), percent)
+        ends = [pa.array([nodes[by[link[end]]] for link in found], pa.int64()) for end in (0, 1)]
+        return pa.table(ends, names=["a", "b"])
 
-    return blocked.groupBy("block").cogroup(sent.groupBy("target")).applyInArrow(compare, "a long, b long")
+    sent = blocks.join(texts, "node").select("block", "low", "high", "node", "chunk", "text", "digest")
+    return sent.groupBy("block", "low", "high").applyInArrow(walk, "a long, b long")
 
 
 def near_components(
@@ -351,10 +348,9 @@ def _members(docs, n, percent, heavy, least, block_bytes, key, text) -> DataFram
     # Rows of a digest have one prefix; copies are combined before the only shuffle of prefixes.
     alike = filled.groupBy("digest").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     numbered = alike.join(known_classes.select("digest", "node"), "digest")
-    tokens = numbered.select("node", "n", F.posexplode("prefix").alias("place", "token"))
-    tokens = tokens.select("token", "n", "node", F.col("place").cast("long").alias("place"))
+    tokens = numbered.select("node", "n", F.explode("prefix").alias("token"))
     ordered = tokens.repartitionByRange(partitions(spark), "token", "n", "node").sortWithinPartitions("token", "n", "node")
-    shared = store(_neighbours(ordered, percent), "shared")
+    shared = store(_shared(ordered), "shared")
     members = store(known.select("key", "n", "digest", "content"), "members")
     drop_stored(known)
 
@@ -365,19 +361,7 @@ def _members(docs, n, percent, heavy, least, block_bytes, key, text) -> DataFram
         rows.join(chosen, ["key", "content"]).dropDuplicates(["key", "content", "node"]).select("node", "text", "digest"),
         "shared-texts",
     )
-    first = shared.filter("before is not null").select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b"))
-    near = store(_verify(first.distinct(), texts, order, n, percent, block_bytes), "near")
-
-    parts = components(near)
-    labelled = store(
-        shared.join(parts, "node", "left").select("token", "n", "node", "place", F.coalesce("component", "node").alias("component")),
-        "labelled",
-    )
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    open_tokens = labelled.join(mixed.filter("least < most").select("token"), "token")
-    runs = open_tokens.repartition(partitions(spark), "token").sortWithinPartitions("token", "n", "node")
-    rest = _across(runs, percent).distinct().join(first.distinct(), ["a", "b"], "left_anti")
-    links = near.union(_verify(rest, texts, order, n, percent, block_bytes))
+    links = _links(shared, texts, order, n, percent, block_bytes)
 
     grouped = store(classes.join(components(links), "node", "left").select("node", "digest", "least", F.coalesce("component", "node").alias("top")), "grouped")
     tops = grouped.filter("node = top").select("top", F.col("least").alias("component"))

@@ -195,6 +195,72 @@ def test_trie_prunes_and_shares():
     assert sorted(trie.similar(probe, [1, 2, 3], 60)) == [1, 2]
 
 
+def ordered_sets(rng, groups, copies):
+    sets = []
+    for _ in range(groups):
+        base = rng.choice(1 << 40, int(rng.integers(1, 400)), replace=False)
+        for _ in range(copies):
+            keep = rng.random(len(base)) > rng.choice([0, 0.05, 0.2])
+            sets.append(np.union1d(base[keep], rng.choice(1 << 40, int(rng.integers(0, 30)))).astype(np.uint64))
+    return sorted((x for x in sets if len(x)), key=len)
+
+
+def similar_pairs(sets, chunk, inside):
+    out = []
+    for b in range(len(sets)):
+        for a in range(b):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both) and (chunk[a] == chunk[b]) == inside:
+                out.append((a, b))
+    return out
+
+
+@pytest.mark.parametrize("inside", [True, False])
+def test_block_links(inside):
+    rng = np.random.default_rng(11)
+    for _ in range(4):
+        sets = ordered_sets(rng, 8, 12)
+        chunk = rng.integers(0, 1 if inside else 3, len(sets))
+        expected = similar_pairs(sets, chunk, inside)
+        found = jaccard_join.block_links(sets, chunk, inside, 80)
+        assert expected and set(found) <= set(expected) and len(found) < len(sets)
+        assert brute.union(range(len(sets)), found) == brute.union(range(len(sets)), expected)
+
+
+def test_signatures_bound_the_difference():
+    sets = ordered_sets(np.random.default_rng(12), 5, 6)
+    sign = jaccard_join.signatures(np.concatenate(sets), np.r_[0, np.cumsum([len(x) for x in sets])])
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets):
+            assert np.bitwise_count(sign[a] ^ sign[b]).sum() <= len(np.setxor1d(x, y))
+
+
+def test_trie_leaves_subtrees():
+    """A path common to many sets is walked once; below a node that can't reach the overlap nothing is."""
+    path = np.arange(0, 256, dtype=np.uint64)
+    sets = {i: np.r_[path, np.arange(1000 * i + 1000, 1000 * i + 1044, dtype=np.uint64)] for i in range(50)}
+    trie = jaccard_join.Trie(sets)
+    assert trie.similar(np.r_[path, np.uint64(10**6)], range(50), 80) == list(range(50))
+    assert trie.visited == 256 + 50 * 44
+    trie = jaccard_join.Trie(sets)
+    assert trie.similar(np.arange(10**6, 10**6 + 300, dtype=np.uint64), range(50), 80) == []
+    assert trie.visited == 128
+
+
+def test_jaccard_frequent_passage(spark):
+    """One passage in all texts, and groups whose members are too far apart to link."""
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(40))
+    docs = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(60)]
+        for k in range(25):
+            words = [f"x{g}{k}{i}" if rng.random() < 0.01 * (k % 5) else w for i, w in enumerate(base)]
+            docs.append((100 * g + k, f"{passage} {' '.join(words)}"))
+    found = jaccard_join.near_components(documents(spark, docs), block_bytes=3000).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.jaccard(docs)
+
+
 @pytest.mark.parametrize("operator", [substring_dedup.remove, substring_dedup.rewrite, jaccard_join.near_components, jaccard_join.heads])
 def test_empty_tables(spark, operator):
     assert operator(spark.createDataFrame([], "doc_id long, text string")).count() == 0
