@@ -32,6 +32,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,7 +119,7 @@ def _digest(numbers: np.ndarray) -> bytes:
 
 
 def _prefixes(texts: DataFrame, order, n: int, percent: int) -> DataFrame:
-    """(key, content, n, digest, prefix) per row of (key, text, content)."""
+    """(key, content, n, digest, bytes, prefix) per row of (key, text, content)."""
 
     def run(items):
         for batch in batches(items, "text", _BATCH):
@@ -128,9 +129,9 @@ def _prefixes(texts: DataFrame, order, n: int, percent: int) -> DataFrame:
             at, ends = _prefix_places(first, percent)
             prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(numbers[at].view(np.int64)))
             digest = pa.array([_digest(numbers[a:b]) for a, b in zip(first, first[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size.astype(np.int64)), digest, prefix], ["key", "content", "n", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size.astype(np.int64)), digest, pc.binary_length(batch.column(1)).cast(pa.int64()), prefix], ["key", "content", "n", "digest", "bytes", "prefix"])
 
-    return texts.select("key", "text", "content").mapInArrow(run, "key long, content long, n long, digest binary, prefix array<long>")
+    return texts.select("key", "text", "content").mapInArrow(run, "key long, content long, n long, digest binary, bytes long, prefix array<long>")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -263,11 +264,13 @@ def block_links(sets: list[np.ndarray], chunk: np.ndarray, inside: bool, percent
     return found
 
 
-def _links(shared: DataFrame, texts: DataFrame, order, n: int, percent: int, block_bytes: int) -> DataFrame:
-    """Links (a, b) of the classes that share n-grams, enough to give all components."""
+def _links(shared: DataFrame, rows: DataFrame, chosen: DataFrame, order, n: int, percent: int, block_bytes: int) -> DataFrame:
+    """Links (a, b) of the classes that share n-grams, enough to give all components.
+    ``chosen`` names the row of ``rows`` whose text stands for a class and its bytes.
+    """
     stars = shared.groupBy("token").agg(F.min("node").alias("star"))
     held = shared.join(stars, "token").select("star", "node").distinct()
-    held = store(held.join(texts.select("node", F.octet_length("text").alias("bytes")), "node"), "stars-held")
+    held = store(held.join(chosen.select("node", "bytes"), "node"), "stars-held")
     weights = store(held.groupBy("star").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("sets")).filter("sets > 1"), "star-bytes")
     large = weights.filter(F.col("bytes") > block_bytes)
     large = large.select("star", F.ceil(2 * F.col("bytes") / F.lit(block_bytes)).alias("cuts"))
@@ -279,7 +282,9 @@ def _links(shared: DataFrame, texts: DataFrame, order, n: int, percent: int, blo
     )
     paired = dealt.filter("cuts IS NOT NULL").withColumn("other", F.explode(F.expr("sequence(0L, cuts - 1)")))
     paired = paired.select(F.col("star").alias("block"), F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node")
-    blocks = store(whole.distinct().union(paired), "blocks")
+    # A text takes the list of its blocks along, so that it is moved to its blocks at once.
+    targets = whole.distinct().union(paired).groupBy("node").agg(F.collect_list(F.struct("block", "low", "high", "chunk")).alias("targets"))
+    blocks = store(chosen.drop("bytes").join(targets, "node"), "blocks")
 
     def walk(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         nodes, chunks, sets = [], [], []
@@ -297,7 +302,8 @@ def _links(shared: DataFrame, texts: DataFrame, order, n: int, percent: int, blo
         ends = [pa.array([nodes[by[link[end]]] for link in found], pa.int64()) for end in (0, 1)]
         return pa.table(ends, names=["a", "b"])
 
-    sent = blocks.join(texts, "node").select("block", "low", "high", "node", "chunk", "text", "digest")
+    texts = rows.join(blocks, ["key", "content"]).dropDuplicates(["key", "content", "node"])
+    sent = texts.select(F.inline("targets"), "node", "text", "digest")
     return sent.groupBy("block", "low", "high").applyInArrow(walk, "a long, b long")
 
 
@@ -351,19 +357,16 @@ def _members(docs, n, percent, heavy, least, block_bytes, key, text) -> DataFram
     tokens = numbered.select("node", "n", F.explode("prefix").alias("token"))
     ordered = tokens.repartitionByRange(partitions(spark), "token", "n", "node").sortWithinPartitions("token", "n", "node")
     shared = store(_shared(ordered), "shared")
-    members = store(known.select("key", "n", "digest", "content"), "members")
+    members = store(known.select("key", "n", "digest", "bytes", "content"), "members")
     drop_stored(known)
 
     wanted = known_classes.join(shared.select("node").distinct(), "node").select("digest", F.col("least").alias("key"), "node")
     # One text of each class: a row of its least key that has its digest.
-    chosen = members.join(wanted, ["digest", "key"]).groupBy("node", "digest", "key").agg(F.min("content").alias("content"))
-    texts = store(
-        rows.join(chosen, ["key", "content"]).dropDuplicates(["key", "content", "node"]).select("node", "text", "digest"),
-        "shared-texts",
-    )
-    links = _links(shared, texts, order, n, percent, block_bytes)
+    chosen = members.join(wanted, ["digest", "key"]).groupBy("node", "digest", "key").agg(F.min("content").alias("content"), F.max("bytes").alias("bytes"))
+    chosen = store(chosen, "chosen")
+    links = _links(shared, rows, chosen, order, n, percent, block_bytes)
 
     grouped = store(classes.join(components(links), "node", "left").select("node", "digest", "least", F.coalesce("component", "node").alias("top")), "grouped")
     tops = grouped.filter("node = top").select("top", F.col("least").alias("component"))
     named = grouped.join(tops, "top").select("digest", "component", (F.col("node") == F.col("top")).alias("first"))
-    return members.join(named, "digest", "left")
+    return members.drop("bytes").join(named, "digest", "left")
