@@ -33,7 +33,7 @@ WHITE_SPACE = (
 # str.split() also cuts at these four, which are no white space for the tokenizer.
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 _CHUNK = regex.compile(f"[^{WHITE_SPACE}]+")
-KNOWN_CHUNKS = 300_000  # chunks a task remembers; then it starts anew
+KNOWN_CHUNKS = 100_000  # chunks a worker remembers, some 20 MB; then it starts anew
 
 
 def byte_symbols() -> list[str]:

@@ -160,7 +160,9 @@ class Words:
 
 
 def batches(items: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterable[pa.RecordBatch]:
-    """The same rows in batches of at most ``limit`` bytes of ``column``, or one row."""
+    """The same rows in batches of at most ``limit`` bytes of ``column``, or one row. At the end
+    Arrow's unused memory goes back: workers outlive a task and serve the next stage.
+    """
     for batch in items:
         if not batch.num_rows:
             continue
@@ -170,6 +172,7 @@ def batches(items: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20)
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def salted(key: Column, salts: int) -> Column:

@@ -5,7 +5,7 @@ by what they can still take; there are at most ``width`` of either, however many
 places all pieces of a class, the longest class first: the sweep finds the smallest gap class
 that is long enough, as many gaps as pieces are left take one each, the gaps move to the class
 of what remains, and the sweep repeats until the class is placed; pieces without a gap open
-sequences. Within a class pieces and gaps are told apart by rank, so a step says "ranks a to b
+the sequences that they fill. Within a class pieces and gaps are told apart by rank, so a step says "ranks a to b
 of this length go to sequences s, s + 1, ... at this offset", and no two pieces claim one gap.
 This gives the packing that best-fit decreasing gives one by one.
 
@@ -54,9 +54,9 @@ def plan(counts: dict[int, int], width: int) -> tuple[np.ndarray, int]:
         while left:
             at = bisect_left(order, length)
             if at == len(order):
-                first, n, gap = sequences, left, width
-                # All that are left open a sequence only if two never fit into one.
-                n = left if 2 * length > width else -(-left // (width // length))
+                first, gap = sequences, width
+                # As many sequences as the pieces fill, or one for the few that are left.
+                n = max(left // (width // length), 1)
                 sequences += n
             else:
                 gap = order[at]

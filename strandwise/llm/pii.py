@@ -53,26 +53,61 @@ FEATURES = (
 )
 
 
+_PIECE = 256  # elements that one inner aggregate takes
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _scan(items: Column, start: dict[str, Column], step, kind: str, local=None) -> Column:
+    """array<kind> with an output of ``step`` per element, from left to right. ``step`` gets the
+    state, the element and what ``local`` makes of the state and a piece of the elements, and
+    returns the next state and the output.
+
+    Appending copies an array; outputs are gathered by pieces, and then the pieces, so that a
+    long array takes about linear time.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    state = lambda fields, out: F.struct(*(c.alias(n) for n, c in fields.items()), out.alias("out"))
+
+    def piece(items, done, i):
+        last, some = F.element_at(done, -1), F.slice(items, i + 1, _PIECE)
+
+        def one(seen):
+            def merge(before, x):
+                fields, out = step(before, x, seen)
+                return state(fields, F.concat(before["out"], F.array(out)))
+
+            return F.aggregate(some, state({n: last[n] for n in start}, none), merge)
+
+        whole = one(None) if local is None else _let(local(last, some), one)
+        return F.concat(done, F.array(whole))
+
+    def run(items):
+        firsts = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1, F.lit(_PIECE))).otherwise(F.array().cast("array<int>"))
+        done = F.aggregate(firsts, F.array(state(start, none)), lambda done, i: piece(items, done, i))
+        return F.flatten(F.transform(done, lambda d: d["out"]))
+
+    return _let(items, run)
+
+
 def _spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value, before>> of all matches, left to right; ``before`` is the
     text before the match, whether an earlier match covers it or not.
     """
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.arrays_zip(found.alias("value"), F.slice(between, F.lit(1), F.size(found)).alias("before"))
-    start = F.struct(
-        F.lit(0).alias("at"), F.lit("").alias("last"),
-        F.array().cast("array<struct<start:int,end:int,value:string,before:string>>").alias("out"),
-    )
+    pairs = _let(found, lambda f: F.arrays_zip(f.alias("value"), F.slice(between, F.lit(1), F.size(f)).alias("before")))
 
-    def step(state, x):
+    def step(state, x, _):
         begin = state["at"] + F.length(x["before"])
         end = begin + F.length(x["value"])
         before = F.right(F.concat(state["last"], x["before"]), F.lit(32))
         one = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"), before.alias("before"))
-        return F.struct(end.alias("at"), F.right(F.concat(before, x["value"]), F.lit(32)).alias("last"), F.concat(state["out"], F.array(one)).alias("out"))
+        return {"at": end, "last": F.right(F.concat(before, x["value"]), F.lit(32))}, one
 
-    spans = F.aggregate(pairs, start, step, lambda state: state["out"])
-    return F.when(F.size(found) > 0, spans).otherwise(start["out"])
+    return _scan(pairs, {"at": F.lit(0), "last": F.lit("")}, step, "struct<start:int,end:int,value:string,before:string>")
 
 
 def _digits(value: Column) -> Column:
@@ -147,12 +182,28 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bo
 
 def _features(found: DataFrame) -> DataFrame:
     """A row per candidate: row, kind, start, end, features, label, whether a base span overlaps."""
-    lists = [_as(i, F.col(f"found_{g}"), "value", "before") for i, g in enumerate(GENERATORS)]
-    one = found.select("row", _base_spans().alias("base"), F.explode(F.concat(*lists)).alias("c")).select("row", "base", "c.*")
+    # Base spans and candidates in one order of starts, base spans first where starts are equal.
+    def placed_as(kind, spans, value, before):
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), value(s).alias("value"), before(s).alias("before")))
+
+    empty = lambda s: F.lit("")
+    own = [placed_as(i, F.col(f"found_{g}"), lambda s: s["value"], lambda s: s["before"]) for i, g in enumerate(GENERATORS)]
+    base = placed_as(-1, _base_spans(), empty, empty)
+    placed = found.filter(sum(F.size(f"found_{g}") for g in GENERATORS) > 0).select("row", F.array_sort(F.concat(base, *own)).alias("all"))
+    is_base = lambda x: x["kind"] < 0
+    reach = lambda s, x, _: ({"end": F.when(is_base(x), F.greatest(s["end"], x["end"])).otherwise(s["end"])}, s["end"] > x["start"])
+    ahead = lambda s, x, _: ({"start": F.when(is_base(x), x["start"]).otherwise(s["start"])}, s["start"] < x["end"])
+    marked = placed.select(
+        "row", "all",
+        _scan(F.col("all"), {"end": F.lit(0)}, reach, "boolean").alias("under"),
+        F.reverse(_scan(F.reverse("all"), {"start": F.lit(2**31 - 1)}, ahead, "boolean")).alias("over"),
+    )
+    one = marked.select("row", F.explode(F.arrays_zip("all", "under", "over")).alias("c")).filter("c.all.kind >= 0")
+    one = one.select("row", "c.all.*", (F.col("c.under") | F.col("c.over")).alias("overlaps"))
     value, before = F.col("value"), F.col("before")
     count = lambda pattern: F.length(F.regexp_replace(value, pattern, "")).cast("double")
     flag = lambda c: c.cast("double")
-    overlaps = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
+    overlaps = F.col("overlaps")
     named = before.rlike(_NAMED)
     return one.select(
         "row", "start", "end", F.col("kind").cast("double").alias("generator"),
@@ -274,28 +325,31 @@ def redact(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     ``[EMAIL]``; where spans overlap, the first one names the whole stretch. Null texts stay
     null, other columns stay.
     """
-    names = docs.columns
-    numbered = store(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = find(numbered, "_row", text)
-    extra = spans(found)
-    # `key` of the found rows is the number given here.
-    every = found.join(extra, "row", "left").select(
-        F.col("key").alias("_row"),
-        F.concat(_base_spans(), F.coalesce("extra", F.array().cast("array<struct<kind:int,start:int,end:int>>"))).alias("_spans"),
+    names, place = docs.columns, docs.columns.index(text)
+    # No name of the table meets a name given here.
+    inner = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("number", F.monotonically_increasing_id())
+    numbered = store(inner, "numbered")
+    found = find(numbered, "number", f"c{place}")
+    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
+    every = found.join(spans(found), "row", "left").select(
+        F.col("key").alias("number"), F.concat(_base_spans(), F.coalesce("extra", none)).alias("spans")
     )
-    every = every.filter(F.size("_spans") > 0)
-    by_start = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    every = every.filter(F.size("spans") > 0)
     label = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    body = F.col("_text")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(state, s):
-        piece = F.array(F.substring(body, state["at"] + 1, s["start"] - state["at"]), F.get(label, s["kind"]))
-        longer = F.struct(s["end"].alias("at"), F.concat(state["parts"], piece).alias("parts"))
-        covered = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["parts"].alias("parts"))
-        return F.when(s["start"] >= state["at"], longer).otherwise(covered)
-
-    end = lambda state: F.concat(F.array_join(state["parts"], ""), F.substring(body, state["at"] + 1, F.length(body)))
-    joined = numbered.join(every, "_row", "left").withColumn("_text", F.col(f"`{text}`").cast("string"))
-    cleaned = F.when(F.col("_spans").isNull(), body).otherwise(F.aggregate(by_start, start, step, end))
-    return joined.withColumn(text, cleaned).select(*(F.col(f"`{n}`") for n in names))
+    body = F.col(f"c{place}").cast("string")
+    by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    last_end = lambda some: F.array_max(F.transform(some, lambda s: s["end"]))
+
+    def stretch(state, some):
+        """What a piece of the spans can need of the text, and where it begins."""
+        return F.struct(state["at"].alias("at"), F.substring(body, state["at"] + 1, F.greatest(last_end(some) - state["at"], F.lit(0))).alias("text"))
+
+    def step(state, s, of):
+        part = F.concat(F.substring(of["text"], state["at"] - of["at"] + 1, s["start"] - state["at"]), F.get(label, s["kind"]))
+        return {"at": F.greatest(state["at"], s["end"])}, F.when(s["start"] >= state["at"], part).otherwise("")
+
+    parts = _scan(by_start, {"at": F.lit(0)}, step, "string", stretch)
+    cleaned = F.concat(F.array_join(parts, ""), F.substring(body, last_end(F.col("spans")) + 1, F.length(body)))
+    joined = numbered.join(every, "number", "left")
+    columns = [F.when(F.col("spans").isNull(), body).otherwise(cleaned) if i == place else F.col(f"c{i}") for i in range(len(names))]
+    return joined.select(*columns).toDF(*names)

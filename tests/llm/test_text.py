@@ -5,11 +5,13 @@ import hashlib
 import os
 import random
 import sys
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -273,6 +275,44 @@ def test_redaction(spark):
     assert sorted((r.row, r.text) for r in found.collect()) == [(7, "mail [EMAIL] now"), (8, None), (9, "ip [IP]")]
 
 
+def test_redaction_of_any_columns(spark):
+    """Names that the operator could use itself, twice the same name, repeated rows, overlapping spans."""
+    row = (1, "a x@y.zz b 1.2.3.4", "A", 2, "B", "C")
+    df = spark.createDataFrame([row, row], "doc_id long, text string, _row string, number int, _spans string, _text string")
+    df = df.withColumnsRenamed({"_text": "key"}).select("*", F.col("number").alias("c1"), F.col("key").alias("spans"))
+    found = pii.redact(df)
+    assert found.columns == df.columns
+    assert [tuple(r) for r in found.collect()] == [(1, "a [EMAIL] b [IP]", "A", 2, "B", "C", 2, "C")] * 2
+    assert pii.redact(df.select("text", "key", "key")).columns == ["text", "key", "key"]
+
+
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 40_000])
+def test_many_matches_in_a_text(spark, n):
+    """Positions over the pieces' bounds, and time that doesn't grow with the square of the matches."""
+    text = "é 1.2.3.4 " * n
+    begun = time.time()
+    found = pii.find(documents(spark, [text])).first()
+    assert [(s.start, s.end) for s in found.ip] == [(10 * i + 2, 10 * i + 9) for i in range(n)]
+    assert pii.redact(documents(spark, [text])).first().text == "é [IP] " * n
+    assert time.time() - begun < 90
+
+
+def test_candidates_under_base_spans(spark):
+    rng = random.Random(4)
+    parts = ["1.2.3.4", "x@y.zz", "4111111111111111", "+1 (900) 555-2077", "abcdefghijklmnop0123", " ", "-", "7", "@", "12 34 56"]
+    found = pii.find(documents(spark, ["".join(rng.choice(parts) for _ in range(60)) for _ in range(40)]))
+    base = {r.row: [(s.start, s.end) for k in pii.BASE for s in r[k]] for r in found.collect()}
+    rows = pii._features(found).collect()
+    assert len(rows) == sum(len(r[f"found_{g}"]) for r in found.collect() for g in pii.GENERATORS)
+    assert all(r.covered == any(a < r.end and b > r.start for a, b in base[r.row]) for r in rows)
+    assert len({r.covered for r in rows}) == 2
+
+
+def test_packing_plan_opens_only_what_is_filled():
+    # {5, 5, 5} and {5, 4, 4, 4}: two sequences, as one by one.
+    assert packing.plan({5: 4, 4: 3}, 17)[1] == 2
+
+
 def test_shards(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{MORE}/documents.parquet").collect()}
     rows = queries.op10_shards(spark, MORE).collect()
