@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable
 
@@ -161,7 +162,7 @@ class Words:
 
 def batches(items: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterable[pa.RecordBatch]:
     """The same rows in batches of at most ``limit`` bytes of ``column``, or one row. At the end
-    Arrow's unused memory goes back: workers outlive a task and serve the next stage.
+    unused memory goes back: workers outlive a task and serve the next stage.
     """
     for batch in items:
         if not batch.num_rows:
@@ -173,6 +174,8 @@ def batches(items: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20)
             if b > a:
                 yield batch.slice(a, b - a)
     pa.default_memory_pool().release_unused()
+    # What numpy freed: glibc keeps it otherwise. Other C libraries have no such call.
+    getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
 
 
 def salted(key: Column, salts: int) -> Column:
