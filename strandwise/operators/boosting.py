@@ -2,10 +2,11 @@
 
 Features become bin numbers once, by distributed quantiles, and are stored in chunks of rows.
 All models of a fit (one per target, and per fold or setting where those are asked for) grow
-side by side: a level of all their trees is one tree aggregate. Each partition adds up, per model,
-node, feature and bin, the gradients and second derivatives of its rows; the driver gets the
-sums, whose size is that of the trees' level and not of the rows, and picks the splits. Missing
-numbers have a bin of their own, and each split learns their side.
+side by side: a level of all their trees is one pass. Each partition adds up, per model, node,
+feature and bin, the gradients and second derivatives of its rows. The sums are shuffled by slices
+of the features, and each slice's best split of a node is found where its sums meet; the driver
+gets one row per node and slice, and keeps the best. Missing numbers have a bin of their own, and
+each split learns their side.
 
 Gradients are rounded to a fixed step before they are added, so that sums are exact and the
 trees don't depend on partitions or on the order of sums.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, fields, replace
+from functools import reduce
 from types import SimpleNamespace
 
 import numpy as np
@@ -68,6 +70,8 @@ _CHUNK = 1024
 _EXACT = 2.0**52
 #: Rounds after which the scores of rows are written down and their history is cut.
 _CUT = 20
+#: Slices of the features, at least: the tasks that find splits. One in four tasks of rows, if more.
+_SLICES = 4
 #: Bytes of sums of one pass.
 _SUM_BYTES = 64 << 20
 
@@ -310,6 +314,11 @@ def _held_rows(chunk, model) -> np.ndarray:
     return ~np.isnan(y[:, model.target]) & (held | ((fold == model.fold) & (model.fold >= 0)))
 
 
+def _slice_of(key: tuple[int, int, int]) -> int:
+    """Sums by (slice of the features, model, level) meet by slice."""
+    return key[0]
+
+
 def _bare(thing) -> SimpleNamespace:
     """Attributes without the class, which every task would have to rebuild."""
     return SimpleNamespace(**vars(thing))
@@ -409,27 +418,27 @@ class _Fit:
         """All levels of one round. Of two siblings only the one with fewer rows is added up; the
         other is what their parent has more, exactly."""
         features = {i: self._features(self.models[i].params, t) for i in trees}
-        parents: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        asked: list[dict[int, np.ndarray]] = []
+        sent: list[tuple[set[int], RDD]] = []
         for level in range(max([1, *(self.models[i].params.depth for i in trees)])):
             going = [i for i in trees if level < self.models[i].params.depth and not self.models[i].stopped]
-            asked = {i: own for i in going if len(own := self._smaller(trees[i], level))}
-            if not asked and not (losses and level == 0):
+            asked.append({i: own for i in going if len(own := self._smaller(trees[i], level))})
+            if not asked[-1] and not (losses and level == 0):
                 break
-            after = {}
-            for group in self._groups(asked, features):
-                found = self._pass(state, t, level, losses if level == 0 else [], {i: asked[i] for i in group}, trees, features, steps)
+            for group in self._groups(asked[-1], features):
+                sums = self._pass(state, t, level, losses if level == 0 else [], {i: asked[-1][i] for i in group}, trees, features, steps)
                 losses = []
+                sent.append((set(group), sums))
+                own = [sums for known, sums in sent if not known or not known.isdisjoint(group)]
+                found = self._best(own, {i: [nodes[i] for nodes in asked] for i in group})
                 for i, pair in sorted(found.pop("losses", {}).items()):
                     self._judge(self.models[i], float(pair[0] / pair[1]), t)
-                for i in group:
-                    # A model without fitted rows has no sums.
-                    if i in found and not self.models[i].stopped:
-                        after[i] = self._siblings(asked[i], found[i], parents.get(i))
-                        self._split(self.models[i], trees[i], features[i], *after[i])
-            parents = after
+                for i, (nodes, splits) in found.items():
+                    if not self.models[i].stopped:
+                        self._split(self.models[i], trees[i], features[i], nodes, splits)
 
     def _groups(self, asked: dict[int, np.ndarray], features: dict[int, np.ndarray]) -> list[list[int]]:
-        """Models in groups whose sums a partition, and the driver, can hold at once."""
+        """Models in groups whose sums a partition can hold at once."""
         groups, room = [[]], 0
         for i, nodes in asked.items():
             size = len(nodes) * len(features[i]) * (self.binned.missing + 1) * 16
@@ -469,8 +478,9 @@ class _Fit:
         order = np.argsort(both)
         return both[order], np.concatenate([sums, rest])[order]
 
-    def _pass(self, state: RDD, t: int, level: int, measured: list[int], nodes: dict, trees: dict, features: dict, steps: dict) -> dict:
-        """Sums per model, and losses: one aggregate over all rows."""
+    def _pass(self, state: RDD, t: int, level: int, measured: list[int], nodes: dict, trees: dict, features: dict, steps: dict) -> RDD:
+        """Sums by slice of the features, model and level, one per partition of the rows, and
+        losses: one pass over all rows."""
         models, missing = [SimpleNamespace(target=m.target, fold=m.fold, params=_bare(m.params)) for m in self.models], self.binned.missing
         grown = {i: _bare(trees[i]) for i in nodes}
 
@@ -506,23 +516,75 @@ class _Fit:
                 total[i][..., 1] += np.bincount(index, np.repeat(weight, shape[1]), n).reshape(shape)
             return total
 
-        def both(a, b):
-            for i, own in b.items():
-                if i == "losses":
-                    known = a.setdefault(i, {})
-                    for k, pair in own.items():
-                        known[k] = known.get(k, 0.0) + pair
+        slices = min(max(state.getNumPartitions() // 4, _SLICES), self.binned.width)
+
+        def sums(part, items):
+            total = {}
+            for item in items:
+                total = add(total, item)
+            # Losses are not rounded: the driver adds them in the order of partitions.
+            if "losses" in total:
+                yield (0, -1 - part, level), (0, total.pop("losses"))
+            for i, own in total.items():
+                ends = np.arange(slices + 1) * own.shape[1] // slices
+                for k, (low, high) in enumerate(zip(ends, ends[1:])):
+                    if high > low:
+                        yield (k, i, level), (int(low), own[:, low:high])
+
+        return state.mapPartitionsWithIndex(sums).partitionBy(slices, _slice_of)
+
+    def _best(self, sent: list[RDD], asked: dict[int, list[np.ndarray]]) -> dict:
+        """Per model (nodes, best splits) of the last level, from the sums of all levels so far,
+        and losses. The driver gets one row per node and slice of the features."""
+        level = max((len(own) for own in asked.values()), default=1) - 1
+        params = {i: _bare(self.models[i].params) for i in asked}
+        siblings = self._siblings
+
+        def plus(a, b):
+            return a[0], a[1] + b[1]
+
+        def best(items):
+            known = {}
+            for (k, i, at), own in items:
+                if i < 0:
+                    if at == level:
+                        yield i, own[1]
                 else:
-                    a[i] = a[i] + own if i in a else own
-            return a
+                    known.setdefault((k, i), {})[at] = own
+            for (_, i), levels in sorted(known.items()):
+                both = None
+                for at, nodes in enumerate(asked[i]):
+                    both = siblings(nodes, levels[at][1], both)
+                splits = best_splits(both[1], params[i])
+                splits[:, 1] += levels[0][0]
+                yield i, (both[0], splits)
+
+        # All have the same partitions, so putting them together and adding up moves nothing more.
+        wanted = reduce(RDD.union, sent).filter(lambda item: item[0][1] < 0 or item[0][1] in asked)
+        rows = wanted.reduceByKey(plus, sent[0].getNumPartitions(), _slice_of).mapPartitions(best).collect()
+        found: dict = {}
+        for i, own in sorted((r for r in rows if r[0] < 0), key=lambda r: -r[0]):
+            losses = found.setdefault("losses", {})
+            for m, pair in own.items():
+                losses[m] = losses.get(m, 0.0) + pair
+        for i, (nodes, splits) in (r for r in rows if r[0] >= 0):
+            if i in found:
+                splits = self._better(found[i][1], splits)
+            found[i] = nodes, splits
+        return found
 
-        parts = state.getNumPartitions()
-        return state.treeAggregate({}, add, both, 1 if parts <= 16 else 2 if parts <= 1024 else 3)
+    @staticmethod
+    def _better(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of two slices' best splits those of more gain; of equal gains missing left, then the first
+        feature."""
+        first = (b[:, 3] < a[:, 3]) | ((b[:, 3] == a[:, 3]) & (b[:, 1] < a[:, 1]))
+        wins = (b[:, 0] > a[:, 0]) | ((b[:, 0] == a[:, 0]) & (b[:, 0] > 0) & first)
+        return np.where(wins[:, None], b, a)
 
     @staticmethod
-    def _split(m: Model, tree: Tree, features: np.ndarray, nodes: np.ndarray, sums: np.ndarray) -> None:
+    def _split(m: Model, tree: Tree, features: np.ndarray, nodes: np.ndarray, splits: np.ndarray) -> None:
         """Puts the best split of each node, and the weights of its children, into the tree."""
-        for node, (gain, f, b, side, g, h, left_g, left_h) in zip(nodes, best_splits(sums, m.params)):
+        for node, (gain, f, b, side, g, h, left_g, left_h) in zip(nodes, splits):
             tree.value[node] = m.params.rate * leaf_weight(g, h, m.params)
             if gain <= 0:
                 continue

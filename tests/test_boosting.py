@@ -1,9 +1,11 @@
 """Boosted trees against a plain split search, and what must not change them."""
 
 import math
+import pickle
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from strandwise.operators import boosting
@@ -97,6 +99,26 @@ def test_partitions_do_not_matter(spark):
     assert fit_targets(df, ["y"], NAMES, params.with_params(seed=1)).nodes != nodes[0]
 
 
+def test_sums_stay_with_the_tasks(spark, monkeypatch):
+    """The driver gets splits: 8 numbers per node and slice of the features, and no sums."""
+    got, collect = [], RDD.collect
+
+    def counted(rdd):
+        rows = collect(rdd)
+        got.append(len(pickle.dumps(rows)))
+        return rows
+
+    monkeypatch.setattr(RDD, "collect", counted)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(4000, 40))
+    rows = [([float(v) for v in r], float(r[0] * r[1] + r[2]), float(r[3] - r[4])) for r in x]
+    df = spark.createDataFrame(rows, "features array<double>, y double, z double")
+    params = Boosting(trees=2, depth=5)
+    model = fit_targets(df, ["y", "z"], [f"f{i}" for i in range(40)], params)
+    slices, nodes = spark.sparkContext.defaultParallelism, 2**params.depth
+    assert len(model.nodes) > 150 and max(got) < 2 * slices * (nodes * 8 * 9 + 1000)
+
+
 def test_missing_learn_a_side_and_unseen_missing_have_one(spark):
     x = np.array([[1.0, 0, 0, 0], [2.0, 0, 0, 0], [math.nan, 0, 0, 0]] * 20)
     for values in ([0.0, 9.0, 9.0], [9.0, 0.0, 9.0]):
