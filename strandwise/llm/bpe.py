@@ -15,7 +15,9 @@ import hashlib
 import json
 import sys
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -140,16 +142,9 @@ class Vocabulary:
         return np.where((self.keys[at] == pair) & same, self.ranks[at], len(self.ranks))
 
 
-class _Numbers(dict):
-    """Gives each new key the next number, and lists the new keys."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self[key] = number = len(self)
-        self.new.append(key)
-        return number
+def _numbers() -> defaultdict[str, int]:
+    """Gives each new key the next number; keys are in the order of their numbers."""
+    return defaultdict(count().__next__)
 
 
 class Encoder:
@@ -160,14 +155,16 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.chunks = _Numbers()
+        self.chunks = _numbers()
+        self.learned = 0  # of the chunks
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
 
     def _learn(self) -> None:
         """Encode the new chunks: all their words in one search, each different word once."""
-        chunks, self.chunks.new = self.chunks.new, []
+        chunks = list(islice(self.chunks, self.learned, None))
+        self.learned = len(self.chunks)
         if not chunks:
             return
         v = self.vocabulary
@@ -176,11 +173,11 @@ class Encoder:
         pieces = chunks if not odd else [p for i, c in enumerate(chunks) for p in odd.get(i, (c,))]
         special = np.array([v.special.get(p, -1) for p in pieces], np.int64) if odd else np.full(len(pieces), -1)
         lines = "\n".join("" if p in v.special else p for p in pieces) if odd else "\n".join(pieces)
-        numbers = _Numbers()
-        numbers["\n"] = 0
+        numbers = _numbers()
+        numbers["\n"]  # number 0
         found = v.line_pattern.findall(v.normal(lines) + "\n")
         word = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
-        ids, starts = v.encode_words(numbers.new) if numbers.new else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+        ids, starts = v.encode_words(list(islice(numbers, 1, None))) if len(numbers) > 1 else (np.zeros(0, np.int64), np.zeros(1, np.int64))
         # One more entry for a line's end: a special's id, or nothing.
         begin, size = np.r_[0, starts[:-1]][word], np.r_[0, np.diff(starts)][word]
         line_end = np.flatnonzero(word == 0)

@@ -36,6 +36,21 @@ def documents(spark, texts):
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("*", "1 AS length", "'k' AS key", "2 AS row", "3 AS shard")
 
 
+def test_new_chunks_call_no_python():
+    """New chunks and words get their numbers without a Python call each."""
+    texts = [" ".join(f"x{i}y" for i in range(at, at + 500)) for at in range(0, 5000, 500)]
+    encoder = bpe.Encoder(bpe.Vocabulary(bpe.read_file(public_tokenizers.path("word_bpe_49k.json"))))
+    calls = collections.Counter()
+    sys.setprofile(lambda frame, event, _: calls.update([event]))
+    try:
+        found = encoder.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert calls["call"] < 1000 and len(encoder.chunks) == 5000
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert [x.tolist() for x in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_bpe_equals_library(spark):
     texts = odd_texts(1500) + [None]
     library = Tokenizer.from_file(queries.WORD_BPE)
