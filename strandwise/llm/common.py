@@ -70,6 +70,7 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0x9DDFEA08EB382D69
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
+_HASHED = 32_000  # words hashed at once: each of their bytes takes 8 bytes in some five arrays
 
 
 def _powers(n: int, base: int, name: str) -> np.ndarray:
@@ -132,7 +133,7 @@ class Words:
         out = np.empty(len(self.starts), np.uint64)
         at = 0
         while at < len(self.starts):  # in pieces, so that the powers stay small
-            to = min(len(self.starts), at + 200_000)
+            to = min(len(self.starts), at + _HASHED)
             low, high = self.starts[at], self.ends[to - 1]
             up = _powers(high - low, _BASE, "up")
             down = _powers(high - low + 1, _INVERSE, "down")

@@ -38,9 +38,11 @@ from pyspark.sql import functions as F
 
 from strandwise.llm.common import Words, batches, drop_stored, mix, partitions, plain, store
 from strandwise.llm.components import components
+from strandwise.session import arrow_rows
 
 _TOP = np.uint64(1 << 63)
-_BATCH = 3 << 20  # bytes of texts a task works on at once
+_BATCH = 1 << 20  # bytes of texts a task works on at once: n-grams take some 40 times as much
+_ROW = 32 << 10  # bytes that a row counts as when batches go to Python
 
 
 def gram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -343,8 +345,9 @@ def _members(docs, n, percent, heavy, least, block_bytes, key, text) -> DataFram
     spark: SparkSession = docs.sparkSession
     rows = plain(docs, **{key: "long", text: "string"}).toDF("key", "text")
     rows = rows.withColumn("content", F.xxhash64("text", F.lit("text")))
-    order = spark.sparkContext.broadcast(frequent(rows, n, percent, heavy, least))
-    known = store(_prefixes(rows, order, n, percent), "prefixes")
+    with arrow_rows(spark, _ROW):
+        order = spark.sparkContext.broadcast(frequent(rows, n, percent, heavy, least))
+        known = store(_prefixes(rows, order, n, percent), "prefixes")
     filled = known.filter("n > 0")
     # Numbers ascend with the least key, so that a component's least number has its least key.
     least_keys = filled.groupBy("digest").agg(F.min("key").alias("least"))

@@ -3,6 +3,7 @@
 import os
 import random
 import sys
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,21 @@ def documents(spark, rows, extra=True):
     return df.selectExpr("*", "1 AS n", "'x' AS key", "2 AS component", "0 AS pack") if extra else df
 
 
+def test_a_batch_of_texts_takes_little_memory():
+    """What a task holds while it finds the n-grams of a batch."""
+    rng = np.random.default_rng(1)
+    texts, size = [], 0
+    while size < jaccard_join._BATCH:
+        texts.append(" ".join(f"w{x}" for x in rng.integers(0, 99_999, 300)))
+        size += len(texts[-1])
+    tracemalloc.start()
+    grams, first = jaccard_join.gram_sets(pa.array(texts), 5)
+    jaccard_join.arrange((grams[:0], grams[:0]), grams, first)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20 and len(grams) > 40_000
+
+
 def test_words_match_split():
     rng = random.Random(3)
     for _ in range(200):
