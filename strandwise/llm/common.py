@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -163,7 +163,7 @@ class Words:
 
 def batches(items: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterable[pa.RecordBatch]:
     """The same rows in batches of at most ``limit`` bytes of ``column``, or one row. At the end
-    unused memory goes back: workers outlive a task and serve the next stage.
+    unused memory goes back.
     """
     for batch in items:
         if not batch.num_rows:
@@ -174,10 +174,33 @@ def batches(items: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20)
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Unused memory of a worker goes back: it outlives its task and serves the next stage."""
     pa.default_memory_pool().release_unused()
     # What numpy freed: glibc keeps it otherwise. Other C libraries have no such call.
     getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
 
 
+def giving_back(function: Callable) -> Callable:
+    """The function of a group, after which unused memory goes back. It has as many arguments."""
+
+    def one(key, table):
+        try:
+            return function(key, table)
+        finally:
+            give_back()
+
+    def two(key, left, right):
+        try:
+            return function(key, left, right)
+        finally:
+            give_back()
+
+    return one if function.__code__.co_argcount == 2 else two
+
+
 def salted(key: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")

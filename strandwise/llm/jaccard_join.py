@@ -36,13 +36,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import Words, batches, drop_stored, mix, partitions, plain, store
+from strandwise.llm.common import Words, batches, drop_stored, giving_back, mix, partitions, plain, store
 from strandwise.llm.components import components
 from strandwise.session import arrow_rows
 
 _TOP = np.uint64(1 << 63)
 _BATCH = 1 << 20  # bytes of texts a task works on at once: n-grams take some 40 times as much
 _ROW = 32 << 10  # bytes that a row counts as when batches go to Python
+_SIGNED = 64_000  # numbers whose signatures are made at once, or those of one set
 
 
 def gram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,12 +176,14 @@ def signatures(numbers: np.ndarray, first: np.ndarray, bits: int = 2048) -> np.n
     both sets changes both.
     """
     out = np.empty((len(first) - 1, bits // 64), np.uint64)
-    place = (mix(numbers) & np.uint64(bits - 1)).astype(np.int64)
-    for low in range(0, len(out), 512):
-        high = min(len(out), low + 512)
+    low = 0
+    while low < len(out):  # in pieces: a number takes 8 bytes in each of some six arrays
+        high = min(max(int(np.searchsorted(first, first[low] + _SIGNED, side="right")) - 1, low + 1), low + 128, len(out))
+        place = (mix(numbers[first[low] : first[high]]) & np.uint64(bits - 1)).astype(np.int64)
         row = np.repeat(np.arange(high - low), np.diff(first[low : high + 1]))
-        counts = np.bincount(row * bits + place[first[low] : first[high]], minlength=(high - low) * bits)
+        counts = np.bincount(row * bits + place, minlength=(high - low) * bits)
         out[low:high] = np.packbits((counts & 1).astype(bool)).view(np.uint64).reshape(high - low, -1)
+        low = high
     return out
 
 
@@ -306,7 +309,7 @@ def _links(shared: DataFrame, rows: DataFrame, chosen: DataFrame, order, n: int,
 
     texts = rows.join(blocks, ["key", "content"]).dropDuplicates(["key", "content", "node"])
     sent = texts.select(F.inline("targets"), "node", "text", "digest")
-    return sent.groupBy("block", "low", "high").applyInArrow(walk, "a long, b long")
+    return sent.groupBy("block", "low", "high").applyInArrow(giving_back(walk), "a long, b long")
 
 
 def near_components(

@@ -22,6 +22,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left
 from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,29 +75,35 @@ def plan(counts: dict[int, int], width: int) -> tuple[np.ndarray, int]:
     return table[np.lexsort((table[:, 1], table[:, 0]))], sequences
 
 
+def _numbers(items: Iterable[pa.RecordBatch], at: int, width: int) -> Iterator[pa.RecordBatch]:
+    """The rows with ``place``: the running number of each piece among those of its length, the
+    column ``at``, in this partition.
+    """
+    seen = np.zeros(width + 1, np.int64)
+    for batch in items:
+        sizes = np.asarray(batch.column(at)).astype(np.int64)
+        by = np.argsort(sizes, kind="stable")
+        begin = np.flatnonzero(np.r_[True, np.diff(sizes[by]) != 0]) if len(by) else by
+        run = np.diff(np.r_[begin, len(by)])
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by)) - np.repeat(begin, run) + seen[sizes[by]]
+        seen += np.bincount(sizes, minlength=width + 1)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], [*batch.schema.names, "place"])
+
+
 def pack(pieces: DataFrame, width: int, length: str = "length") -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``. Lengths are 1 to ``width``."""
-    schema = pieces.schema
-    names = pieces.columns
-    at = names.index(length)
+    at = pieces.columns.index(length)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    return _packed(pieces.mapInArrow(lambda items: _numbers(items, at, width), f"{fields}, place long"), width, length)
 
-    def number(items):
-        # The running number of each piece among those of its length in this partition.
-        seen = np.zeros(width + 1, np.int64)
-        for batch in items:
-            sizes = np.asarray(batch.column(at)).astype(np.int64)
-            by = np.argsort(sizes, kind="stable")
-            begin = np.flatnonzero(np.r_[True, np.diff(sizes[by]) != 0]) if len(by) else by
-            run = np.diff(np.r_[begin, len(by)])
-            place = np.empty(len(by), np.int64)
-            place[by] = np.arange(len(by)) - np.repeat(begin, run) + seen[sizes[by]]
-            seen += np.bincount(sizes, minlength=width + 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], [*names, "place"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    numbered = store(
-        pieces.mapInArrow(number, f"{fields}, place long").withColumn("part", F.spark_partition_id()), "pieces"
-    )
+
+def _packed(pieces: DataFrame, width: int, length: str) -> DataFrame:
+    """``pieces`` with ``sequence_id`` and ``offset`` instead of ``place``, the last column."""
+    names = pieces.columns[:-1]
+    at = names.index(length)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema[:-1])
+    numbered = store(pieces.withColumn("part", F.spark_partition_id()), "pieces")
     sizes = numbered.groupBy("part", length).agg(F.count("*").alias("n"))
     before = Window.partitionBy(length).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.withColumn("first_rank", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -125,10 +132,11 @@ def pack(pieces: DataFrame, width: int, length: str = "length") -> DataFrame:
     return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, width: int, end: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, piece, start, length, ids_crc32): each text's ids and the id ``end``, cut every
-    ``width`` ids; shorter texts are one piece.
-    """
+_PIECES = "key long, piece int, start long, length long, ids_crc32 long"
+
+
+def _cutter(docs: DataFrame, tokenizer: str, width: int, end: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Gives the pieces of batches (key, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(bpe.read_file(tokenizer))
 
     def run(items):
@@ -146,10 +154,21 @@ def pieces_of(docs: DataFrame, tokenizer: str, width: int, end: int = 0, key: st
                 [pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "piece", "start", "length", "ids_crc32"]
             )
 
+    return run
+
+
+def pieces_of(docs: DataFrame, tokenizer: str, width: int, end: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, piece, start, length, ids_crc32): each text's ids and the id ``end``, cut every
+    ``width`` ids; shorter texts are one piece.
+    """
     rows = plain(docs, **{key: "long", text: "string"}).toDF("key", "text")
-    return rows.mapInArrow(run, "key long, piece int, start long, length long, ids_crc32 long").withColumnRenamed("key", key)
+    return rows.mapInArrow(_cutter(docs, tokenizer, width, end), _PIECES).withColumnRenamed("key", key)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, width: int = 2048, end: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, piece, start, length, ids_crc32, sequence_id, offset)."""
-    return pack(pieces_of(docs, tokenizer, width, end, key, text), width)
+    cut = _cutter(docs, tokenizer, width, end)
+    rows = plain(docs, **{key: "long", text: "string"}).toDF("key", "text")
+    # Cut and numbered by one worker: a task with two steps in Python holds two, which stay alive.
+    numbered = rows.mapInArrow(lambda items: _numbers(cut(items), 3, width), f"{_PIECES}, place long")
+    return _packed(numbered.withColumnRenamed("key", key), width, "length")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import Words, partitions
+from strandwise.llm.common import Words, giving_back, partitions
 
 _NO_KEY = -(1 << 63)
 FACTORS = "row long, start int, length int, ref_doc long, ref_start int"
@@ -100,7 +100,7 @@ def _anchors(rows: DataFrame, width: int, gram: int) -> DataFrame:
             }
         )
 
-    return rows.groupBy("pack").applyInArrow(run, "anchor long, pack long, repeated boolean")
+    return rows.groupBy("pack").applyInArrow(giving_back(run), "anchor long, pack long, repeated boolean")
 
 
 def _shared(anchors: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def _phrases(rows: DataFrame, shared: DataFrame, width: int, gram: int) -> DataF
         )
 
     schema = "anchor long, pack long, key long, row long, start int, windows binary"
-    return rows.groupBy("pack").cogroup(shared.groupBy("target")).applyInArrow(run, schema)
+    return rows.groupBy("pack").cogroup(shared.groupBy("target")).applyInArrow(giving_back(run), schema)
 
 
 def _factors(phrases: DataFrame, width: int) -> DataFrame:
@@ -277,7 +277,7 @@ def factors(docs: DataFrame, width: int = 13, gram: int = 6, key: str = "doc_id"
         return pa.table({"key": pack.keys[doc], "start": start, "length": length, "ref_doc": ref, "ref_start": ref_at})
 
     out = rows.groupBy("pack").cogroup(found.groupBy("target"))
-    return out.applyInArrow(run, "key long, start long, length long, ref_doc long, ref_start long").withColumnRenamed("key", key)
+    return out.applyInArrow(giving_back(run), "key long, start long, length long, ref_doc long, ref_start long").withColumnRenamed("key", key)
 
 
 def _kept(pack: Pack, right: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -320,7 +320,7 @@ def remove(
         return pa.table({"key": keys, "n_words": n_words, "n_removed": n_removed, name: pa.array(value, pa.string())})
 
     out = rows.groupBy("pack").cogroup(found.groupBy("target"))
-    result = out.applyInArrow(run, f"key long, n_words long, n_removed long, {name} string")
+    result = out.applyInArrow(giving_back(run), f"key long, n_words long, n_removed long, {name} string")
     return result.withColumnRenamed("key", key)
 
 
@@ -344,6 +344,6 @@ def rewrite(
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"{c} {kinds[n]}" for c, n in zip(others, names)), "text string"])
-    out = rows.groupBy("pack").cogroup(found.groupBy("target")).applyInArrow(run, schema)
+    out = rows.groupBy("pack").cogroup(found.groupBy("target")).applyInArrow(giving_back(run), schema)
     named = out.toDF(*names, text)
     return named.select(*(F.col(f"`{n}`") for n in docs.columns))

@@ -12,8 +12,8 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import brute  # noqa: E402
-from strandwise.llm import embedding_dedup, jaccard_join, queries, substring_dedup  # noqa: E402
-from strandwise.llm.common import Words, batches  # noqa: E402
+from strandwise.llm import common, embedding_dedup, jaccard_join, queries, substring_dedup  # noqa: E402
+from strandwise.llm.common import Words, batches, mix  # noqa: E402
 from strandwise.llm.components import components  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -251,6 +251,43 @@ def test_signatures_bound_the_difference():
             assert np.bitwise_count(sign[a] ^ sign[b]).sum() <= len(np.setxor1d(x, y))
 
 
+@pytest.mark.parametrize("at_once", [1, 50, 64_000])
+def test_signatures_in_pieces(monkeypatch, at_once):
+    """Sets of any size, whatever is signed at once, against parities counted one by one."""
+    rng = np.random.default_rng(13)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, np.uint64)) for n in (0, 3, 0, 200, 1, 49, 50, 51, *[7] * 300)]
+    monkeypatch.setattr(jaccard_join, "_SIGNED", at_once, raising=False)
+    sign = jaccard_join.signatures(np.concatenate(sets), np.r_[0, np.cumsum([len(x) for x in sets])])
+    for x, row in zip(sets, sign):
+        odd = np.bincount((mix(x) & np.uint64(2047)).astype(int), minlength=2048) % 2
+        assert np.array_equal(np.packbits(odd.astype(bool)).view(np.uint64), row)
+
+
+def test_a_block_takes_little_memory():
+    """What a task holds, besides the sets, while it looks for the links of a block."""
+    rng = np.random.default_rng(14)
+    sets = [np.sort(rng.integers(0, 1 << 63, 800, np.uint64)) for _ in range(1000)]
+    tracemalloc.start()
+    try:
+        assert jaccard_join.block_links(sets, np.zeros(len(sets), int), True, 80) == []
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 3 * sum(x.nbytes for x in sets)
+
+
+def test_a_group_gives_memory_back(monkeypatch):
+    """Also where its function fails; Spark sees as many arguments as before."""
+    called = []
+    monkeypatch.setattr(common, "give_back", lambda: called.append(1))
+    assert common.giving_back(lambda key, table: (key, table))(1, 2) == (1, 2)
+    assert common.giving_back(lambda key, left, right: (key, left, right))(1, 2, 3) == (1, 2, 3)
+    with pytest.raises(ZeroDivisionError):
+        common.giving_back(lambda key, table: key / table)(1, 0)
+    assert len(called) == 3
+    assert common.giving_back(lambda key, left, right: key).__code__.co_argcount == 3
+
+
 def test_trie_leaves_subtrees():
     """A path common to many sets is walked once; below a node that can't reach the overlap nothing is."""
     path = np.arange(0, 256, dtype=np.uint64)

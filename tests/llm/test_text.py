@@ -18,6 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import brute  # noqa: E402
 from strandwise.llm import bpe, language_id, packing, pii, quality_rules, queries, sharding, token_counts  # noqa: E402
+from strandwise.llm.common import store  # noqa: E402
 
 MORE = "/root/testdata/sf0.01"
 ODD = [
@@ -160,6 +161,22 @@ def test_packing_of_odd_rows(spark):
     assert sorted((r.doc_id or 0, r.piece, r.length) for r in found) == [(0, 0, 1), (1, 0, 1), (1, 0, 1), (2, 0, 2048), (2, 1, 2048), (2, 2, 905)]
 
 
+def test_packing_holds_one_worker_per_task(spark, monkeypatch):
+    """Every plan has one step in Python: a task with two holds two workers, which stay alive."""
+    plans = []
+
+    def stored(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(packing, "store", stored)
+    df = spark.createDataFrame([(1, "a b"), (2, None), (3, "a " * 5000)], "doc_id long, text string")
+    found = packing.pack_documents(df, queries.WORD_BPE)
+    plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+    assert [p.count("MapInArrow") for p in plans] == [1, 1]
+    assert sorted((r.doc_id, r.piece, r.length) for r in found.collect()) == [(1, 0, 3), (2, 0, 1), (3, 0, 2048), (3, 1, 2048), (3, 2, 905)]
+
+
 def test_quality_statistics(spark):
     rng = random.Random(2)
     texts = [None, "", " \n ", "a " * 5000] + ["".join(rng.choice(["a ", "bc ", "é", "#", "\n", "|", " ", "x y z "]) for _ in range(rng.randint(0, 120))) for _ in range(300)]
