@@ -1,9 +1,10 @@
 """Operator 3: BPE encoding and decoding in batched numpy merge rounds.
 
 A text falls apart at white space into chunks whose ids don't depend on their neighbours, so
-each task encodes a chunk once. The symbols of all new chunks lie in one flat array; a round
-finds the rank of every neighbouring pair by binary search over the sorted pair keys, takes
-the lowest rank of each word, and merges all its places. Words without a pair leave.
+each task encodes a chunk once, and a word of a chunk once. Chunks and words stay in Arrow arrays,
+whose hash tables tell which are new; no string becomes an object of Python. The symbols of all
+new words lie in one flat array; a round looks up the rank of every neighbouring pair that has
+changed, takes the lowest rank of each word, and merges all its places. Words without a pair leave.
 
 Nulls are encoded as the empty text. Special strings in a text become their ids. Texts of any
 length are encoded whole.
@@ -15,12 +16,11 @@ import hashlib
 import json
 import sys
 import unicodedata
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
-from itertools import count, islice
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +32,27 @@ WHITE_SPACE = (
     "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-# str.split() also cuts at these four, which are no white space for the tokenizer.
-_SEPARATORS = regex.compile("[\x1c-\x1f]")
-_CHUNK = regex.compile(f"[^{WHITE_SPACE}]+")
-KNOWN_CHUNKS = 100_000  # chunks a worker remembers, some 20 MB; then it starts anew
+# Arrow's utf8_split_whitespace also cuts at these four, which are no white space for the tokenizer.
+_SEPARATORS = "[\x1c-\x1f]"
+_SPACES = f"[{WHITE_SPACE}]+"
+KNOWN_CHUNKS = 300_000  # chunks a worker remembers, some 15 MB; then it starts anew
+KNOWN_WORDS = 300_000  # likewise the words of chunks
+_LINE_END, _LETTER, _NUMBER, _OTHER = range(4)
+_NEWLINE = pa.scalar("\n", pa.large_string())
+# With this pattern, kinds of code points and these endings tell where words begin.
+_BY_KINDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
+def _kinds() -> np.ndarray:
+    """Of each code point, whether it is a line's end, a letter, a number or something else."""
+    kinds = np.full(0x110000, _OTHER, np.uint8)
+    points = np.r_[0:0xD800, 0xE000:0x110000].astype(np.uint32).tobytes().decode("utf-32-le")
+    for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):
+        for found in regex.finditer(pattern, points):
+            kinds[ord(found[0][0]) : ord(found[0][-1]) + 1] = kind
+    kinds[10] = _LINE_END
+    return kinds
 
 
 def byte_symbols() -> list[str]:
@@ -58,6 +75,8 @@ class Vocabulary:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word_pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", WHITE_SPACE))
         self.line_pattern = regex.compile(self.word_pattern.pattern + r"|\n")
+        self.by_kinds = split["pattern"]["Regex"] == _BY_KINDS
+        self.kinds = _kinds() if self.by_kinds else None
         self.inner = np.array([self.vocab[s] for s in byte_symbols()], np.int64)
         self.last = np.array([self.vocab[s + self.suffix] for s in byte_symbols()], np.int64)
         self.base = max(self.vocab.values()) + 1
@@ -79,12 +98,48 @@ class Vocabulary:
         """NFC and lower case; each character by itself, so no final sigma."""
         return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
 
+    def words(self, lines: str) -> tuple[pa.LargeStringArray, np.ndarray]:
+        """The words of all lines, and how many each line has: what ``word_pattern`` finds in the
+        normal form of lines without white space.
+        """
+        lines = self.normal(lines)
+        if not self.by_kinds:
+            found = self.line_pattern.findall(lines + "\n")
+            ends = np.flatnonzero(np.fromiter((w == "\n" for w in found), bool, len(found)))
+            return pa.array([w for w in found if w != "\n"], pa.large_string()), np.diff(np.r_[-1, ends]) - 1
+        points = np.frombuffer((lines + "\n").encode("utf-32-le"), np.uint32)
+        kind = self.kinds[points]
+        begins = np.ones(len(points), bool)
+        begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER)
+        line_end = kind == _LINE_END
+        begins[1:] |= line_end[:-1]
+        # An ending such as 's is a word if the apostrophe begins one.
+        quotes = np.flatnonzero(begins & (points == 39))
+        for ending in _ENDINGS:
+            at = quotes[quotes + len(ending) < len(points)]
+            for i, c in enumerate(ending):
+                at = at[points[at + 1 + i] == ord(c)]
+            begins[at + 1] = False
+            begins[at + 1 + len(ending)] = True
+        begins &= ~line_end
+        bounds = np.flatnonzero(begins)
+        before = np.r_[0, np.cumsum(begins)[line_end]]
+        # Bounds in the bytes of the lines put together.
+        sizes = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        sizes[line_end] = 0
+        places = np.r_[0, np.cumsum(sizes)]
+        return _strings(lines.replace("\n", "").encode(), np.r_[places[bounds], places[-1]]), np.diff(before)
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and where each word begins in it (one more)."""
-        lines = np.frombuffer(("\n".join(words) + "\n").encode(), np.uint8)
-        ends = np.flatnonzero(lines == 10)
-        lengths = np.diff(np.r_[-1, ends]) - 1
-        data = lines[lines != 10]
+        ids, lengths = self.encode_strings(pa.array(words, pa.large_string()))
+        return ids, np.r_[0, np.cumsum(lengths)]
+
+    def encode_strings(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, of which none is empty, in one array, and how many each word has."""
+        bounds = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+        lengths = np.diff(bounds)
         symbols = self.inner[data]
         symbols[np.cumsum(lengths) - 1] = self.last[data[np.cumsum(lengths) - 1]]
         word = np.repeat(np.arange(len(words)), lengths)
@@ -132,8 +187,7 @@ class Vocabulary:
             symbols, word = np.concatenate(done_symbols), np.concatenate(done_words)
             order = np.argsort(word, kind="stable")
             symbols, word = symbols[order], word[order]
-        starts = np.searchsorted(word, np.arange(len(words) + 1))
-        return symbols, starts
+        return symbols, np.bincount(word, minlength=len(words))
 
     def _ranks(self, left: np.ndarray, right: np.ndarray, same: np.ndarray) -> np.ndarray:
         """The merge rank of each pair, by binary search; past all ranks if it has none."""
@@ -142,9 +196,36 @@ class Vocabulary:
         return np.where((self.keys[at] == pair) & same, self.ranks[at], len(self.ranks))
 
 
-def _numbers() -> defaultdict[str, int]:
-    """Gives each new key the next number; keys are in the order of their numbers."""
-    return defaultdict(count().__next__)
+def _strings(data: bytes, bounds: np.ndarray) -> pa.LargeStringArray:
+    """The strings between neighbouring bounds in ``data``."""
+    return pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(data))
+
+
+class Known:
+    """Different strings and the ids of each."""
+
+    def __init__(self):
+        self.strings = pa.array([], pa.large_string())
+        self.ids = np.zeros(0, np.uint32)
+        self.starts = np.zeros(0, np.int64)
+        self.lengths = np.zeros(0, np.int64)
+
+    def find(self, strings: pa.Array, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The number of each of these different strings; ``encode`` gives all ids of the new ones
+        in one array, and how many each has.
+        """
+        at = pc.index_in(strings, value_set=self.strings)
+        new = pc.is_null(at)
+        numbers = np.asarray(at.fill_null(0)).astype(np.int64)
+        strings = strings.filter(new)
+        if len(strings):
+            numbers[np.asarray(new)] = len(self.strings) + np.arange(len(strings))
+            ids, lengths = encode(strings)
+            self.strings = pa.concat_arrays([self.strings, strings])
+            self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(lengths) - lengths]
+            self.lengths = np.r_[self.lengths, lengths]
+            self.ids = np.r_[self.ids, ids.astype(np.uint32)]
+        return numbers
 
 
 class Encoder:
@@ -152,56 +233,51 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self._reset()
+        self._chunks, self._words = Known(), Known()
 
-    def _reset(self) -> None:
-        self.chunks = _numbers()
-        self.learned = 0  # of the chunks
-        self.ids = np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
+    @property
+    def chunks(self) -> pa.Array:
+        return self._chunks.strings
 
-    def _learn(self) -> None:
-        """Encode the new chunks: all their words in one search, each different word once."""
-        chunks = list(islice(self.chunks, self.learned, None))
-        self.learned = len(self.chunks)
-        if not chunks:
-            return
+    def _learn(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of new chunks, each different word of them encoded once."""
         v = self.vocabulary
-        # Chunks with special strings are cut there; what is left is searched like the rest.
-        odd = {i: v.special_pattern.split(c) for i, c in enumerate(chunks) if "<|" in c}
-        pieces = chunks if not odd else [p for i, c in enumerate(chunks) for p in odd.get(i, (c,))]
-        special = np.array([v.special.get(p, -1) for p in pieces], np.int64) if odd else np.full(len(pieces), -1)
-        lines = "\n".join("" if p in v.special else p for p in pieces) if odd else "\n".join(pieces)
-        numbers = _numbers()
-        numbers["\n"]  # number 0
-        found = v.line_pattern.findall(v.normal(lines) + "\n")
-        word = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
-        ids, starts = v.encode_words(list(islice(numbers, 1, None))) if len(numbers) > 1 else (np.zeros(0, np.int64), np.zeros(1, np.int64))
-        # One more entry for a line's end: a special's id, or nothing.
-        begin, size = np.r_[0, starts[:-1]][word], np.r_[0, np.diff(starts)][word]
-        line_end = np.flatnonzero(word == 0)
-        begin[line_end] = len(ids) + np.arange(len(pieces))
-        size[line_end] = special >= 0
-        flat = np.r_[ids, special][spread(begin, size)].astype(np.uint32)
-        ends = np.cumsum(size)[line_end]
-        if odd:
-            ends = ends[np.cumsum([len(odd.get(i, (0,))) for i in range(len(chunks))]) - 1]
-        begins = np.r_[0, ends[:-1]]
-        self.starts = np.r_[self.starts, len(self.ids) + begins]
-        self.lengths = np.r_[self.lengths, ends - begins]
-        self.ids = np.r_[self.ids, flat]
-
-    def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        lines = pc.binary_join(pa.ListArray.from_arrays([0, len(chunks)], chunks), _NEWLINE)[0].as_py()
+        if "<|" in lines:
+            # Chunks with special strings are cut there; what is left is searched like the rest.
+            pieces = [v.special_pattern.split(c) if "<|" in c else (c,) for c in lines.split("\n")]
+            pieces_of = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            pieces = [p for some in pieces for p in some]
+            special = np.fromiter((v.special.get(p, -1) for p in pieces), np.int64, len(pieces))
+            lines = "\n".join("" if p in v.special else p for p in pieces)
+        else:
+            pieces_of, special = None, np.full(len(chunks), -1)
+        words, words_of = v.words(lines)
+        distinct = words.dictionary_encode()
+        number = self._words.find(distinct.dictionary, v.encode_strings)[np.asarray(distinct.indices)]
+        # One more entry for a piece's end: a special's id, or nothing.
+        ends = np.cumsum(words_of)
+        begin = np.insert(self._words.starts[number], ends, len(self._words.ids) + np.arange(len(special)))
+        size = np.insert(self._words.lengths[number], ends, special >= 0)
+        ids = np.r_[self._words.ids, special][spread(begin, size)]
+        entries = words_of + 1 if pieces_of is None else np.add.reduceat(words_of + 1, np.cumsum(pieces_of) - pieces_of)
+        return ids, np.add.reduceat(size, np.cumsum(entries) - entries)
+
+    def encode(self, texts: pa.Array | Iterable[str | None]) -> list[np.ndarray]:
         """The ids (unsigned 32-bit) of each text, with those of special strings in it."""
-        if len(self.chunks) > KNOWN_CHUNKS:
-            self._reset()
-        numbers = []
-        for text in texts:
-            parts = (_CHUNK.findall(text) if _SEPARATORS.search(text) else text.split()) if text else ()
-            numbers.append(np.fromiter(map(self.chunks.__getitem__, parts), np.int64, len(parts)))
-        self._learn()
-        return [self.ids[spread(self.starts[n], self.lengths[n])] for n in numbers]
+        if len(self._chunks.strings) > KNOWN_CHUNKS:
+            self._chunks = Known()
+        if len(self._words.strings) > KNOWN_WORDS:
+            self._words = Known()
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string()).fill_null("")
+        odd = pc.any(pc.match_substring_regex(texts, _SEPARATORS)).as_py()
+        parts = pc.split_pattern_regex(texts, _SPACES) if odd else pc.utf8_split_whitespace(texts)
+        distinct = parts.flatten().dictionary_encode()
+        number = self._chunks.find(distinct.dictionary, self._learn)[np.asarray(distinct.indices)]
+        size = self._chunks.lengths[number]
+        ids = self._chunks.ids[spread(self._chunks.starts[number], size)]
+        ends = np.r_[0, np.cumsum(size)][np.cumsum(np.asarray(pc.list_value_length(parts)))]
+        return [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
 
 def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -225,16 +301,15 @@ class Decoder:
         return self.data[spread(self.starts[ids], self.sizes[ids])].tobytes()[1:]
 
 
-# Functions sent to workers by value lose their globals after each task; this outlives them.
-_KEPT = vars(sys).setdefault("_strandwise_tokenizers", {})
-
-
 def encoder(content: str) -> Encoder:
     """The worker's encoder for a tokenizer file, with the chunks it knows already."""
+    # Functions sent to workers by value get copies of their globals for each task; `sys` outlives
+    # them, if it is asked here and not where the module is read.
+    kept = vars(sys).setdefault("_strandwise_tokenizers", {})
     key = ("word", hashlib.sha256(content.encode()).hexdigest())
-    if key not in _KEPT:
-        _KEPT[key] = Encoder(Vocabulary(content))
-    return _KEPT[key]
+    if key not in kept:
+        kept[key] = Encoder(Vocabulary(content))
+    return kept[key]
 
 
 def read_file(path: str) -> str:
@@ -283,7 +358,7 @@ def _mapped(docs, tokenizer, key, text, schema, columns) -> DataFrame:
         known = encoder(shared.value)
         decoder = Decoder(known.vocabulary)
         for batch in batches(items, "text", 2 << 20):
-            ids = known.encode(batch.column(1).to_pylist())
+            ids = known.encode(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns(ids, decoder)], names)
 
     rows = plain(docs, **{key: "long", text: "string"}).toDF("key", "text")

@@ -143,7 +143,7 @@ def _cutter(docs: DataFrame, tokenizer: str, width: int, end: int) -> Callable[[
         encoder = bpe.encoder(shared.value)
         for batch in batches(items, "text", 2 << 20):
             rows = []
-            for key, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
+            for key, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
                 ids = np.append(ids, np.uint32(end)).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), width)):
                     part = ids[start : start + width]

@@ -11,12 +11,14 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import brute  # noqa: E402
+import strandwise  # noqa: E402
 from strandwise.llm import bpe, language_id, packing, pii, quality_rules, queries, sharding, token_counts  # noqa: E402
 from strandwise.llm.common import store  # noqa: E402
 
@@ -52,6 +54,45 @@ def test_new_chunks_call_no_python():
     assert [x.tolist() for x in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_new_chunks_leave_no_objects():
+    """Chunks and words stay in Arrow arrays: no object of Python each."""
+    text = " ".join(f"{''.join(chr(97 + i // 26**k % 26) for k in range(4))}," for i in range(20_000))
+    encoder = bpe.Encoder(bpe.Vocabulary(bpe.read_file(queries.WORD_BPE)))
+    encoder.encode(["first"])
+    before = sys.getallocatedblocks()
+    encoder.encode([text])
+    assert len(encoder.chunks) >= 20_000 and sys.getallocatedblocks() - before < 5_000
+
+
+def test_known_words_of_new_chunks_are_not_merged_again(monkeypatch):
+    encoder = bpe.Encoder(bpe.Vocabulary(bpe.read_file(queries.WORD_BPE)))
+    encoder.encode(["unhappiness (straightforward) , ."])
+    merged = []
+    monkeypatch.setattr(encoder.vocabulary, "_ranks", lambda left, *_: merged.append(len(left)))
+    found = encoder.encode(["(unhappiness, straightforward. Unhappiness)"])
+    library = Tokenizer.from_file(queries.WORD_BPE)
+    assert not merged and found[0].tolist() == library.encode("(unhappiness, straightforward. Unhappiness)", add_special_tokens=False).ids
+
+
+def test_encoder_outlives_a_task():
+    """Tasks get functions by value; those of one worker share its encoder."""
+    cloudpickle.register_pickle_by_value(strandwise)
+    sent = cloudpickle.dumps(bpe.encoder)
+    content = bpe.read_file(queries.WORD_BPE)
+    assert cloudpickle.loads(sent)(content) is cloudpickle.loads(sent)(content)
+
+
+def test_words_by_kinds_equal_those_of_the_pattern():
+    known = bpe.Vocabulary(bpe.read_file(queries.WORD_BPE))
+    rng = random.Random(3)
+    parts = [x for x in ODD if not set(x) & set(bpe.WHITE_SPACE)] + ["'", "s", "t", "re", "ve", "l", "v", "e", "d", "Ⅷ", "²", "\n", "\n"]
+    lines = "".join(rng.choice(parts) for _ in range(50_000))
+    fast = known.words(lines)
+    known.by_kinds = False
+    slow = known.words(lines)
+    assert fast[0].to_pylist() == slow[0].to_pylist() and fast[1].tolist() == slow[1].tolist()
+
+
 def test_bpe_equals_library(spark):
     texts = odd_texts(1500) + [None]
     library = Tokenizer.from_file(queries.WORD_BPE)
